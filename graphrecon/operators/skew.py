@@ -1,0 +1,54 @@
+"""Joins that stay even when one key holds a large share of the rows."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+HOT_KEYS = 256
+HOT_ROWS = 1_000_000
+SALTS = 64
+
+
+def hot_keys(df: DataFrame, key: str, min_rows: int = HOT_ROWS) -> DataFrame:
+    """The heaviest keys: at most 256 rows, and every key with over 1/256 of a big table."""
+    return (
+        df.groupBy(key)
+        .agg(F.count(F.lit(1)).alias("__n"))
+        .filter(F.col("__n") > min_rows)
+        .orderBy(F.desc("__n"), F.col(key))
+        .limit(HOT_KEYS)
+        .select(key)
+    )
+
+
+def join_hot(
+    rows: DataFrame,
+    lookup: DataFrame,
+    key: str,
+    how: str = "inner",
+    min_rows: int = HOT_ROWS,
+    salts: int = SALTS,
+) -> DataFrame:
+    """Join a big table to a lookup on ``key``, the rows of its heavy keys salted.
+
+    Rows of a heavy key are spread over ``salts`` tasks and the lookup rows of that key are
+    repeated for each of them; all other rows join as usual. The list of heavy keys holds at
+    most 256 rows, so it is broadcast.
+    """
+    heavy = F.broadcast(hot_keys(rows, key, min_rows).withColumn("__hot", F.lit(True)))
+    left = rows.join(heavy, key, "left").select(
+        *rows.columns,
+        F.when(F.col("__hot"), F.pmod(F.xxhash64(*rows.columns), F.lit(salts)).cast("int"))
+        .otherwise(0)
+        .alias("__salt"),
+    )
+    right = lookup.join(heavy, key, "left").select(
+        *lookup.columns,
+        F.explode(
+            F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(
+                F.array(F.lit(0))
+            )
+        ).alias("__salt"),
+    )
+    return left.join(right, [key, "__salt"], how).drop("__salt")
