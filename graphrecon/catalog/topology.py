@@ -109,11 +109,14 @@ def _histograms(spark, sf, metric, spectral=False):
 
 @query(
     "g11_kernel_values",
-    f"""WITH {_MMD_SQL} SELECT node_size, side_a, side_b, round(sum(k),6) AS total FROM kern
-WHERE metric = 'degree' GROUP BY ALL""",
+    f"""WITH {_MMD_SQL}, met AS (SELECT a.metric, a.node_size, a.sample_id, a.m AS ma, b.m AS mb FROM mass a
+  JOIN mass b USING (metric, node_size, sample_id) WHERE a.side='true' AND b.side='pred' AND metric='degree')
+SELECT met.node_size, met.sample_id, round(exp(-pow((ma + mb - 2*coalesce(c,0))/2, 2)/2),6) AS kernel
+FROM met LEFT JOIN common o ON o.metric=met.metric AND o.node_size=met.node_size AND o.sa='true'
+  AND o.ia=met.sample_id AND o.sb='pred' AND o.ib=met.sample_id""",
 )
 def g11(spark, sf):
-    """Kernel column expression over dense arrays, each pair of histograms of a size."""
+    """Kernel expression over dense arrays: true against predicted degrees of each sample."""
     hists = _histograms(spark, sf, "degree")
     width = max(T.SAMPLE_SIZES)
     total = F.aggregate("hist", F.lit(0.0), lambda s, h: s + h["cnt"]) + 1e-6
@@ -124,15 +127,12 @@ def g11(spark, sf):
         )
         / total,
     )
-    rows = materialize(hists.select("node_size", "side", dense.alias("x")))
-    a = rows.select("node_size", F.col("side").alias("side_a"), F.col("x").alias("xa"))
-    b = rows.select("node_size", F.col("side").alias("side_b"), F.col("x").alias("xb"))
-    kernel = C.gaussian_tv(F.col("xa"), F.col("xb"))
-    return (
-        a.join(b, "node_size")
-        .groupBy("node_size", "side_a", "side_b")
-        .agg(rounded(F.sum(kernel)).alias("total"))
+    rows = hists.groupBy("node_size", "sample_id").agg(
+        F.max(F.when(F.col("side") == "true", dense)).alias("xa"),
+        F.max(F.when(F.col("side") == "pred", dense)).alias("xb"),
     )
+    kernel = C.gaussian_tv(F.col("xa"), F.col("xb"))
+    return rows.select("node_size", "sample_id", rounded(kernel).alias("kernel"))
 
 
 @query(
@@ -321,7 +321,7 @@ def g20(spark, sf):
     return rows
 
 
-def _soft_mmd_sql(values: str, steps: int, width: str) -> str:
+def _soft_mmd_sql(values: str, steps: int, width: str, digits: int = 6) -> str:
     """SQL of a soft-histogram MMD over ``vals(node_size, sample_id, pv, yv, last)``."""
     return f"""{values},
 bars AS (SELECT node_size, sample_id, k, sum(exp(-0.5*pow((pv - last*k/{steps}.0::DOUBLE)/{width},2))) AS pw,
@@ -330,7 +330,7 @@ bars AS (SELECT node_size, sample_id, k, sum(exp(-0.5*pow((pv - last*k/{steps}.0
 tots AS (SELECT node_size, sample_id, sum(pw) AS pt, sum(yw) AS yt FROM bars GROUP BY ALL),
 tv AS (SELECT node_size, sample_id, 0.5*sum(abs(pw/(pt+1e-8::DOUBLE)-yw/(yt+1e-8::DOUBLE))) AS tv
   FROM bars JOIN tots USING (node_size, sample_id) GROUP BY ALL)
-SELECT node_size, sample_id, round(2-2*exp(-tv*tv/2),6) AS mmd FROM tv"""
+SELECT node_size, sample_id, round(2-2*exp(-tv*tv/2),{digits}) AS mmd FROM tv"""
 
 
 _SOFT_DEGREE = f"""WITH {_SOFT_SQL},
@@ -383,7 +383,20 @@ def g23(spark, sf):
     return result.summary.select(rounded(penalty).alias("penalty"))
 
 
-@query("g23_topology_losses")
+_LOSSES_SQL = f"""WITH sim AS (WITH {_SOFT_SQL} SELECT node_size, sample_id,
+  CASE WHEN sum(p)+sum(y) > 1e-8 THEN sum(abs(p-y))/(sum(p)+sum(y)+1e-8::DOUBLE) ELSE 0 END AS gs
+  FROM sp GROUP BY 1, 2),
+den AS (WITH {_DENSITY_SQL} SELECT node_size, sample_id, log_ratio_huber AS rd FROM penalty),
+dg AS ({_soft_mmd_sql(_SOFT_DEGREE, 63, "1.0::DOUBLE", 15)}),
+cl AS ({_soft_mmd_sql(_SOFT_CLUSTERING, 99, "0.01::DOUBLE", 15)})
+SELECT node_size, sample_id, round(gs,6) AS graph_similarity, round(rd,6) AS relative_density,
+  round(dg.mmd,6) AS degree_mmd, round(cl.mmd,6) AS clustering_mmd,
+  round(0.5*gs + rd + 0.3*dg.mmd + 0.3*cl.mmd,6) AS total_topology
+FROM sim JOIN den USING (node_size, sample_id) JOIN dg USING (node_size, sample_id)
+JOIN cl USING (node_size, sample_id)"""
+
+
+@query("g23_topology_losses", _LOSSES_SQL)
 def g23_losses(spark, sf):
     pairs, sizes = _soft_inputs(spark, sf)
     losses = S.topology_losses(pairs, sizes, _KEYS)

@@ -33,27 +33,37 @@ def soft_centroids(
     )
 
 
-def pseudo_labels(
-    rows: DataFrame, centroids: DataFrame, key: str, features: str = "features", epsilon: float = 1e-5
+def centroid_scores(
+    rows: DataFrame, centroids: DataFrame, features: str = "features", epsilon: float = 1e-5
 ) -> DataFrame:
-    """Class of the centroid with the highest cosine, the first class on a tie.
+    """Add ``scores``: an array of (class, cosine to its centroid), in order of class.
 
-    The centroids are gathered into one small array (one entry per class) that goes to every
-    task; each row looks through it by itself, so no pair of row and class is shuffled.
+    The centroids become one array (one entry per class) that goes to every task; each row looks
+    through it by itself, so no pair of row and class is shuffled.
     """
     table = centroids.agg(
         F.array_sort(
             F.collect_list(F.struct("class", unit(F.col("centroid"), epsilon).alias("unit")))
-        ).alias("table")
+        ).alias("__table")
     ).withColumn("__one", F.lit(1))
-    scored = rows.withColumn("__one", F.lit(1)).join(F.broadcast(table), "__one")
-    mine = unit(F.col(features), epsilon)
-    scores = F.transform("table", lambda c: F.struct(
-        dot(mine, c["unit"]).alias("score"), (-c["class"]).alias("first"))
+    met = rows.withColumn("__one", F.lit(1)).join(F.broadcast(table), "__one")
+    mine = met.withColumn("__mine", unit(F.col(features), epsilon))
+    scores = F.transform(
+        "__table", lambda c: F.struct(c["class"], dot(F.col("__mine"), c["unit"]).alias("score"))
+    )
+    return mine.select(*rows.columns, scores.alias("scores"))
+
+
+def pseudo_labels(
+    rows: DataFrame, centroids: DataFrame, key: str, features: str = "features", epsilon: float = 1e-5
+) -> DataFrame:
+    """Class of the centroid with the highest cosine, the first class on a tie."""
+    ranked = F.transform("scores", lambda s: F.struct(s["score"], (-s["class"]).alias("first")))
+    best = centroid_scores(rows, centroids, features, epsilon).select(
+        key, F.array_max(ranked).alias("best")
     )
-    best = F.array_max(scores)
-    return scored.withColumn("__best", best).select(
-        key, (-F.col("__best.first")).alias("class"), F.col("__best.score").alias("score")
+    return best.select(
+        key, (-F.col("best.first")).alias("class"), F.col("best.score").alias("score")
     )
 
 

@@ -190,7 +190,7 @@ def kernel_sums(
     fields = {f.name: f.dataType.simpleString() for f in packed_hists.schema.fields}
     schema = ", ".join(f"{k} {fields[k]}" for k in keys)
 
-    def block_sums(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def block_sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         i, j = key[-2], key[-1]
         width = 1 + max((item["bin"] for hist in rows["hist"] for item in hist), default=0)
         dense = _dense(rows["hist"], width)

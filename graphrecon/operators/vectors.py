@@ -69,7 +69,7 @@ def similarity_blocks(
         length = np.sqrt((rows * rows).sum(axis=1, keepdims=True))
         return rows / np.where(length > 0, length, 1.0)
 
-    def multiply(key, rows: pd.DataFrame) -> pd.DataFrame:
+    def multiply(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         i, j = key
         left = rows[rows["__block"] == i]
         right = rows[rows["__block"] == j]
