@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -64,3 +66,11 @@ def random_positions(size: Column, want: Column, *seed: Column) -> Column:
 def rounded(value: Column, digits: int = 6) -> Column:
     """Round for a report; adding zero turns a negative zero into a plain one."""
     return F.round(value.cast("double"), digits) + F.lit(0.0)
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` computed once per row.
+
+    An expression named twice, or inside an array lambda, would be computed anew each time.
+    """
+    return F.element_at(F.transform(F.array(value), body), 1)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphrecon.functions.keys import let
+
 
 def sigmoid(logit: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-logit))
@@ -36,10 +38,17 @@ def two_class_probabilities(logit: Column, epsilon: float = 1e-5) -> Column:
 
 def softmax(logits: Column, epsilon: float = 1e-5) -> Column:
     """Clamped class probabilities of an array of logits."""
-    top = F.array_max(logits)
-    powers = F.transform(logits, lambda x: F.exp(x - top))
-    total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
-    return F.transform(powers, lambda p: clamp(p / total, epsilon, 1.0 - epsilon))
+
+    def shares(powers: Column) -> Column:
+        total = F.aggregate(powers, F.lit(0.0), lambda s, x: s + x)
+        return let(
+            total, lambda t: F.transform(powers, lambda p: clamp(p / t, epsilon, 1.0 - epsilon))
+        )
+
+    def powered(z: Column) -> Column:
+        return let(F.array_max(z), lambda top: F.transform(z, lambda x: F.exp(x - top)))
+
+    return let(logits, lambda z: let(powered(z), shares))
 
 
 def smooth_label(label: Column, smoothing: float) -> Column:
@@ -68,9 +77,16 @@ def masked_mean(loss: Column, mask: Column) -> Column:
 
 def class_cross_entropy(logits: Column, label: Column) -> Column:
     """Cross entropy of an array of logits against a class number."""
-    top = F.array_max(logits)
-    total = F.aggregate(logits, F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    return F.log(total) + top - F.get(logits, label)
+
+    def loss(z: Column) -> Column:
+        return let(
+            F.array_max(z),
+            lambda top: F.log(F.aggregate(z, F.lit(0.0), lambda s, x: s + F.exp(x - top)))
+            + top
+            - F.get(z, label),
+        )
+
+    return let(logits, loss)
 
 
 def entropy(probabilities: Column, epsilon: float) -> Column:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from graphrecon.functions.keys import let
+
 
 def dot(x: Column, y: Column) -> Column:
     return F.aggregate(F.zip_with(x, y, lambda a, b: a * b), F.lit(0.0), lambda s, p: s + p)
@@ -42,14 +44,15 @@ def pair_features(x: Column, y: Column) -> Column:
 
 def unit(x: Column, epsilon: float = 0.0) -> Column:
     length = F.greatest(norm(x), F.lit(epsilon)) if epsilon > 0 else norm(x)
-    return F.transform(x, lambda a: a / length)
+    return let(length, lambda n: F.transform(x, lambda a: a / n))
 
 
 def mean_pool(rows: Column) -> Column:
     """Mean over the rows of an array of equally long arrays."""
     first = F.transform(F.get(rows, F.lit(0)), lambda a: F.lit(0.0))
     total = F.aggregate(rows, first, lambda s, r: F.zip_with(s, r, lambda a, b: a + b))
-    return F.transform(total, lambda a: a / F.greatest(F.size(rows), F.lit(1)))
+    count = F.greatest(F.size(rows), F.lit(1))
+    return let(count, lambda n: F.transform(total, lambda a: a / n))
 
 
 def max_pool(rows: Column) -> Column:
@@ -67,8 +70,11 @@ def first_row(rows: Column) -> Column:
 def slice_matrix(vector: Column, width: int) -> Column:
     """Cut a flat vector into rows of ``width`` numbers."""
     last = F.floor((F.size(vector) - 1) / width).cast("int")
-    return F.transform(
-        F.sequence(F.lit(0), last), lambda i: F.slice(vector, i * width + 1, F.lit(width))
+    return let(
+        vector,
+        lambda v: F.transform(
+            F.sequence(F.lit(0), last), lambda i: F.slice(v, i * width + 1, F.lit(width))
+        ),
     )
 
 

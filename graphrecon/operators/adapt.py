@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphrecon.functions.keys import let
 from graphrecon.functions.scoring import class_cross_entropy, entropy
 from graphrecon.functions.vectors import dot, unit
 
@@ -47,11 +48,13 @@ def centroid_scores(
         ).alias("__table")
     ).withColumn("__one", F.lit(1))
     met = rows.withColumn("__one", F.lit(1)).join(F.broadcast(table), "__one")
-    mine = met.withColumn("__mine", unit(F.col(features), epsilon))
-    scores = F.transform(
-        "__table", lambda c: F.struct(c["class"], dot(F.col("__mine"), c["unit"]).alias("score"))
+    scores = let(
+        unit(F.col(features), epsilon),
+        lambda mine: F.transform(
+            "__table", lambda c: F.struct(c["class"], dot(mine, c["unit"]).alias("score"))
+        ),
     )
-    return mine.select(*rows.columns, scores.alias("scores"))
+    return met.select(*rows.columns, scores.alias("scores"))
 
 
 def pseudo_labels(
