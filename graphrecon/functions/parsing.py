@@ -29,7 +29,7 @@ def label_value(text: Column) -> Column:
 
 def clean_sequence(text: Column) -> Column:
     """Upper case, without gap signs (dash, dot, star) and blanks."""
-    return F.regexp_replace(F.upper(text), r"[-.*\s]", "")
+    return F.regexp_replace(F.upper(text), r"(?U)[-.*\s]", "")
 
 
 def truncated_sequence(text: Column, max_length: int) -> Column:
