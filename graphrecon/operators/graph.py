@@ -100,9 +100,10 @@ def keep_available(nodes: DataFrame, edges: DataFrame, available: DataFrame) ->
 
 def edges_inside(edges: DataFrame, ids: DataFrame) -> DataFrame:
     """Edges with both ends among ``ids`` (unique)."""
-    return edges.join(ids.select(F.col("id").alias("u")), "u", "left_semi").join(
+    kept = edges.join(ids.select(F.col("id").alias("u")), "u", "left_semi").join(
         ids.select(F.col("id").alias("v")), "v", "left_semi"
     )
+    return kept.select(*edges.columns)
 
 
 def induced_edges(

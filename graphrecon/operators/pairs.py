@@ -14,9 +14,10 @@ from graphrecon.operators.prefix import global_index
 def inside_split(pairs: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """Pairs with both ends in the split."""
     ids = nodes.select("id").distinct()
-    return pairs.join(ids.withColumnRenamed("id", a), a, "left_semi").join(
+    kept = pairs.join(ids.withColumnRenamed("id", a), a, "left_semi").join(
         ids.withColumnRenamed("id", b), b, "left_semi"
     )
+    return kept.select(*pairs.columns)
 
 
 def without(candidates: DataFrame, *forbidden: DataFrame) -> DataFrame:
