@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from graphrecon.catalog import tables as T
 from graphrecon.catalog.registry import query
 from graphrecon.functions.keys import order_key, rounded
+from graphrecon.functions.rows import beside
 from graphrecon.operators import compare as C
 from graphrecon.operators import cover as V
 from graphrecon.operators import graph as G
@@ -80,8 +81,7 @@ def labelled_arcs(spark, sf):
 )
 def g3(spark, sf):
     nodes, edges = G.supervision_graph(labelled_arcs(spark, sf), train_nodes(spark, sf))
-    count = nodes.agg(F.count(F.lit(1)).alias("nodes")).withColumn("one", F.lit(1))
-    return edges.withColumn("one", F.lit(1)).join(count, "one").select("nodes", "u", "v")
+    return beside(edges, nodes.agg(F.count(F.lit(1)).alias("nodes"))).select("nodes", "u", "v")
 
 
 @query(
@@ -259,9 +259,8 @@ def g67(spark, sf):
     marked = T.trade_edges(spark, sf).withColumn("side", F.lit("true")).unionByName(
         T.trade_edges(spark, sf, kept_only=True).withColumn("side", F.lit("pred"))
     )
-    one = F.lit(1).alias("one")
-    nodes = T.trade_nodes(spark, sf).agg(F.count(F.lit(1)).alias("n")).select("n", one)
-    row = C.edge_overlap(marked, []).withColumn("one", F.lit(1)).join(nodes, "one")
+    nodes = T.trade_nodes(spark, sf).agg(F.count(F.lit(1)).alias("n"))
+    row = beside(C.edge_overlap(marked, []), nodes)
     return row.select(
         rounded(
             C.graph_similarity(F.col("diff_cells"), F.col("true_cells"), F.col("pred_cells"))

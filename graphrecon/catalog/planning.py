@@ -8,6 +8,7 @@ from graphrecon.catalog import tables as T
 from graphrecon.catalog.graphs import _SPLIT, labelled_arcs, train_nodes
 from graphrecon.catalog.registry import query
 from graphrecon.functions.keys import rounded
+from graphrecon.functions.rows import beside
 from graphrecon.operators import cover as V
 from graphrecon.operators import graph as G
 from graphrecon.operators import negatives as N
@@ -46,8 +47,7 @@ def n1(spark, sf):
         F.sum("known").alias("known"),
         F.sum((F.col("u") > F.col("v")).cast("bigint")).alias("unordered"),
     )
-    one = F.lit(1)
-    return facts.withColumn("one", one).join(strange.withColumn("one", one), "one").drop("one")
+    return beside(facts, strange)
 
 
 def _positive_splits(spark, sf):
@@ -111,7 +111,6 @@ def _sample_facts(spark, sf, strategy):
     per = samples.groupBy("sample_id").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("d"), F.max("pos").alias("p")
     )
-    one = F.lit(1)
     loose = _connected(samples, edges, ["sample_id"]).agg(F.count(F.lit(1)).alias("unlinked"))
     strange = samples.join(nodes, "id", "left_anti").agg(F.count(F.lit(1)).alias("unknown_ids"))
     facts = per.agg(
@@ -120,8 +119,7 @@ def _sample_facts(spark, sf, strategy):
         F.max("n").alias("most"),
         F.sum(F.col("n") - F.col("d")).alias("repeated"),
     )
-    row = facts.withColumn("one", one).join(loose.withColumn("one", one), "one")
-    return row.join(strange.withColumn("one", one), "one").drop("one")
+    return beside(facts, loose, strange)
 
 
 _FACTS = (
@@ -239,7 +237,6 @@ def n10(spark, sf):
     chunks = materialize(V.partition_edges(T.trade_edges(spark, sf), 225, 60, 2))
     per_nodes = G.endpoints(chunks, ["chunk"]).groupBy("chunk").agg(F.count(F.lit(1)).alias("nodes"))
     per = chunks.groupBy("chunk").agg(F.count(F.lit(1)).alias("n")).join(per_nodes, "chunk")
-    one = F.lit(1)
     bad = per.agg(
         F.sum((F.col("n") > 225).cast("bigint")).alias("too_many_edges"),
         F.sum((F.col("nodes") > 60).cast("bigint")).alias("too_many_nodes"),
@@ -247,7 +244,7 @@ def n10(spark, sf):
     facts = chunks.agg(
         F.count(F.lit(1)).alias("edges"), F.count_distinct("u", "v").alias("distinct_edges")
     )
-    return facts.withColumn("one", one).join(bad.withColumn("one", one), "one").drop("one")
+    return beside(facts, bad)
 
 
 @query(
@@ -281,10 +278,7 @@ def n12(spark, sf):
         F.sum(F.col("n") - F.col("d")).alias("repeated"),
         F.sum((~F.col("n").between(55, 60)).cast("bigint")).alias("out_of_range"),
     )
-    one = F.lit(1)
-    total = chunks.agg(F.count(F.lit(1)).alias("edges"))
-    row = total.withColumn("one", one).join(lost.withColumn("one", one), "one")
-    return row.join(facts.withColumn("one", one), "one").drop("one")
+    return beside(chunks.agg(F.count(F.lit(1)).alias("edges")), lost, facts)
 
 
 @query(
@@ -308,8 +302,7 @@ def j10(spark, sf):
     facts = dealt.agg(
         F.count(F.lit(1)).alias("dealt"), F.count_distinct("u", "v").alias("distinct_pairs")
     )
-    one = F.lit(1)
-    return facts.withColumn("one", one).join(over.withColumn("one", one), "one").drop("one")
+    return beside(facts, over)
 
 
 def _plan(spark, sf):

@@ -10,6 +10,7 @@ from graphrecon.functions import schedules as H
 from graphrecon.functions import scoring as S
 from graphrecon.functions import vectors as X
 from graphrecon.functions.keys import order_key, rounded
+from graphrecon.functions.rows import beside
 from graphrecon.operators import adapt as A
 from graphrecon.operators import batches as B
 from graphrecon.operators import graph as G
@@ -447,8 +448,7 @@ def f1(spark, sf):
     fitted = train_pair_classifier(pairs.filter(~held_out), base)
     scored = materialize(score_with(fitted, pairs.filter(held_out), base))
     row = curve_metrics(score_curve(scored.withColumn("prob", F.round("prob", 6))))
-    counts = scored.agg(F.count(F.lit(1)).alias("pairs")).withColumn("one", F.lit(1))
-    return row.withColumn("one", F.lit(1)).join(counts, "one").select(
+    return beside(row, scored.agg(F.count(F.lit(1)).alias("pairs"))).select(
         "pairs", F.round("auroc", 2).alias("auroc")
     )
 
@@ -471,18 +471,17 @@ def _batch_facts(plan, key):
     per = plan.groupBy(key).agg(
         F.sum("label").alias("p"), F.sum(1 - F.col("label")).alias("q")
     )
-    one = F.lit(1).alias("one")
     shape = per.agg(
         F.count(F.lit(1)).alias("batches"),
         F.max("p").alias("max_pos"),
         F.max("q").alias("max_neg"),
         F.sum("p").alias("positives"),
         F.sum("q").alias("negatives"),
-    ).select(one, "*")
+    )
     distinct = plan.agg(
         F.count_distinct(F.when(F.col("label") == 1, F.col("row_id"))).alias("distinct_pos")
-    ).select(one, "*")
-    return shape.join(distinct, "one").drop("one")
+    )
+    return beside(shape, distinct)
 
 
 @query(
@@ -508,8 +507,7 @@ def n18(spark, sf):
     distinct = plan.agg(
         F.count_distinct(F.when(F.col("label") == 0, F.col("row_id"))).alias("distinct_neg")
     )
-    facts = _batch_facts(plan, "batch").withColumn("one", F.lit(1))
-    return facts.join(distinct.withColumn("one", F.lit(1)), "one").drop("one")
+    return beside(_batch_facts(plan, "batch"), distinct)
 
 
 @query(

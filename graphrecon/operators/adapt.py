@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphrecon.functions.keys import let
+from graphrecon.functions.rows import beside
 from graphrecon.functions.scoring import class_cross_entropy, entropy
 from graphrecon.functions.vectors import dot, unit
 
@@ -46,8 +47,8 @@ def centroid_scores(
         F.array_sort(
             F.collect_list(F.struct("class", unit(F.col("centroid"), epsilon).alias("unit")))
         ).alias("__table")
-    ).withColumn("__one", F.lit(1))
-    met = rows.withColumn("__one", F.lit(1)).join(F.broadcast(table), "__one")
+    )
+    met = beside(rows, table)
     scores = let(
         unit(F.col(features), epsilon),
         lambda mine: F.transform(
@@ -96,15 +97,14 @@ def adaptation_losses(
     epsilon: float = 1e-5,
 ) -> DataFrame:
     """One row: entropy, diversity, pseudo-label cross entropy, and their weighted sum."""
-    one = F.lit(1).alias("__one")
     means = rows.agg(
         entropy_loss(probs, epsilon).alias("entropy"),
         F.avg(class_cross_entropy(F.col(logits), F.col(label))).alias("pseudo_ce"),
-    ).select(one, "*")
-    spread = diversity_loss(rows, probs, epsilon).select(one, "*")
+    )
     total = (
         entropy_weight * F.col("entropy")
         + diversity_weight * F.col("diversity")
         + beta * F.col("pseudo_ce")
     )
-    return means.join(spread, "__one").select("entropy", "diversity", "pseudo_ce", total.alias("total"))
+    both = beside(means, diversity_loss(rows, probs, epsilon))
+    return both.select("entropy", "diversity", "pseudo_ce", total.alias("total"))

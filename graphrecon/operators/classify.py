@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphrecon.functions.rows import beside
 from graphrecon.functions.scoring import decide, finite_or_zero
 from graphrecon.operators.prefix import running_totals
 
@@ -103,9 +104,7 @@ def best_f1(curve: DataFrame) -> DataFrame:
     lowest. With one class only the threshold is 0.5.
     """
     sums = curve.agg(F.sum("pos").alias("p"), F.sum("neg").alias("n"))
-    keyed = curve.withColumn("__one", F.lit(1)).join(
-        F.broadcast(sums.withColumn("__one", F.lit(1))), "__one"
-    )
+    keyed = beside(curve, sums)
     f1 = 2.0 * F.col("pos_upto") / (F.col("pos_upto") + F.col("neg_upto") + F.col("p"))
     best = keyed.agg(
         F.max("p").alias("p"),
@@ -154,15 +153,13 @@ def evaluate(
 ) -> DataFrame:
     """One row with the chosen metrics; unknown names are left out, ``loss`` is averaged."""
     wanted = [m for m in (name.lower() for name in metrics) if m in METRICS]
-    one = F.lit(1).alias("__one")
     row = confusion(scored, threshold).select(
-        one, *[finite_or_zero(e).alias(n) for n, e in threshold_metrics().items()]
+        *[finite_or_zero(e).alias(n) for n, e in threshold_metrics().items()]
     )
     if any(m in _CURVE_METRICS for m in wanted):
-        row = row.join(curve_metrics(score_curve(scored)).select(one, *_CURVE_METRICS), "__one")
+        row = beside(row, curve_metrics(score_curve(scored)))
     if loss is not None:
-        mean_loss = scored.agg(F.avg(loss).alias("loss")).select(one, "loss")
-        row = row.join(mean_loss, "__one")
+        row = beside(row, scored.agg(F.avg(loss).alias("loss")))
         wanted = [*wanted, "loss"]
     name = (lambda m: f"{prefix}_{m}") if prefix else (lambda m: m)
     return row.select(*[F.col(m).alias(name(m)) for m in wanted])

@@ -82,13 +82,8 @@ def add_missing_nodes(
         true.select("id", F.lit(0).alias("p"), F.lit(1).alias("t"))
     )
     marks = tall.groupBy("id").agg(F.max("p").alias("p"), F.max("t").alias("t"))
-    # one row: whether to complete
-    verdict = marks.agg((F.sum("t") > F.sum("p")).alias("complete")).withColumn("t", F.lit(1))
-    return (
-        marks.join(F.broadcast(verdict), "t", "left")
-        .filter((F.col("p") == 1) | F.coalesce("complete", F.lit(False)))
-        .select("id")
-    )
+    complete = marks.agg((F.sum("t") > F.sum("p")).alias("complete")).scalar()
+    return marks.filter((F.col("p") == 1) | complete).select("id")
 
 
 def keep_available(nodes: DataFrame, edges: DataFrame, available: DataFrame) -> tuple[DataFrame, DataFrame]:

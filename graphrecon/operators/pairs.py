@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphrecon.functions.rows import beside
 from graphrecon.operators.prefix import global_index
 
 
@@ -197,12 +198,10 @@ def validation_plan_totals(
 ) -> DataFrame:
     """Subgraphs, pairs and distinct ids of a set of samples (pairs are counted, not made)."""
     per_sample = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
-    one = F.lit(1).alias("__one")
     totals = per_sample.agg(
         F.count(F.lit(1)).alias("subgraphs"),
         F.coalesce(F.sum((F.col("n") * (F.col("n") - 1) / 2).cast("bigint")), F.lit(0)).alias(
             "pairs"
         ),
-    ).select(one, "*")
-    ids = samples.agg(F.count_distinct("id").alias("ids")).select(one, "ids")
-    return totals.join(ids, "__one").drop("__one")
+    )
+    return beside(totals, samples.agg(F.count_distinct("id").alias("ids")))

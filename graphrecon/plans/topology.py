@@ -8,6 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphrecon.functions.rows import beside
 from graphrecon.operators import compare as C
 from graphrecon.operators import graph as G
 from graphrecon.session import materialize
@@ -144,9 +145,8 @@ def roll_up(details: DataFrame, mmds: DataFrame | None) -> tuple[DataFrame, Data
     )
     over_sizes = mmds.agg(
         *[F.coalesce(F.avg(F.when(F.col("metric") == m, F.col("mmd"))), F.lit(0.0)).alias(c) for m, c in names]
-    ).withColumn("__one", F.lit(1))
-    summary = summary.withColumn("__one", F.lit(1)).join(over_sizes, "__one").drop("__one")
-    return per_size.join(wide, "node_size"), summary
+    )
+    return per_size.join(wide, "node_size"), beside(summary, over_sizes)
 
 
 def require_distinct_sizes(parts: Sequence[DataFrame]) -> DataFrame:

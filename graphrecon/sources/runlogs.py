@@ -88,15 +88,8 @@ def latest_per_strategy(metric_files: DataFrame) -> DataFrame:
     newest = known.groupBy("strategy").agg(
         F.max_by("payload", "modified").alias("payload"), F.max("modified").alias("modified")
     )
-    complete = newest.agg(
-        (F.count_distinct("strategy") == len(STRATEGIES)).alias("complete")
-    ).withColumn("one", F.lit(1))
-    return (
-        newest.withColumn("one", F.lit(1))
-        .join(F.broadcast(complete), "one")  # a single row
-        .filter("complete")
-        .select("strategy", "modified", "payload")
-    )
+    complete = newest.agg((F.count_distinct("strategy") == len(STRATEGIES)).alias("complete"))
+    return newest.filter(complete.scalar()).select("strategy", "modified", "payload")
 
 
 def read_latest_metrics(spark: SparkSession, root: str, name: str = "topology_metrics.json") -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphrecon.functions.rows import beside
 from graphrecon.operators.ranking import METRIC_COLUMNS, markdown_rows
 
 # Column order of the result files.
@@ -85,10 +86,10 @@ def topology_json(details: DataFrame, per_size: DataFrame, summary: DataFrame) -
                 )
             )
         ).alias("per_node_size")
-    ).withColumn("one", F.lit(1))
-    whole = summary.select(packed(summary, metrics).alias("summary"), F.lit(1).alias("one"))
-    count = details.agg(F.count(F.lit(1)).alias("samples")).withColumn("one", F.lit(1))
-    return sizes.join(whole, "one").join(count, "one").select(
+    )
+    whole = summary.select(packed(summary, metrics).alias("summary"))
+    count = details.agg(F.count(F.lit(1)).alias("samples"))
+    return beside(sizes, whole, count).select(
         F.to_json(F.struct("per_node_size", "samples", "summary")).alias("value")
     )
 
