@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,23 +18,26 @@ def soft_centroids(
 ) -> DataFrame:
     """Probability-weighted mean vector per class: ``class, centroid``.
 
-    Sums run per (class, dimension) with partial sums inside each task; the result has as many
-    rows as there are classes.
+    Whole vectors are summed inside each task before the shuffle; the result has as many rows as
+    there are classes. A class without any mass gets zeros.
     """
-    per_class = rows.select(features, F.posexplode(probs).alias("class", "w"))
+    per_class = rows.select(
+        array_to_vector(features).alias("v"), F.posexplode(probs).alias("class", "w")
+    )
     mass = per_class.groupBy("class").agg(F.sum("w").alias("mass"))
     sums = (
-        per_class.select("class", "w", F.posexplode(features).alias("dim", "x"))
-        .groupBy("class", "dim")
-        .agg(F.sum(F.col("w") * F.col("x")).alias("s"))
-    )
-    value = F.col("s") / F.greatest(F.col("mass"), F.lit(epsilon))
-    ordered = F.array_sort(F.collect_list(F.struct("dim", value.alias("x"))))
-    return (
-        sums.join(mass, "class")
+        per_class.filter(F.col("w") > 0)
         .groupBy("class")
-        .agg(F.transform(ordered, lambda s: s["x"]).alias("centroid"))
+        .agg(vector_to_array(Summarizer.sum(F.col("v"), F.col("w"))).alias("s"))
+    )
+    met = beside(
+        mass.join(sums, "class", "left"), rows.agg(F.max(F.size(features)).alias("width"))
+    )
+    whole = F.coalesce("s", F.array_repeat(F.lit(0.0), F.col("width")))
+    mean = let(
+        F.greatest(F.col("mass"), F.lit(epsilon)), lambda m: F.transform(whole, lambda x: x / m)
     )
+    return met.select("class", mean.alias("centroid"))
 
 
 def centroid_scores(

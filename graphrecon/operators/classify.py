@@ -97,6 +97,21 @@ def curve_metrics(curve: DataFrame) -> DataFrame:
     )
 
 
+def curve_confusion(curve: DataFrame, threshold: float) -> DataFrame:
+    """tp, fp, fn, tn from the merged probabilities, without another look at the pairs."""
+    hit = F.col("prob") >= threshold
+
+    def total(column: str, when: Column) -> Column:
+        return F.coalesce(F.sum(F.when(when, F.col(column))), F.lit(0))
+
+    return curve.agg(
+        total("pos", hit).alias("tp"),
+        total("neg", hit).alias("fp"),
+        total("pos", ~hit).alias("fn"),
+        total("neg", ~hit).alias("tn"),
+    )
+
+
 def best_f1(curve: DataFrame) -> DataFrame:
     """One row: the probability with the best F1 as ``threshold``, and that ``f1``.
 
@@ -153,11 +168,11 @@ def evaluate(
 ) -> DataFrame:
     """One row with the chosen metrics; unknown names are left out, ``loss`` is averaged."""
     wanted = [m for m in (name.lower() for name in metrics) if m in METRICS]
-    row = confusion(scored, threshold).select(
-        *[finite_or_zero(e).alias(n) for n, e in threshold_metrics().items()]
-    )
-    if any(m in _CURVE_METRICS for m in wanted):
-        row = beside(row, curve_metrics(score_curve(scored)))
+    curve = score_curve(scored) if any(m in _CURVE_METRICS for m in wanted) else None
+    counts = confusion(scored, threshold) if curve is None else curve_confusion(curve, threshold)
+    row = counts.select(*[finite_or_zero(e).alias(n) for n, e in threshold_metrics().items()])
+    if curve is not None:
+        row = beside(row, curve_metrics(curve))
     if loss is not None:
         row = beside(row, scored.agg(F.avg(loss).alias("loss")))
         wanted = [*wanted, "loss"]

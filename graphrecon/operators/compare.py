@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphrecon.session import task_slots
+
 CLUSTERING_BINS = 100
 SPECTRAL_BINS = 200
 SPECTRAL_RANGE = (-1e-5, 2.0)  # fixed values: range of the eigenvalue histogram
@@ -141,7 +143,8 @@ def spectral_histogram(
                 )
             yield batch[groups].assign(hist=hists)
 
-    return graphs.mapInPandas(solve, f"{schema}, hist {HISTOGRAM}")
+    spread = graphs.repartition(task_slots(graphs.sparkSession))
+    return spread.mapInPandas(solve, f"{schema}, hist {HISTOGRAM}")
 
 
 def gaussian_tv(x: Column, y: Column, sigma: float = 1.0) -> Column:
@@ -215,7 +218,8 @@ def kernel_sums(
                     found.append((*key[:-2], b, a, total, n))
         return pd.DataFrame(found, columns=[*keys, "side_a", "side_b", "total", "pairs"])
 
-    parts = cells.groupBy(*keys, "__i", "__j").applyInPandas(
+    spread = cells.repartition(task_slots(cells.sparkSession), *keys, "__i", "__j")
+    parts = spread.groupBy(*keys, "__i", "__j").applyInPandas(
         block_sums, f"{schema}, side_a string, side_b string, total double, pairs bigint"
     )
     return parts.groupBy(*keys, "side_a", "side_b").agg(

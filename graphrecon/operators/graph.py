@@ -117,7 +117,8 @@ def induced_edges(
     near = edges_inside(edges.select("u", "v", *extra), members.select("id").distinct())
     low = members.withColumnRenamed("id", "u")
     high = members.withColumnRenamed("id", "v")
-    return near.join(low, "u").join(high, [*keys, "v"]).select(*keys, *extra, "u", "v")
+    inside = join_hot(near, low, "u").join(high, [*keys, "v"])
+    return inside.select(*keys, *extra, "u", "v")
 
 
 def supervision_graph(pairs: DataFrame, split_nodes: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphrecon.session import task_slots
+
 
 def hardest(
     losses: DataFrame, keep_ratio: float = 0.5, min_keep: int = 1, pool: str = "pool"
@@ -60,4 +62,6 @@ def hardest_capped(
             {pool: rows[pool].iloc[0], "row_id": chosen, "place": range(1, len(chosen) + 1)}
         )
 
-    return losses.select(pool, "row_id", "loss", "a", "b").groupBy(pool).applyInPandas(choose, schema)
+    rows = losses.select(pool, "row_id", "loss", "a", "b")
+    spread = rows.repartition(task_slots(rows.sparkSession), pool)
+    return spread.groupBy(pool).applyInPandas(choose, schema)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from graphrecon.functions.rows import beside
 from graphrecon.operators.prefix import global_index
+from graphrecon.session import task_slots
 
 
 def inside_split(pairs: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -50,18 +51,22 @@ def pairs_in_samples(
 
 
 def pair_blocks(rows: DataFrame, id_col: str, block_rows: int) -> DataFrame:
-    """Deal rows into blocks of about ``block_rows`` and repeat them per pair of blocks.
+    """Deal rows into blocks of at most about ``block_rows`` and repeat them per pair of blocks.
 
     Adds ``__block`` and the cell ``__i <= __j`` it meets. Rows of a cell are at most two
-    blocks, however many rows the table has.
+    blocks, however many rows the table has; a small table gets smaller blocks, so that there
+    are cells for all tasks.
     """
-    blocks = max(1, math.ceil(rows.count() / block_rows))
+    slots = task_slots(rows.sparkSession)
+    blocks = max(math.ceil(rows.count() / block_rows), math.ceil(math.sqrt(4 * slots)))
     dealt = rows.withColumn(
         "__block", F.pmod(F.xxhash64(F.col(id_col)), F.lit(blocks)).cast("int")
     ).withColumn("__other", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    return dealt.withColumn("__i", F.least("__block", "__other")).withColumn(
+    cells = dealt.withColumn("__i", F.least("__block", "__other")).withColumn(
         "__j", F.greatest("__block", "__other")
-    ).drop("__other")
+    )
+    # a fixed width: the work of a cell is quadratic, so small cells must not be put together
+    return cells.drop("__other").repartition(slots, "__i", "__j")
 
 
 def enumerate_pairs(

@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphrecon.session import task_slots
+
 EPSILON = 1e-8  # fixed value: guard in the denominators
 DEGREE_BINS = 64  # fixed values: default numbers of histogram centres
 CLUSTERING_BINS = 100
@@ -138,7 +140,7 @@ def soft_clustering(pairs: DataFrame, keys: Sequence[str]) -> DataFrame:
                     }
                 )
 
-    return named.mapInPandas(solve, schema)
+    return named.repartition(task_slots(named.sparkSession)).mapInPandas(solve, schema)
 
 
 def clustering_mmd(
