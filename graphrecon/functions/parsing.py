@@ -86,5 +86,10 @@ def log_event(event: Column, fields: Column) -> Column:
     return F.array_join(F.concat(F.array(log_label(event)), parts), " | ")
 
 
-def printed_float(value: Column) -> Column:
-    return F.format_string("%.4f", value)
+def printed_float(value: Column, digits: int = 4) -> Column:
+    """The number with so many decimals; a value exactly half way goes to the even neighbour."""
+    halves = F.abs(value) * float(2 ** (digits + 1))
+    half_way = halves % 2.0 == 1.0
+    return F.format_string(
+        f"%.{digits}f", F.when(half_way, F.bround(value, digits)).otherwise(value)
+    )

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphrecon.functions.parsing import printed_float
 from graphrecon.functions.schedules import ranking_value
 
 # Strategy and metric names with their column spellings, in report order.
@@ -65,7 +66,7 @@ def markdown_rows(
     table: DataFrame, columns: Sequence[str] = METRIC_COLUMNS
 ) -> DataFrame:
     """The table's rows as Markdown lines, values with four decimals."""
-    cells = [F.format_string("%.4f", F.col(c)) for c in columns]
+    cells = [printed_float(F.col(c)) for c in columns]
     inner = F.concat_ws(
         " | ", "category", "model", *cells, F.col("avg_rank").cast("string")
     )

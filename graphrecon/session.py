@@ -35,5 +35,12 @@ def materialize(df: DataFrame) -> DataFrame:
 
 
 def task_slots(spark: SparkSession) -> int:
-    """Shuffle width of the session, used to size hash buckets."""
-    return max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    """Number of tasks to spread work over: the session's shuffle width.
+
+    On a local master, whose cores are fixed, no more than two tasks per core.
+    """
+    width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    context = spark.sparkContext
+    if context.master.startswith("local"):
+        return min(width, 2 * context.defaultParallelism)
+    return width

@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphrecon.functions.parsing import printed_float
 from graphrecon.functions.rows import beside
 from graphrecon.operators.ranking import METRIC_COLUMNS, markdown_rows
 
@@ -137,7 +138,7 @@ def read_appended(spark: SparkSession, path: str) -> DataFrame:
 
 def trial_rows(trials: DataFrame) -> DataFrame:
     """Trial table for CSV: value with eight decimals or blank, parameters as sorted JSON."""
-    shown = F.when(F.col("value").isNull(), "").otherwise(F.format_string("%.8f", F.col("value")))
+    shown = F.when(F.col("value").isNull(), "").otherwise(printed_float(F.col("value"), 8))
     params = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("params"))))
     return trials.select(
         "trial_number",

@@ -151,6 +151,13 @@ def test_stage_log_round_trip(spark):
     assert spark.range(1).select(event).first()[0] == "Data Ready | Test: 54126 | Val AUPRC: 0.5000"
 
 
+def test_printed_numbers_round_half_way_to_even(spark):
+    values = [0.53125, 0.59375, -0.53125, 2.0, 0.00004, 1234.56789]
+    rows = spark.createDataFrame([(v,) for v in values], "v double")
+    got = [r[0] for r in rows.select(X.printed_float(F.col("v"))).collect()]
+    assert got == [f"{v:.4f}" for v in values]
+
+
 def test_latest_metrics_need_all_strategies(spark):
     rows = [("bfs", 1, "a"), ("BFS", 3, "b"), ("DFS", 2, "c"), ("other", 9, "d")]
     partial = spark.createDataFrame(rows, "strategy string, modified int, payload string")
