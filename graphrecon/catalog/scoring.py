@@ -453,6 +453,18 @@ def f1(spark, sf):
     )
 
 
+@query(
+    "p22_label_validation",
+    """SELECT sum((l_returnflag='N')::INT)::BIGINT AS positives, sum((l_returnflag='R')::INT)::BIGINT AS negatives,
+  sum((l_returnflag='A')::INT)::BIGINT AS other FROM lineitem""",
+)
+def p22(spark, sf):
+    """Returns as 0, new lines as 1, accepted ones as a label out of range."""
+    flag = F.col("l_returnflag")
+    label = F.when(flag == "N", 1).when(flag == "R", 0).otherwise(2)
+    return B.label_facts(T.table(spark, sf, "lineitem").select(label.alias("label")))
+
+
 # ---- batches and mining ----------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphrecon.functions.keys import order_key
@@ -27,18 +27,27 @@ def negatives_for(positives: int, full: int, full_negatives: int, ratio: float)
     return full_negatives if positives == full else max(0, math.ceil(positives * ratio))
 
 
+def label_facts(rows: DataFrame) -> DataFrame:
+    """One row: positives, negatives, and labels that are neither (NULL included)."""
+    def count(hit) -> Column:
+        return F.coalesce(F.sum(hit.cast("bigint")), F.lit(0))
+
+    label = F.col("label")
+    return rows.agg(
+        count(label == 1).alias("positives"),
+        count(label == 0).alias("negatives"),
+        count(label.isNull() | ~label.isin(0, 1)).alias("other"),
+    )
+
+
 def _ranked(rows: DataFrame, seed: int, epoch: int) -> tuple[DataFrame, int, int]:
     """Rows with a random rank inside their class, and both class sizes."""
-    labels = rows.agg(
-        F.sum((F.col("label") == 1).cast("bigint")),
-        F.sum((F.col("label") == 0).cast("bigint")),
-        F.sum((~F.col("label").isin(0, 1)).cast("bigint")),
-    ).first()
-    pos, neg, other = (int(x or 0) for x in labels)
-    if other:
+    facts = label_facts(rows).first()
+    if facts["other"]:
         raise ValueError("labels must be 0 or 1")
-    if not pos or not neg:
+    if not facts["positives"] or not facts["negatives"]:
         raise ValueError("at least one positive and one negative row are needed")
+    pos, neg = int(facts["positives"]), int(facts["negatives"])
     keyed = rows.select(
         "row_id", "label", order_key(seed + epoch, "batch", F.col("label"), F.col("row_id")).alias("key")
     )
@@ -103,16 +112,15 @@ def warmup_batches(
 
 
 def pool_counts(pos: int, neg: int, pool_size: int) -> tuple[int, int]:
-    """Positives and negatives per mining pool, in the natural ratio of the classes."""
-    in_pos = max(0, min(round(pool_size * pos / float(pos + neg)), pos))
-    in_neg = max(0, min(pool_size - in_pos, neg))
-    left = pool_size - in_pos - in_neg
-    if left > 0 and in_pos + in_neg > 0:
-        if neg - in_neg >= left:
-            in_neg += left
-        elif pos - in_pos >= left:
-            in_pos += left
-    return in_pos, in_neg
+    """Positives and negatives per mining pool, in the natural ratio of the classes.
+
+    A pool can only come out short when it holds all negatives; positives then fill it, if there
+    are enough of them.
+    """
+    in_pos = min(round(pool_size * pos / (pos + neg)), pos)
+    in_neg = min(pool_size - in_pos, neg)
+    short = pool_size - in_pos - in_neg
+    return (in_pos + short if short <= pos - in_pos else in_pos), in_neg
 
 
 def mining_pools(
