@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from graphrecon.llm.token_counts import count_tokens
+from graphrecon.llm.wavelet import read_shards, shard_folder, write_shards
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -24,3 +25,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shard_folder(spark, "shards")
+    write_shards(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
+    return read_shards(folder, spark)
