@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from graphrecon.llm.decontaminate import benchmark_matches, contaminated, hit_words, item_digest
 from graphrecon.llm.token_counts import count_tokens
 from graphrecon.llm.wavelet import read_shards, shard_folder, write_shards
 
@@ -32,3 +34,45 @@ def op4_wavelet_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = shard_folder(spark, "shards")
     write_shards(table(spark, sf_dir, "documents"), folder, public_tokenizers.path("word_bpe_49k.json"), end_id=2)
     return read_shards(folder, spark)
+
+
+@query
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = benchmark_matches(docs, table(spark, sf_dir, "benchmark"))
+    n_hit = hit_words(F.col("spans"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        n_hit.alias("n_hit"),
+        F.size("items_met").cast("long").alias("n_items"),
+        item_digest(F.col("items_met")).alias("items_sha256"),
+        contaminated(n_hit, F.col("n_words")).alias("contaminated"),
+    )
+
+
+_WORDS = r"""[x for x in regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
+    'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') if x <> '']"""
+
+ORACLES["op2_decontaminate"] = f"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, {_WORDS} AS w FROM documents),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
+sizes AS (SELECT DISTINCT least(13, len(w)) AS k FROM b WHERE len(w) > 0),
+wins AS (
+  SELECT DISTINCT item_id, least(13, len(w)) AS k, array_to_string(w[i:i + least(13, len(w)) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(generate_series(1, len(w) - least(13, len(w)) + 1)) AS i FROM b WHERE len(w) > 0)
+),
+grams AS (
+  SELECT r, k, i, array_to_string(w[i:i + k - 1], ' ') AS g
+  FROM (SELECT r, w, k, unnest(generate_series(1, len(w) - k + 1)) AS i FROM d, sizes WHERE len(w) >= k)
+),
+met AS (SELECT r, i, grams.k, item_id FROM grams JOIN wins ON grams.k = wins.k AND grams.g = wins.g),
+hit AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(generate_series(i, i + k - 1)) AS p FROM met) GROUP BY r),
+its AS (
+  SELECT r, count(*) AS n, string_agg(s, ',' ORDER BY s) AS s
+  FROM (SELECT DISTINCT r, CAST(item_id AS VARCHAR) AS s FROM met WHERE item_id IS NOT NULL) GROUP BY r
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(hit.n, 0) AS BIGINT) AS n_hit,
+  CAST(coalesce(its.n, 0) AS BIGINT) AS n_items, sha256(coalesce(its.s, '')) AS items_sha256,
+  coalesce(hit.n, 0) > 0 AND 20 * coalesce(hit.n, 0) >= len(w) AS contaminated
+FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)"""
