@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from graphrecon.llm.decontaminate import benchmark_matches, contaminated, hit_words, item_digest
 from graphrecon.llm.html_text import extract_text
+from graphrecon.llm.language import predict_language, train_language_net
 from graphrecon.llm.token_counts import count_tokens
 from graphrecon.llm.wavelet import read_shards, shard_folder, write_shards
 
@@ -82,3 +83,11 @@ FROM d LEFT JOIN hit USING (r) LEFT JOIN its USING (r)"""
 @query
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
+    net = train_language_net(docs.where(~held_out))
+    return predict_language(docs.withColumn("held_out", held_out), net, keep=("doc_id", "held_out"))
