@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from graphrecon.llm.decontaminate import benchmark_matches, contaminated, hit_words, item_digest
 from graphrecon.llm.html_text import extract_text
 from graphrecon.llm.language import predict_language, train_language_net
+from graphrecon.llm.ordinal import accepted, grade_texts, label_grades, train
+from graphrecon.llm.quality_rules import judge
 from graphrecon.llm.token_counts import count_tokens
 from graphrecon.llm.wavelet import read_shards, shard_folder, write_shards
 
@@ -91,3 +93,18 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     held_out = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 3 == 1, F.lit(False))
     net = train_language_net(docs.where(~held_out))
     return predict_language(docs.withColumn("held_out", held_out), net, keep=("doc_id", "held_out"))
+
+
+@query
+def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    judged = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    names = "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept".split()
+    return judged.select(*names, F.array_join("failed_rules", ",").alias("failed_rules"))
+
+
+@query
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = train(docs, label_grades(table(spark, sf_dir, "labels")))
+    graded = grade_texts(docs, model)
+    return graded.withColumn("kept", accepted(F.col("p_best")))
