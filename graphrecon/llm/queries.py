@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from graphrecon.llm.decontaminate import benchmark_matches, contaminated, hit_words, item_digest
 from graphrecon.llm.html_text import extract_text
 from graphrecon.llm.language import predict_language, train_language_net
+from graphrecon.llm.mixing import mix_sources
 from graphrecon.llm.ordinal import accepted, grade_texts, label_grades, train
 from graphrecon.llm.quality_rules import judge
 from graphrecon.llm.token_counts import count_tokens
@@ -108,3 +109,11 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = train(docs, label_grades(table(spark, sf_dir, "labels")))
     graded = grade_texts(docs, model)
     return graded.withColumn("kept", accepted(F.col("p_best")))
+
+
+@query
+def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
+    mixed = mix_sources(table(spark, sf_dir, "documents"))
+    return mixed.select(
+        "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate"
+    )
