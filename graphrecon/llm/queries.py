@@ -12,6 +12,14 @@ from graphrecon.llm.language import predict_language, train_language_net
 from graphrecon.llm.mixing import mix_sources
 from graphrecon.llm.ordinal import accepted, grade_texts, label_grades, train
 from graphrecon.llm.quality_rules import judge
+from graphrecon.llm.secrets import (
+    corpus_samples,
+    count_of,
+    found_spans,
+    generated_strings,
+    joined,
+    transition_ratios,
+)
 from graphrecon.llm.token_counts import count_tokens
 from graphrecon.llm.wavelet import read_shards, shard_folder, write_shards
 
@@ -117,3 +125,16 @@ def op3_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixed.select(
         "doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"), "copies", "rate"
     )
+
+
+@query
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    ratios = transition_ratios(corpus_samples(docs).union(generated_strings(spark)))
+    found = found_spans(docs, ratios)
+    return found.select(
+        "doc_id",
+        *[count_of(F.col("base_spans"), kind).alias(f"n_{kind}") for kind in ("assign", "access", "hex")],
+        F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"),
+        joined(F.col("all_spans")).alias("spans"),
+    )
