@@ -10,6 +10,7 @@ from graphrecon.llm.decontaminate import benchmark_matches, contaminated, hit_wo
 from graphrecon.llm.html_text import extract_text
 from graphrecon.llm.language import predict_language, train_language_net
 from graphrecon.llm.mixing import mix_sources
+from graphrecon.llm.ngram_join import near_duplicates
 from graphrecon.llm.ordinal import accepted, grade_texts, label_grades, train
 from graphrecon.llm.quality_rules import judge
 from graphrecon.llm.secrets import (
@@ -138,3 +139,8 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(joined(F.col("base_spans")), 256).alias("base_sha256"),
         joined(F.col("all_spans")).alias("spans"),
     )
+
+
+@query
+def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
