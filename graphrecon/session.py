@@ -21,13 +21,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if named:
         context.setCheckpointDir(named)
         return named
-    if not context.master.startswith("local"):
+    if not one_machine(spark):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
     context.setCheckpointDir(folder)
     return folder
 
 
+def one_machine(spark: SparkSession) -> bool:
+    """Whether all tasks run in the driver's own process, so with its disk and cores."""
+    master = spark.sparkContext.master
+    return master == "local" or master.startswith("local[")
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute ``df`` once, write it to the shared checkpoint folder and cut its lineage."""
     ensure_checkpoint_dir(df.sparkSession)
@@ -41,6 +47,6 @@ def task_slots(spark: SparkSession) -> int:
     """
     width = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     context = spark.sparkContext
-    if context.master.startswith("local"):
+    if one_machine(spark):
         return min(width, 2 * context.defaultParallelism)
     return width
