@@ -8,12 +8,12 @@ benchmark passages. Documents aren't shuffled: each task streams its rows past t
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterable
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphrecon.llm.batches import add_columns
 from graphrecon.session import materialize
 
 WINDOW = 13
@@ -175,7 +175,6 @@ def benchmark_matches(
     item_text: str = "text",
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
-    keep: list[str] | None = None,
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``spans`` (word ranges inside benchmark passages) and ``items_met``.
 
@@ -188,39 +187,32 @@ def benchmark_matches(
     of them are split into blocks by a hash, and each block in turn runs over all documents, the result
     written between two turns; so a task holds one block at any time, whatever the items' number.
     """
-    kept = [c for c in (keep or docs.columns) if c not in ("n_words", "spans", "items_met")]
     named = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
     size = named.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // (4 * block_words)))  # four characters a word, at least, on average
-    none = "array<struct<a:int,b:int>>"
-    rows = docs.select(
-        *kept,
-        F.lit(0).cast("long").alias("n_words"),
-        F.array().cast(none).alias("spans"),
-        F.array().cast("array<string>").alias("items_met"),
-    )
-    if text not in kept:
-        raise ValueError(f"{text} has to be kept")
+    added = {"n_words": "long", "spans": "array<struct<a:int,b:int>>", "items_met": "array<string>"}
+    rows = docs
     for block in range(blocks):
         mine = named.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)
         held = [(r["id"], words_of(r["text"])) for r in mine.toLocalIterator()]
-
-        def run(batches: Iterator[pd.DataFrame], held=held, first=block == 0) -> Iterator[pd.DataFrame]:
-            automaton = Automaton(held, window)
-            for batch in batches:
-                counts, spans, met = [], [], []
-                for x, old, known in zip(batch[text], batch["spans"], batch["items_met"]):
-                    words = words_of(x)
-                    found, names = automaton.match(words)
-                    if not first:
-                        found = _merged([*found, *((s["a"], s["b"]) for s in old)])
-                        names |= set(known)
-                    counts.append(len(words))
-                    spans.append([{"a": a, "b": b} for a, b in found])
-                    met.append(sorted(names))
-                yield batch.assign(n_words=counts, spans=spans, items_met=met)
-
-        rows = rows.mapInPandas(run, rows.schema)
+        built: list[Automaton] = []  # by the first lot of a task
+
+        def run(texts, before=None, met_before=None, held=held, built=built):
+            if not built:
+                built.append(Automaton(held, window))
+            counts, spans, met = [], [], []
+            for at, text in enumerate(texts):
+                words = words_of(text)
+                found, names = built[0].match(words)
+                if before is not None:
+                    found = _merged([*found, *((s["a"], s["b"]) for s in before[at])])
+                    names |= set(met_before[at])
+                counts.append(len(words))
+                spans.append([{"a": a, "b": b} for a, b in found])
+                met.append(sorted(names))
+            return counts, spans, met
+
+        rows = add_columns(rows, [text, "spans", "items_met"] if block else [text], added, run)
         if block + 1 < blocks:
             rows = materialize(rows)
     return rows
@@ -255,15 +247,11 @@ def decontaminate(
     stay = found.where(~contaminated(hit_words(F.col("spans")), F.col("n_words"), share))
     if longest is not None:
 
-        def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-            for batch in batches:
-                texts = []
-                for x, spans in zip(batch[text], batch["spans"]):
-                    long = [(s["a"], s["b"]) for s in spans if s["b"] - s["a"] >= longest]
-                    texts.append(without_words(x, long) if long else x)
-                yield batch.assign(**{text: texts})
+        def cut(texts, spans):
+            long = [[(s["a"], s["b"]) for s in own if s["b"] - s["a"] >= longest] for own in spans]
+            return [[without_words(t, own) if own else t for t, own in zip(texts, long)]]
 
-        stay = stay.mapInPandas(cut, stay.schema)
+        stay = add_columns(stay, [text, "spans"], {text: "string"}, cut)
     return stay.select([F.col(f"`{c}`") for c in columns])
 
 

@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphrecon.llm.batches import add_columns
+
 WINDOW, SURGE = 3, 86
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'<>]|"[^"]*"|'[^']*')*)>|<[!?/][^<>]*>""")
@@ -145,12 +145,6 @@ def extract_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = (
     each; other columns aren't read; an empty table gives an empty result. No shuffle.
     """
 
-    def extract(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            batch["text"] = [main_text(x) for x in batch.pop("__html")]
-            yield batch
-
-    kept = pages.select(*[F.col(c) for c in keep])
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + ["text string"])
-    found = pages.select(*[F.col(c) for c in keep], F.col(html).alias("__html")).mapInPandas(extract, schema)
+    rows = pages.select(*[F.col(c) for c in keep], F.col(html).alias("__html"))
+    found = add_columns(rows, ["__html"], {"text": "string"}, lambda raw: [list(map(main_text, raw))], ["__html"])
     return found.withColumn("n_chars", F.length("text").cast("long"))

@@ -8,18 +8,20 @@ of weights by byte and place, so that answers are sums of table rows and need no
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from graphrecon.llm.batches import add_columns
+
 WIDTHS, FILTERS, LENGTH = (2, 3, 4), 16, 256
 #: The most rows, of all languages together, that training looks at, and the most characters of one.
 TRAIN_ROWS, TRAIN_CHARS = 4_000, 2_000
 UNKNOWN = "und"
+#: Windows that go through the network at once.
+WORK = 64
 
 _BYTES = bytes(
     b + 32
@@ -179,41 +181,36 @@ def predict_language(
     empty result. No shuffle; a task holds a batch of texts and some hundred windows.
     """
 
-    def predict(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts, letters = batch.pop("__text"), batch.pop("__letters")
-            sums = np.zeros((len(texts), max(1, len(net.languages))))
-            waiting, owners, held = [], [], 0
-
-            def work():
-                windows = np.concatenate(waiting)
-                found = net.probabilities(windows) * (windows != 0).sum(axis=1, keepdims=True)
-                np.add.at(sums, np.repeat([o for o, _ in owners], [n for _, n in owners]), found)
-                waiting.clear()
-                owners.clear()
-
-            for i, (text, has) in enumerate(zip(texts, letters)):
-                windows = windows_of(text) if has and net.languages else ()
-                for at in range(0, len(windows), 128):
-                    part = windows[at : at + 128]
-                    waiting.append(part)
-                    owners.append((i, len(part)))
-                    held += len(part)
-                    if held >= 128:
-                        work()
-                        held = 0
-            if waiting:
-                work()
-            total = sums.sum(axis=1)
-            best = sums.argmax(axis=1)
-            known = total > 0
-            batch["lang_pred"] = [net.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
-            batch["score"] = np.where(known, sums.max(axis=1) / np.where(known, total, 1), 0.0).clip(0, 1)
-            yield batch
-
-    kept = docs.select(*[F.col(c) for c in keep])
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + ["lang_pred string", "score double"]
-    )
+    def predict(texts, letters):
+        sums = np.zeros((len(texts), max(1, len(net.languages))))
+        waiting, owners, held = [], [], 0
+
+        def work():
+            windows = np.concatenate(waiting)
+            found = net.probabilities(windows) * (windows != 0).sum(axis=1, keepdims=True)
+            np.add.at(sums, np.repeat([o for o, _ in owners], [n for _, n in owners]), found)
+            waiting.clear()
+            owners.clear()
+
+        for i, (own, has) in enumerate(zip(texts, letters)):
+            windows = windows_of(own) if has and net.languages else ()
+            for at in range(0, len(windows), WORK):
+                part = windows[at : at + WORK]
+                waiting.append(part)
+                owners.append((i, len(part)))
+                held += len(part)
+                if held >= WORK:
+                    work()
+                    held = 0
+        if waiting:
+            work()
+        total, best = sums.sum(axis=1), sums.argmax(axis=1)
+        known = total > 0
+        languages = [net.languages[b] if k else UNKNOWN for b, k in zip(best, known)]
+        return languages, np.where(known, sums.max(axis=1) / np.where(known, total, 1), 0.0).clip(0, 1)
+
     has = F.coalesce(F.col(text).rlike(r"\p{L}"), F.lit(False)).alias("__letters")
-    return docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"), has).mapInPandas(predict, schema)
+    rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"), has)
+    return add_columns(
+        rows, ["__text", "__letters"], {"lang_pred": "string", "score": "double"}, predict, ["__text", "__letters"]
+    )

@@ -8,14 +8,14 @@ expected grade and the probability of each grade or better.
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphrecon.llm.batches import add_columns
+
 BITS = 18
 #: The most labelled rows, of each grade, that the fit looks at.
 TRAIN_ROWS = 4_000
@@ -160,15 +160,12 @@ def train(
     drawn = lowest.where(wanted).limit(2 * most * max(1, len(counts)))
     grades = sorted(counts)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield pd.DataFrame(
-                {"grade": batch["__grade"], "features": [features(x).astype("<i4").tobytes() for x in batch["__text"]]}
-            )
+    def run(texts):
+        return [[features(x).astype("<i4").tobytes() for x in texts]]
 
     texts = docs.select(F.col(key), F.col(text).alias("__text")).join(F.broadcast(drawn), key)
-    found = texts.select("__grade", "__text").mapInPandas(run, "grade int, features binary")
-    got = sorted((r["grade"], bytes(r["features"])) for r in found.limit(2 * most * max(1, len(counts))).collect())
+    found = add_columns(texts.select("__grade", "__text"), ["__text"], {"features": "binary"}, run, ["__text"])
+    got = sorted((r["__grade"], bytes(r["features"])) for r in found.limit(2 * most * max(1, len(counts))).collect())
     place = {g: i for i, g in enumerate(grades)}
     y = np.array([place[g] for g, _ in got], dtype=int)
     rows = [np.frombuffer(x, "<i4") for _, x in got]
@@ -184,25 +181,18 @@ def grade_texts(
     """``keep`` columns with ``expected_grade`` and ``p_best``, the probability of the best grade.
 
     A null or empty text is graded by its sizes alone. Without rated rows every text has the best
-    grade. Repeated rows are graded each; names that clash with the two columns have to be left out of ``keep``;
+    grade. Repeated rows are graded each; columns of the two names are replaced;
     an empty table gives an empty result. No shuffle; tasks hold the weights and one batch.
     """
-    weights = model.weights.astype(np.float32)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            texts = batch[text] if text in keep else batch.pop("__text")
-            scores = np.array([float(weights[features(x)].sum()) for x in texts])
-            tails = OrdinalModel(weights, model.thresholds).tails(scores.reshape(-1))
-            yield batch.assign(expected_grade=tails.sum(axis=1), p_best=tails[:, -1])
-
-    extra = [] if text in keep else [F.col(text).alias("__text")]
-    kept = docs.select(*[F.col(c) for c in keep])
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields]
-        + ["expected_grade double", "p_best double"]
-    )
-    return docs.select(*[F.col(c) for c in keep], *extra).mapInPandas(run, schema)
+    weights, thresholds = model.weights.astype(np.float32), model.thresholds
+
+    def run(texts):
+        scores = np.array([float(weights[features(x)].sum()) for x in texts])
+        tails = OrdinalModel(weights, thresholds).tails(scores)
+        return tails.sum(axis=1), tails[:, -1]
+
+    rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
+    return add_columns(rows, ["__text"], {"expected_grade": "double", "p_best": "double"}, run, ["__text"])
 
 
 def label_grades(labels: DataFrame) -> DataFrame:

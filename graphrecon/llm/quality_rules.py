@@ -17,6 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphrecon.llm.batches import add_columns
 from graphrecon.session import materialize
 
 SYMBOLS = b"#*$%&|<>"
@@ -75,20 +76,11 @@ def measures(text: str | None) -> tuple[int, ...]:
 
 def measure(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns with the measures of each text. No shuffle; one batch of texts at a time."""
-    names = ["n_words", *_PLAIN, *_MORE]
+    def run(texts):
+        return list(zip(*map(measures, texts)))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            found = np.array([measures(x) for x in batch.pop("__text")], np.int64).reshape(-1, len(names))
-            for at, name in enumerate(names):
-                batch[name] = found[:, at]
-            yield batch
-
-    kept = docs.select(*[F.col(c) for c in keep])
-    schema = ", ".join(
-        [f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields] + [f"{n} long" for n in names]
-    )
-    return docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text")).mapInPandas(run, schema)
+    rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
+    return add_columns(rows, ["__text"], dict.fromkeys(["n_words", *_PLAIN, *_MORE], "long"), run, ["__text"])
 
 
 def base_failed() -> Column:
