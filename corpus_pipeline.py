@@ -28,8 +28,8 @@ END_ID = 2
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose best grade is likelier than not, by a model of the rated ones among them."""
     ratings = label_grades(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    graded = grade_texts(docs, train(docs, ratings), keep=tuple(docs.columns))
-    return graded.where(accepted(F.col("p_best"))).select(docs.columns)
+    graded = grade_texts(docs, train(docs, ratings), keep=tuple(docs.columns), names=("__grade", "__best"))
+    return graded.where(accepted(F.col("__best"))).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -175,13 +175,14 @@ def benchmark_matches(
     item_text: str = "text",
     window: int = WINDOW,
     block_words: int = BLOCK_WORDS,
+    names: tuple[str, str, str] = ("n_words", "spans", "items_met"),
 ) -> DataFrame:
     """``docs`` with ``n_words``, ``spans`` (word ranges inside benchmark passages) and ``items_met``.
 
     Null and empty texts, of documents and items alike, have no words and no spans. Items of one
     text all count; a null item id marks spans but isn't listed. Repeated documents are judged
     each. Without items, or with an empty table, nothing is met. Columns of ``docs`` named like an
-    added one are replaced.
+    added one (``names`` gives others) are replaced.
 
     Items up to ``block_words`` words (counted first) are one automaton, sent to every task. More
     of them are split into blocks by a hash, and each block in turn runs over all documents, the result
@@ -190,7 +191,7 @@ def benchmark_matches(
     named = items.select(F.col(item_id).cast("string").alias("id"), F.col(item_text).alias("text"))
     size = named.agg(F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-size // (4 * block_words)))  # four characters a word, at least, on average
-    added = {"n_words": "long", "spans": "array<struct<a:int,b:int>>", "items_met": "array<string>"}
+    added = dict(zip(names, ("long", "array<struct<a:int,b:int>>", "array<string>")))
     rows = docs
     for block in range(blocks):
         mine = named.where(F.pmod(F.xxhash64("id", "text"), F.lit(blocks)) == block)
@@ -212,7 +213,7 @@ def benchmark_matches(
                 met.append(sorted(names))
             return counts, spans, met
 
-        rows = add_columns(rows, [text, "spans", "items_met"] if block else [text], added, run)
+        rows = add_columns(rows, [text, *names[1:]] if block else [text], added, run)
         if block + 1 < blocks:
             rows = materialize(rows)
     return rows
@@ -234,7 +235,7 @@ def decontaminate(
     share: int = 20,
     longest: int | None = None,
     window: int = WINDOW,
-    **names,
+    **options,
 ) -> DataFrame:
     """``docs`` without contaminated documents, and without overlong benchmark spans in the others.
 
@@ -243,15 +244,16 @@ def decontaminate(
     texts as they are. Edge cases: see ``benchmark_matches``.
     """
     columns = docs.columns
-    found = benchmark_matches(docs, items, text, window=window, **names)
-    stay = found.where(~contaminated(hit_words(F.col("spans")), F.col("n_words"), share))
+    names = ("__n_words", "__spans", "__items_met")
+    found = benchmark_matches(docs, items, text, window=window, names=names, **options)
+    stay = found.where(~contaminated(hit_words(F.col("__spans")), F.col("__n_words"), share))
     if longest is not None:
 
         def cut(texts, spans):
             long = [[(s["a"], s["b"]) for s in own if s["b"] - s["a"] >= longest] for own in spans]
             return [[without_words(t, own) if own else t for t, own in zip(texts, long)]]
 
-        stay = add_columns(stay, [text, "spans"], {text: "string"}, cut)
+        stay = add_columns(stay, [text, "__spans"], {text: "string"}, cut)
     return stay.select([F.col(f"`{c}`") for c in columns])
 
 

@@ -211,11 +211,12 @@ def _bit_filter(rows: DataFrame, column: str) -> DataFrame:
 
 
 def _may_hold(rows: DataFrame, bits: DataFrame, column: str) -> DataFrame:
-    """``rows`` with ``maybe``: false only for values that the filter wasn't made of."""
+    """``rows`` with ``__maybe``: false only for values that the filter wasn't made of."""
     slot = F.pmod(F.col(column), F.lit(FILTER_BITS))
     bit = F.expr(f"shiftleft(1L, cast(pmod({column}, 64) as int))")
-    held = rows.withColumn("word", F.shiftright(slot, 6)).join(F.broadcast(bits), "word", "left")
-    return held.withColumn("maybe", F.coalesce(F.col("bits").bitwiseAND(bit) != 0, F.lit(False))).drop("word", "bits")
+    made = bits.select(F.col("word").alias("__word"), F.col("bits").alias("__bits"))
+    held = rows.withColumn("__word", F.shiftright(slot, 6)).join(F.broadcast(made), "__word", "left")
+    return held.withColumn("__maybe", F.coalesce(F.col("__bits").bitwiseAND(bit) != 0, F.lit(False))).drop("__word", "__bits")
 
 
 def _sets_of(docs: DataFrame, nodes: DataFrame, key: str, text: str, size: int) -> DataFrame:
@@ -237,7 +238,7 @@ def _sets_of(docs: DataFrame, nodes: DataFrame, key: str, text: str, size: int)
             yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(members, pa.binary())], ["node", "members"])
 
     texts = _may_hold(docs.select(_row_hash(key, text).alias("row"), F.col(text).alias("text")), _bit_filter(nodes, "row"), "row")
-    wanted = texts.where("maybe").select("row", "text").join(nodes, "row").select("node", "text")
+    wanted = texts.where("__maybe").select("row", "text").join(nodes, "row").select("node", "text")
     sets = wanted.mapInArrow(run, "node long, members binary")
     return sets.groupBy("node").agg(F.first("members").alias("members"))  # repeated rows give one set
 
@@ -418,10 +419,12 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     first = groups.groupBy("part").agg(F.min(rank).alias("first")).select("part", F.col("first.row").alias("kept"))
     by_row = groups.groupBy("row", "part").agg(F.count(F.lit(1)).alias("times"))
     marks = by_row.join(first, "part").select("row", (F.col("row") == F.col("kept")).alias("stays"), "times")
-    marks = materialize(marks.where("not stays or times > 1").select("row", "stays"))
-    held = _may_hold(docs.withColumn("row", _row_hash(key, text)), _bit_filter(marks, "row"), "row")
-    judged = held.where("maybe").join(marks, "row", "left")
-    clear = held.where("not maybe").select(*docs.columns)
-    unmarked = judged.where("stays is null").select(*docs.columns)
-    repeated = judged.where("stays").dropDuplicates(["row"]).select(*docs.columns)
+    marks = marks.where("not stays or times > 1").select(F.col("row").alias("__row"), F.col("stays").alias("__stays"))
+    marks = materialize(marks)
+    bits = _bit_filter(marks, "__row")
+    held = _may_hold(docs.withColumn("__row", _row_hash(key, text)), bits, "__row")
+    judged = held.where("__maybe").join(marks, "__row", "left")
+    clear = held.where("not __maybe").select(*docs.columns)
+    unmarked = judged.where("__stays is null").select(*docs.columns)
+    repeated = judged.where("__stays").dropDuplicates(["__row"]).select(*docs.columns)
     return clear.union(unmarked).union(repeated)

@@ -176,12 +176,16 @@ def train(
 
 
 def grade_texts(
-    docs: DataFrame, model: OrdinalModel, text: str = "text", keep: tuple[str, ...] = ("doc_id",)
+    docs: DataFrame,
+    model: OrdinalModel,
+    text: str = "text",
+    keep: tuple[str, ...] = ("doc_id",),
+    names: tuple[str, str] = ("expected_grade", "p_best"),
 ) -> DataFrame:
     """``keep`` columns with ``expected_grade`` and ``p_best``, the probability of the best grade.
 
     A null or empty text is graded by its sizes alone. Without rated rows every text has the best
-    grade. Repeated rows are graded each; columns of the two names are replaced;
+    grade. Repeated rows are graded each; columns of the two ``names`` are replaced;
     an empty table gives an empty result. No shuffle; tasks hold the weights and one batch.
     """
     weights, thresholds = model.weights.astype(np.float32), model.thresholds
@@ -192,7 +196,7 @@ def grade_texts(
         return tails.sum(axis=1), tails[:, -1]
 
     rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
-    return add_columns(rows, ["__text"], {"expected_grade": "double", "p_best": "double"}, run, ["__text"])
+    return add_columns(rows, ["__text"], dict.fromkeys(names, "double"), run, ["__text"])
 
 
 def label_grades(labels: DataFrame) -> DataFrame:
