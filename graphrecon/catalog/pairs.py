@@ -30,8 +30,10 @@ def p1(spark, sf):
     """WITH e AS (SELECT 'S'||vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings),
 p AS (SELECT 'P'||l_partkey AS a, 'S'||l_suppkey AS b FROM lineitem),
 f AS (SELECT 'P'||vec_id AS id, embedding::DOUBLE[] AS vec FROM embeddings)
-SELECT a, b, count(*) AS lines, round(max(list_dot_product(f.vec, e.vec)),6) AS score
-FROM p JOIN f ON f.id = a JOIN e ON e.id = b GROUP BY a, b""",
+SELECT a, b, count(*) AS lines, round(max(list_dot_product(f.vec, e.vec)),6) AS score,
+  max(CASE WHEN f.id IS NOT NULL AND e.id IS NOT NULL THEN 'both' WHEN f.id IS NOT NULL THEN 'first'
+    WHEN e.id IS NOT NULL THEN 'second' ELSE 'none' END) AS state
+FROM p LEFT JOIN f ON f.id = a LEFT JOIN e ON e.id = b GROUP BY a, b""",
 )
 def j1(spark, sf):
     """Every order line as a part-supplier pair; each end meets its vector."""
@@ -47,8 +49,8 @@ def j1(spark, sf):
     pairs = T.table(spark, sf, "lineitem").groupBy(
         T.part_id().alias("a"), T.supplier_id().alias("b")
     ).agg(F.count(F.lit(1)).alias("lines"))
-    scored = V.score_pairs(pairs, ids, dot(F.col("vec_a"), F.col("vec_b")))
-    return scored.select("a", "b", "lines", rounded(F.col("logit")).alias("score"))
+    scored = V.score_pairs(pairs, ids, dot(F.col("vec_a"), F.col("vec_b")), missing="keep")
+    return scored.select("a", "b", "lines", rounded(F.col("logit")).alias("score"), "state")
 
 
 @query(

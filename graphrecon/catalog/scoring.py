@@ -212,11 +212,14 @@ def w10(spark, sf):
     "p20_pair_features",
     """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
 p AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem),
-j AS (SELECT a, b, ea.x AS x, eb.x AS y FROM p JOIN e ea ON ea.vec_id=a JOIN e eb ON eb.vec_id=b)
-SELECT a, b, round(list_dot_product(x,y)/(sqrt(list_dot_product(x,x)+1e-8::DOUBLE)*sqrt(list_dot_product(y,y)+1e-8::DOUBLE)),6) AS cosine,
+j AS (SELECT a, b, ea.x AS x, eb.x AS y, CASE WHEN ea.vec_id IS NOT NULL AND eb.vec_id IS NOT NULL THEN 'both' WHEN ea.vec_id IS NOT NULL THEN 'first'
+    WHEN eb.vec_id IS NOT NULL THEN 'second' ELSE 'none' END AS state
+  FROM p LEFT JOIN e ea ON ea.vec_id=a LEFT JOIN e eb ON eb.vec_id=b)
+SELECT a, b, state, round(list_dot_product(x,y)/(sqrt(list_dot_product(x,x)+1e-8::DOUBLE)*sqrt(list_dot_product(y,y)+1e-8::DOUBLE)),6) AS cosine,
   round(list_dot_product(x,y)/(8+1e-8::DOUBLE),6) AS dot,
   round(list_sum(x)+list_sum(y)+list_sum(list_transform(list_zip(x,y), lambda t: abs(t[1]-t[2])))
-    +list_dot_product(x,y),6) AS feature_sum FROM j""",
+    +list_dot_product(x,y),6) AS feature_sum FROM j WHERE state = 'both'
+UNION ALL SELECT a, b, state, NULL, NULL, NULL FROM j WHERE state <> 'both'""",
 )
 def p20(spark, sf):
     base = T.table(spark, sf, "embeddings").select(
@@ -227,12 +230,14 @@ def p20(spark, sf):
     ).distinct()
     x, y = F.col("vec_a"), F.col("vec_b")
     features = F.aggregate(X.pair_features(x, y), F.lit(0.0), lambda s, v: s + v)
-    return V.lookup_vectors(pairs, base).select(
+    state = V.vector_state(x, y)
+    return V.lookup_vectors(pairs, base, missing="keep").select(
         "a",
         "b",
-        rounded(X.smoothed_cosine(x, y)).alias("cosine"),
-        rounded(X.scaled_dot(x, y)).alias("dot"),
-        rounded(features).alias("feature_sum"),
+        state.alias("state"),
+        F.when(state == "both", rounded(X.smoothed_cosine(x, y))).alias("cosine"),
+        F.when(state == "both", rounded(X.scaled_dot(x, y))).alias("dot"),
+        F.when(state == "both", rounded(features)).alias("feature_sum"),
     )
 
 
@@ -285,8 +290,9 @@ def f2_distribution(spark, sf):
     "f2_score_listed_pairs",
     """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings),
 p AS (SELECT DISTINCT l_partkey AS a, l_suppkey AS b FROM lineitem)
-SELECT a, b, round(list_cosine_similarity(ea.x, eb.x),6) AS logit
-FROM p JOIN e ea ON ea.vec_id=a JOIN e eb ON eb.vec_id=b""",
+SELECT a, b, round(list_cosine_similarity(ea.x, eb.x),6) AS logit, CASE WHEN ea.vec_id IS NOT NULL AND eb.vec_id IS NOT NULL THEN 'both' WHEN ea.vec_id IS NOT NULL THEN 'first'
+    WHEN eb.vec_id IS NOT NULL THEN 'second' ELSE 'none' END AS state
+FROM p LEFT JOIN e ea ON ea.vec_id=a LEFT JOIN e eb ON eb.vec_id=b""",
 )
 def f2_listed(spark, sf):
     base = T.table(spark, sf, "embeddings").select(
@@ -295,8 +301,8 @@ def f2_listed(spark, sf):
     pairs = T.table(spark, sf, "lineitem").select(
         F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b")
     ).distinct()
-    scored = V.score_pairs(pairs, base, X.cosine(F.col("vec_a"), F.col("vec_b")))
-    return scored.select("a", "b", rounded(F.col("logit")).alias("logit"))
+    scored = V.score_pairs(pairs, base, X.cosine(F.col("vec_a"), F.col("vec_b")), missing="keep")
+    return scored.select("a", "b", rounded(F.col("logit")).alias("logit"), "state")
 
 
 def _soft_rows(spark, sf):

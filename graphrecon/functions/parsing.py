@@ -73,7 +73,7 @@ def log_label(token: Column) -> Column:
     shown = F.transform(
         words,
         lambda w: F.when(F.lower(w).isin(*LABEL_ACRONYMS), F.upper(w)).otherwise(
-            F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substring(w, 2, 1_000_000)))
+            F.concat(F.upper(F.substring(w, 1, 1)), F.lower(F.substr(w, F.lit(2))))
         ),
     )
     return F.array_join(shown, " ")

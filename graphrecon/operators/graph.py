@@ -11,7 +11,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphrecon.functions.keys import canonical
-from graphrecon.operators.skew import join_hot
 
 
 def edges_from_pairs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -117,7 +116,7 @@ def induced_edges(
     near = edges_inside(edges.select("u", "v", *extra), members.select("id").distinct())
     low = members.withColumnRenamed("id", "u")
     high = members.withColumnRenamed("id", "v")
-    inside = join_hot(near, low, "u").join(high, [*keys, "v"])
+    inside = near.join(low, "u").join(high, [*keys, "v"])
     return inside.select(*keys, *extra, "u", "v")
 
 
@@ -173,7 +172,7 @@ def _oriented(edges: DataFrame, groups: Sequence[str]) -> DataFrame:
     if groups:
         both = simple.join(du, [*groups, "u"]).join(dv, [*groups, "v"])
     else:
-        both = join_hot(join_hot(simple, du, "u"), dv, "v")
+        both = simple.join(du, "u").join(dv, "v")
     first = F.struct("du", "u") < F.struct("dv", "v")
     return both.select(
         *groups,
@@ -193,7 +192,7 @@ def triangle_corners(edges: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
     out = oriented.groupBy(*groups, "lo").agg(F.collect_list("hi").alias("out"))
     paths = out.select(*groups, "lo", F.explode("out").alias("hi"), F.col("out").alias("out_lo"))
     ends = out.select(*groups, F.col("lo").alias("hi"), F.col("out").alias("out_hi"))
-    met = paths.join(ends, [*groups, "hi"]) if groups else join_hot(paths, ends, "hi")
+    met = paths.join(ends, [*groups, "hi"]) if groups else paths.join(ends, "hi")
     third = F.array_intersect("out_lo", "out_hi")
     one = F.lit(1).cast("bigint")
     shares = (

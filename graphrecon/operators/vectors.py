@@ -11,20 +11,34 @@ from pyspark.sql import functions as F
 
 from graphrecon.functions.vectors import vector_error
 from graphrecon.operators.pairs import pair_blocks
-from graphrecon.operators.skew import HOT_ROWS, join_hot
 
 
 def lookup_vectors(
-    pairs: DataFrame, vectors: DataFrame, a: str = "a", b: str = "b", min_hot_rows: int = HOT_ROWS
+    pairs: DataFrame, vectors: DataFrame, a: str = "a", b: str = "b", missing: str = "raise"
 ) -> DataFrame:
     """Add the vectors of both ends as ``vec_a, vec_b``; ``vectors(id, vec)``, one row per id.
 
-    An id in very many pairs is salted, so its pairs spread over many tasks.
+    No pair is lost: an id without a vector raises, naming the first ten such ids, or, with
+    ``missing="keep"``, leaves NULL. An id in very many pairs is spread by the engine's splitting
+    of skewed joins, whatever the number of such ids.
     """
+    if missing not in ("raise", "keep"):
+        raise ValueError("missing is 'raise' or 'keep'")
+    if missing == "raise":
+        require_vectors(pairs, vectors, a, b)
     left = vectors.select(F.col("id").alias(a), F.col("vec").alias("vec_a"))
     right = vectors.select(F.col("id").alias(b), F.col("vec").alias("vec_b"))
-    once = join_hot(pairs, left, a, min_rows=min_hot_rows)
-    return join_hot(once, right, b, min_rows=min_hot_rows)
+    return pairs.join(left, a, "left").join(right, b, "left")
+
+
+def vector_state(vec_a: Column, vec_b: Column) -> Column:
+    """``both``, ``first``, ``second`` or ``none``: which ends of a pair have a vector."""
+    return (
+        F.when(vec_a.isNotNull() & vec_b.isNotNull(), "both")
+        .when(vec_a.isNotNull(), "first")
+        .when(vec_b.isNotNull(), "second")
+        .otherwise("none")
+    )
 
 
 def missing_ids(pairs: DataFrame, vectors: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -41,10 +55,23 @@ def require_vectors(pairs: DataFrame, vectors: DataFrame, a: str = "a", b: str =
 
 
 def score_pairs(
-    pairs: DataFrame, vectors: DataFrame, logit: Column, a: str = "a", b: str = "b"
+    pairs: DataFrame,
+    vectors: DataFrame,
+    logit: Column,
+    a: str = "a",
+    b: str = "b",
+    missing: str = "raise",
 ) -> DataFrame:
-    """Score listed pairs by an expression over ``vec_a`` and ``vec_b``."""
-    return lookup_vectors(pairs, vectors, a, b).select(*pairs.columns, logit.alias("logit"))
+    """Score listed pairs by an expression over ``vec_a`` and ``vec_b``.
+
+    With ``missing="keep"`` pairs without both vectors stay, with a NULL score, and ``state`` says why.
+    """
+    met = lookup_vectors(pairs, vectors, a, b, missing)
+    if missing == "raise":
+        return met.select(*pairs.columns, logit.alias("logit"))
+    state = vector_state(F.col("vec_a"), F.col("vec_b"))
+    scored = F.when(state == "both", logit).alias("logit")
+    return met.select(*pairs.columns, scored, state.alias("state"))
 
 
 def similarity_blocks(

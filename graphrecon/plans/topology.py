@@ -50,6 +50,13 @@ def sample_nodes(
     )
 
 
+def require_same_nodes(nodes: DataFrame, keys: Sequence[str] = KEYS) -> None:
+    """Raise when a sample's prediction, given the nodes it lacks, has nodes that the truth has not."""
+    row = nodes.filter("in_pred > in_true").select(*keys, "id").limit(1).collect()
+    if row:
+        raise ValueError(f"predicted and true graph differ in nodes: {row[0].asDict()}")
+
+
 def overlap_details(nodes: DataFrame, edges: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Similarity and relative density per sample.
 
@@ -206,6 +213,7 @@ def evaluate_graph(
     completed = G.add_missing_nodes(found, true_nodes, node_policy)
     edges = materialize(sample_graphs(samples, true_edges, pred_edges))
     nodes = materialize(sample_nodes(samples, true_nodes, completed))
+    require_same_nodes(nodes)
     details = overlap_details(nodes, edges)
     mmds = None
     if mmd:

@@ -10,7 +10,6 @@ from graphrecon.operators import compare as C
 from graphrecon.operators import graph as G
 from graphrecon.operators import pairs as P
 from graphrecon.operators import soft as S
-from graphrecon.operators.skew import join_hot
 from graphrecon.plans import topology as T
 
 
@@ -105,15 +104,6 @@ def test_hub_holding_a_third_of_all_edges(spark, edges, ids):
     assert got == want
 
 
-def test_salted_join_is_a_join(spark):
-    rows = spark.createDataFrame([(1, i) for i in range(200)] + [(k, 0) for k in range(2, 30)], "k int, x int")
-    look = spark.createDataFrame([(k, f"v{k}") for k in range(1, 25)], "k int, v string")
-    for how in ("inner", "left", "left_anti"):
-        a = join_hot(rows, look, "k", how, min_rows=50, salts=7)
-        b = rows.join(look, "k", how)
-        assert sorted(map(tuple, a.collect()), key=str) == sorted(map(tuple, b.collect()), key=str)
-
-
 def test_spectral_histogram(spark, edges, ids):
     graph = {"path": [("a", "b"), ("b", "c")], "full": [("a", "b"), ("b", "c"), ("a", "c")], "none": []}
     nodes = spark.createDataFrame([(k, x) for k in graph for x in "abc"], "sample_id string, id string")

@@ -123,8 +123,13 @@ def test_vector_functions(spark):
 def test_lookup_audit_and_hot_ids(spark):
     vectors = spark.createDataFrame([(f"n{i}", [float(i), 1.0]) for i in range(20)], "id string, vec array<double>")
     pairs = spark.createDataFrame([("n0", f"n{i}") for i in range(20)] + [("n1", "gone")], "a string, b string")
-    got = V.lookup_vectors(pairs, vectors, min_hot_rows=5)
+    got = V.lookup_vectors(pairs.where("b <> 'gone'"), vectors)
     assert sorted((r["a"], r["b"], r["vec_b"][0]) for r in got.collect()) == sorted(("n0", f"n{i}", float(i)) for i in range(20))
+    with pytest.raises(ValueError, match="gone"):
+        V.lookup_vectors(pairs, vectors)
+    scored = V.score_pairs(pairs, vectors, F.get("vec_b", F.lit(0)), missing="keep").collect()
+    assert len(scored) == 21
+    assert [(r["a"], r["logit"], r["state"]) for r in scored if r["b"] == "gone"] == [("n1", None, "first")]
     assert [r["id"] for r in V.missing_ids(pairs, vectors).collect()] == ["gone"]
     with pytest.raises(ValueError, match="gone"):
         V.require_vectors(pairs, vectors)
