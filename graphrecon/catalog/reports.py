@@ -405,6 +405,27 @@ def k4(spark, sf):
     )
 
 
+@query(
+    "k4_s13_metric_files",
+    _TOPO
+    + """ SELECT s AS strategy, graph_count, round(gs,6) AS graph_sim, round(rd,6) AS relative_density
+FROM g, (VALUES ('BFS'), ('DFS'), ('RANDOM_WALK')) t(s) WHERE scope = 'summary'""",
+)
+def k4_s13(spark, sf):
+    """Metric files of three runs written, and the newest of each strategy read back."""
+    folder, result = T.scratch(spark), _result(spark, sf)
+    for strategy in ("bfs", "dfs", "random_walk"):
+        run = {"model": "m", "run_id": strategy, "species": "human", "split_strategy": strategy, "decision_threshold": 0.5}
+        K.write_topology_json(*result, f"{folder}/{strategy}/topology_metrics.json", run)
+    rows = L.read_latest_metrics(spark, folder)
+    return rows.select(
+        "strategy",
+        F.col("payload.graph_count"),
+        rounded(F.col("payload.graph_sim")).alias("graph_sim"),
+        rounded(F.col("payload.relative_density")).alias("relative_density"),
+    )
+
+
 @query(
     "k5_details_table",
     f"WITH {_DETAIL_SQL} SELECT node_size, sample_id, round(gs,6) AS graph_sim, round(rd,6) AS relative_density FROM details",

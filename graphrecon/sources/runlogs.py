@@ -23,11 +23,27 @@ def union_steps(tables: Sequence[DataFrame]) -> DataFrame:
     return whole
 
 
+def paths_by_header(spark: SparkSession, paths: Sequence[str]) -> list[tuple[str, list[str]]]:
+    """CSV files by their first line, from one scan of all files; empty files are left out."""
+    if not paths:
+        return []
+    place = F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(list(paths)).select("value", F.col("_metadata.file_path").alias("path"), place.alias("at"))
+    heads = lines.groupBy("path").agg(F.min_by("value", "at").alias("head"))
+    groups: dict[str, list[str]] = {}
+    for row in heads.orderBy("path").collect():
+        groups.setdefault(row["head"], []).append(row["path"])
+    return sorted(groups.items())
+
+
 def read_steps(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
-    """Step CSVs of many runs with ``model, stage, run_id`` taken from ``model/stage/run/file``."""
+    """Step CSVs of many runs with ``model, stage, run_id`` taken from ``model/stage/run/file``.
+
+    One read for each distinct header, however many files there are.
+    """
     tables = []
-    for path in paths:
-        raw = spark.read.csv(path, header=True)
+    for _, group in paths_by_header(spark, paths):
+        raw = spark.read.csv(group, header=True)
         where = F.col("_metadata.file_path")
         tables.append(
             raw.select(
@@ -45,9 +61,12 @@ def objective_history(steps: DataFrame, header: str, keys: Sequence[str], order:
     if header.lower() not in by_lower:
         raise ValueError(f"no column {header!r} among {steps.columns}")
     value = strip_blanks(F.col(f"`{by_lower[header.lower()]}`").cast("string"))
-    return steps.select(*keys, order, value.alias("t")).filter(
+    history = steps.select(*keys, order, value.alias("t")).filter(
         F.col("t").isNotNull() & (F.col("t") != "")
     ).select(*keys, order, F.col("t").cast("double").alias("value"))
+    if history.isEmpty():
+        raise ValueError(f"column {header!r} has no values")
+    return history
 
 
 def parse_stage_log(lines: DataFrame) -> DataFrame:
@@ -92,8 +111,14 @@ def latest_per_strategy(metric_files: DataFrame) -> DataFrame:
     return newest.filter(complete.scalar()).select("strategy", "modified", "payload")
 
 
+METRICS_SCHEMA = (
+    "split_strategy string, summary struct<graph_count:bigint,graph_sim:double,relative_density:double,"
+    "deg_dist_mmd:double,cc_mmd:double,laplacian_eigen_mmd:double>"
+)
+
+
 def read_latest_metrics(spark: SparkSession, root: str, name: str = "topology_metrics.json") -> DataFrame:
-    files = spark.read.json(f"{root}/*/{name}", multiLine=True)
+    files = spark.read.schema(METRICS_SCHEMA).json(f"{root}/*/{name}", multiLine=True)
     return latest_per_strategy(
         files.select(
             F.coalesce(F.col("split_strategy"), F.lit("")).alias("strategy"),

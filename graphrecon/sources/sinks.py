@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphrecon.functions.parsing import printed_float
@@ -67,38 +67,59 @@ def write_topology_csv(per_size: DataFrame, summary: DataFrame, path: str) -> No
     topology_table(per_size, summary).coalesce(1).write.mode("overwrite").csv(path, header=True)
 
 
-def topology_json(details: DataFrame, per_size: DataFrame, summary: DataFrame) -> DataFrame:
-    """One JSON document of summary and per-size values, sizes as text keys in order.
+def topology_json(
+    details: DataFrame, per_size: DataFrame, summary: DataFrame, run: Mapping[str, object] | None = None
+) -> DataFrame:
+    """One JSON document: the run's own fields, summary, per-size values and details, sizes as text keys.
 
-    The per-sample details stay a table (``write_details``): they grow with the samples.
+    ``run`` may hold ``model``, ``run_id``, ``species``, ``split_strategy`` and ``decision_threshold``. The
+    details are lists of the samples' similarities and densities by size and each size's discrepancies;
+    their number is that of the drawn samples, so the document is one row.
     """
-    def packed(df: DataFrame, columns: Sequence[str]):
+    def packed(columns: Sequence[str]):
         return F.struct(*[F.col(c) for c in sorted(columns)])
 
+    def keyed(value) -> Column:
+        entry = F.struct(F.col("node_size").cast("string").alias("k"), value.alias("v"))
+        return F.map_from_entries(F.array_sort(F.collect_list(entry)))
+
     metrics = [c for c in TOPOLOGY_COLUMNS[3:] if c in per_size.columns]
+    sampled = [c for c in ("graph_sim", "relative_density") if c in details.columns]
+    mmds = [c for c in metrics if c not in ("graph_sim", "relative_density")]
     sizes = per_size.agg(
-        F.map_from_entries(
-            F.array_sort(
-                F.collect_list(
-                    F.struct(
-                        F.col("node_size").cast("string").alias("k"),
-                        packed(per_size, [*metrics, "graph_count"]).alias("v"),
-                    )
-                )
-            )
-        ).alias("per_node_size")
+        keyed(packed([*metrics, "graph_count"])).alias("per_node_size"), *[keyed(F.col(c)).alias(c) for c in mmds]
     )
-    whole = summary.select(packed(summary, metrics).alias("summary"))
-    count = details.agg(F.count(F.lit(1)).alias("samples"))
-    return beside(sizes, whole, count).select(
-        F.to_json(F.struct("per_node_size", "samples", "summary")).alias("value")
+    lists = details.groupBy("node_size").agg(
+        *[
+            F.array_sort(F.collect_list(F.struct("sample_id", F.col(c).alias("value")))).getField("value").alias(c)
+            for c in sampled
+        ]
+    )
+    per_sample = lists.agg(*[keyed(F.col(c)).alias(c) for c in sampled])
+    whole = summary.select(packed([*metrics, "graph_count"]).alias("summary"))
+    fields = dict(run or {})
+    if fields.get("split_strategy"):
+        fields["split_strategy"] = str(fields["split_strategy"]).upper()
+    return beside(sizes, whole, per_sample).select(
+        F.to_json(
+            F.struct(
+                *[F.lit(fields[k]).alias(k) for k in sorted(fields)],
+                F.struct(*sampled, *mmds).alias("details"),
+                "per_node_size",
+                "summary",
+            )
+        ).alias("value")
     )
 
 
 def write_topology_json(
-    details: DataFrame, per_size: DataFrame, summary: DataFrame, path: str
+    details: DataFrame,
+    per_size: DataFrame,
+    summary: DataFrame,
+    path: str,
+    run: Mapping[str, object] | None = None,
 ) -> None:
-    topology_json(details, per_size, summary).coalesce(1).write.mode("overwrite").text(path)
+    topology_json(details, per_size, summary, run).coalesce(1).write.mode("overwrite").text(path)
 
 
 def write_details(details: DataFrame, path: str) -> None:

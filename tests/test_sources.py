@@ -211,3 +211,39 @@ def test_vector_store_and_trials(spark, tmp_path):
     )
     rows = [tuple(r) for r in K.trial_rows(trials).orderBy("trial_number").collect()]
     assert rows == [(0, "COMPLETE", "0.50000000", "p_t0000", '{"b":"2","lr":"1"}'), (1, "FAIL", "", "", "{}")]
+
+
+def test_text_before_the_first_header_is_no_record(spark, tmp_path):
+    (tmp_path / "a.fa").write_text("; a comment line\nmore text\n>P1 x\nACD\n>P2\nEF\n")
+    (tmp_path / "b.fa").write_text("\n>P3\nGH\n")
+    rows = Q.read_fasta(spark, [str(tmp_path / "a.fa"), str(tmp_path / "b.fa")]).select("id", "seq").collect()
+    assert sorted(map(tuple, rows)) == [("P1", "ACD"), ("P2", "EF"), ("P3", "GH")]
+
+
+def test_find_sequences_over_roots(spark, tmp_path):
+    (tmp_path / "r" / "deep").mkdir(parents=True)
+    (tmp_path / "r" / "a.csv").write_text("id,sequence\nP1,aaa\nP2,\n")
+    (tmp_path / "r" / "deep" / "b.csv").write_text("id,sequence\nP1,bbb\nP2,ccc\n")
+    (tmp_path / "r" / "deep" / "c.csv").write_text("name,other\nP3,x\n")
+    (tmp_path / "r" / "d.fasta").write_text(">P3\nddd\n>P1\neee\n")
+    (tmp_path / "own.fa").write_text(">P4\nfff\n")
+    wanted = spark.createDataFrame([("P1",), ("P2",), ("P3",), ("P4",)], "id string")
+    got = Q.find_sequences(spark, wanted, [str(tmp_path / "r")], str(tmp_path / "own.fa"))
+    assert {r["id"]: r["seq"] for r in got.collect()} == {"P1": "AAA", "P2": "CCC", "P3": "DDD", "P4": "FFF"}
+    with pytest.raises(ValueError, match="P4"):
+        Q.find_sequences(spark, wanted, [str(tmp_path / "r")])
+    with pytest.raises(ValueError, match="extension"):
+        Q.find_sequences(spark, wanted, [], str(tmp_path / "own.txt"))
+
+
+def test_steps_take_one_read_per_header(spark, tmp_path):
+    for i in range(6):
+        folder = tmp_path / "v3" / "train" / f"run{i}"
+        folder.mkdir(parents=True)
+        (folder / "s.csv").write_text(("Epoch,A\n" if i % 2 else "Epoch,B\n") + f"{i},{i}.5\n")
+    paths = [str(p) for p in tmp_path.rglob("s.csv")]
+    assert [len(g) for _, g in L.paths_by_header(spark, paths)] == [3, 3]
+    steps = L.read_steps(spark, paths)
+    assert steps.count() == 6 and {"A", "B"} <= set(steps.columns)
+    with pytest.raises(ValueError):
+        L.objective_history(steps.filter("Epoch = '0'"), "A", ["run_id"], "Epoch")
