@@ -40,6 +40,24 @@ def materialize(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def materialize_by(df: DataFrame, column: str) -> DataFrame:
+    """``materialize``, with the rows dealt out and sorted by ``column``, and known to be so.
+
+    A later join on the column moves the other side only. Adaptive planning doesn't tell how it
+    dealt rows out, so it is off while this is planned.
+    """
+    spark = df.sparkSession
+    ensure_checkpoint_dir(spark)
+    name = "spark.sql.adaptive.enabled"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "false")
+    try:
+        width = int(spark.conf.get("spark.sql.shuffle.partitions"))
+        return df.repartition(width, column).sortWithinPartitions(column).checkpoint(eager=True)
+    finally:
+        spark.conf.set(name, before)
+
+
 def task_slots(spark: SparkSession) -> int:
     """Number of tasks to spread work over: the session's shuffle width.
 

@@ -289,3 +289,26 @@ def test_hardest_rows_under_a_cap(spark):
     # a pair of an id with itself counts twice; the fill takes what was passed over
     got = M.hardest_capped(rows((0, 0, 3.0, 5, 5), (0, 1, 2.0, 5, 6), (0, 2, 1.0, 6, 6)), 3, 2)
     assert [r["row_id"] for r in got.orderBy("place").collect()] == [0, 2, 1]
+
+
+def test_rounds_leave_the_graph_in_place(spark):
+    from graphrecon.operators import traversal as W
+
+    edges = spark.range(300).select(F.concat(F.lit("n"), "id").alias("u"), F.concat(F.lit("n"), F.col("id") * 7 % 300).alias("v"))
+    edges = edges.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    nodes = edges.select(F.explode(F.array("u", "v")).alias("id")).distinct()
+    graph = W.adjacency(nodes, edges)
+    front = nodes.limit(5).select(F.lit(1).alias("k"), F.lit(4).alias("target"), F.array("id").alias("visited"), F.lit(0).alias("p"), "id")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        pushed = W._pushes(front, graph, ["k"], 1, 1)
+        plan = pushed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    scans = [line for line in plan.splitlines() if "Scan ExistingRDD" in line and ("nbr" in line or "degree" in line)]
+    lines = plan.splitlines()
+    assert len(scans) == 2
+    for scan in scans:
+        above = lines[lines.index(scan) - 1]
+        assert "Exchange" not in above and "Sort" not in above
