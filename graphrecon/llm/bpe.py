@@ -8,10 +8,13 @@ are the ids of the whole text. Texts where such a cut isn't proven go to the lib
 from __future__ import annotations
 
 import re
-from collections.abc import Callable
+import struct
+from collections.abc import Callable, Iterable
 
-#: Pieces that a worker remembers; beyond, it starts anew. About 150 MB.
-REMEMBERED = 600_000
+import numpy as np
+
+#: Pieces, and parts of pieces, that a worker remembers; beyond, it starts anew. About 100 MB together.
+PIECES, PARTS = 200_000, 300_000
 
 # A letter or number before ASCII punctuation other than an apostrophe, and both sides of a single
 # line break: every pretokenizer used here ends a pretoken there.
@@ -26,31 +29,71 @@ def load(path: str):
     return Tokenizer.from_file(path)
 
 
+_PUNCTUATION = ".,!?;:*$%&#|)"
+_WORD = re.compile(r" ?[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+
+
+def _cut(piece: str) -> list[str]:
+    """Parts of a piece that no pretoken reaches across."""
+    if piece.isalpha() or "<|" in piece:
+        return [piece]
+    base = piece.rstrip(_PUNCTUATION)
+    if base.isalpha() or base[1:].isalpha() and base[0] == " ":
+        return [base, piece[len(base) :]] if len(base) < len(piece) else [piece]
+    return _CUT.split(piece)
+
+
 class Pieces:
-    """Remembers for each piece what ``value`` makes of its ids."""
+    """Remembers for each piece its number of ids, or the ids themselves (``as_ids``) as bytes.
 
-    def __init__(self, tokenizer, value: Callable):
-        self.tokenizer, self.value = tokenizer, value
+    ``cased``: whether the encoder keeps capitals.
+    """
+
+    def __init__(self, tokenizer, as_ids: bool, cased: bool):
+        from tokenizers.pre_tokenizers import ByteLevel
+
+        self.tokenizer, self.as_ids, self.cased = tokenizer, as_ids, cased
+        written = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
+        self.letters = {c: written(chr(c))[0][0] for c in (32, *range(0xC0, 0x100))}
+        self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.known: dict = {}
         self.parts: dict = {}
 
-    def learn(self, pieces: set[str], join: Callable) -> None:
+    def learn(self, pieces: set[str]) -> None:
         """Make sure that every one of ``pieces`` is known."""
         new = pieces.difference(self.known)
         if not new:
             return
-        if len(self.known) + len(new) > REMEMBERED:
-            self.known, self.parts, new = {}, {}, pieces
-        cut = {p: [p] if "<|" in p else _CUT.split(p) for p in new}
-        wanted = {x for parts in cut.values() for x in parts}.difference(self.parts)
-        wanted = list(wanted)
-        for at in range(0, len(wanted), 20_000):
-            some = wanted[at : at + 20_000]
-            encoded = self.tokenizer.encode_batch_fast(some, add_special_tokens=False)
-            self.parts.update(zip(some, map(self.value, encoded)))
-        part = self.parts.__getitem__
+        if len(self.known) + len(new) > PIECES:
+            self.known, new = {}, pieces
+        cut = {p: _cut(p) for p in new}
+        needed = {x for parts in cut.values() for x in parts}
+        wanted = needed.difference(self.parts)
+        if len(self.parts) + len(wanted) > PARTS:
+            self.parts, wanted = {}, needed
+        words = {x for x in wanted if _WORD.fullmatch(x) and (self.cased or x.islower())}
+        self._encode_words(words)
+        self._encode_each(list(wanted - words))
+        part, join = self.parts.__getitem__, b"".join if self.as_ids else sum
         self.known.update((p, part(c[0]) if len(c) == 1 else join(map(part, c))) for p, c in cut.items())
 
+    def _encode_each(self, parts: list[str]) -> None:
+        encoded = self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)
+        value = (lambda e: np.array(e.ids, self.kind).tobytes()) if self.as_ids else len
+        self.parts.update(zip(parts, map(value, encoded)))
+
+    def _encode_words(self, words: Iterable[str]) -> None:
+        """Words of letters alone, which are one pretoken each: straight to the library's merges."""
+        merge, letters, kind = self.tokenizer.model.tokenize, self.letters, self.kind
+        forms = ((w, w if w.isalpha() and w.isascii() else w.translate(letters)) for w in words)
+        if self.as_ids:
+            pack = {n: struct.Struct(f"<{n}{kind.char}").pack for n in range(1, 64)}
+            for word, form in forms:
+                ids = [t.id for t in merge(form)]
+                self.parts[word] = pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, kind).tobytes()
+        else:
+            self.parts.update((word, len(merge(form))) for word, form in forms)
+
 
 def space_pieces(text: str) -> list[str] | None:
     """Pieces of a text for a byte-level encoder whose pretokens take one space before a word.

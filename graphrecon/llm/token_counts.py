@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -14,6 +14,8 @@ from graphrecon.llm.bpe import Pieces, load, space_pieces, worker_cache
 CHUNK, OVERLAP = 65_536, 512
 #: Longer than any special string of the vocabulary: nearer to an end, one may have been cut.
 MARGIN = 64
+#: Texts that are taken from a batch at a time.
+LOT = 500
 
 
 def _edges(encoding) -> dict[int, int]:
@@ -79,28 +81,29 @@ def count_tokens(
     texts, and of a long text one chunk's encoding at a time.
     """
 
-    def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_cache(tokenizer_path, lambda: load(tokenizer_path))
-        pieces = worker_cache(tokenizer_path + "#counts", lambda: Pieces(tokenizer, len))
+        pieces = worker_cache(tokenizer_path + "#counts", lambda: Pieces(tokenizer, as_ids=False, cased=True))
 
         def encode(part):
             return tokenizer.encode(part, add_special_tokens=False)
 
         for batch in batches:
-            texts = [x or "" for x in batch.pop("__text")]
-            short = {i: space_pieces(x) for i, x in enumerate(texts) if len(x) <= chunk}
-            pieces.learn(set().union(*[p for p in short.values() if p]), sum)
-            known = pieces.known.__getitem__
-            totals = []
-            for i, x in enumerate(texts):
-                if i not in short:
-                    totals.append(sum(map(len, chunked_ids(x, encode, chunk, overlap))))
-                elif short[i] is None:
-                    totals.append(len(encode(x).ids))
-                else:
-                    totals.append(sum(map(known, short[i])))
-            batch["n_tokens"] = pd.Series(totals, index=batch.index, dtype="int64")
-            yield batch
+            totals, column = [], batch.column(batch.num_columns - 1)
+            for at in range(0, len(column), LOT):
+                texts = [x or "" for x in column.slice(at, LOT).to_pylist()]
+                short = {i: space_pieces(x) for i, x in enumerate(texts) if len(x) <= chunk}
+                pieces.learn(set().union(*[p for p in short.values() if p]))
+                known = pieces.known.__getitem__
+                for i, x in enumerate(texts):
+                    if i not in short:
+                        totals.append(sum(map(len, chunked_ids(x, encode, chunk, overlap))))
+                    elif short[i] is None:
+                        totals.append(len(encode(x).ids))
+                    else:
+                        totals.append(sum(map(known, short[i])))
+            columns = [*batch.columns[:-1], pa.array(totals, pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*batch.schema.names[:-1], "n_tokens"])
 
     kept = [F.col(c) for c in keep]
     texts = docs.select(
@@ -112,4 +115,4 @@ def count_tokens(
         [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema.fields]
         + ["n_bytes long", "n_tokens long"]
     )
-    return texts.mapInPandas(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)
+    return texts.mapInArrow(count, schema).withColumn("over_limit", F.col("n_tokens") > limit)

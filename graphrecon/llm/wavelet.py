@@ -17,11 +17,12 @@ from __future__ import annotations
 import itertools
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from graphrecon.llm.bpe import Pieces, load, word_pieces, worker_cache
@@ -29,7 +30,9 @@ from graphrecon.session import ensure_checkpoint_dir, task_slots
 
 MAGIC = b"WMTX1"
 #: Tokens of a shard; a single longer document has a shard of its own.
-SHARD_TOKENS = 1 << 21
+SHARD_TOKENS = 1 << 20
+#: Texts that are cut into pieces at a time.
+LOT = 250
 BLOCK = 512  # bits between two entries of the rank directory
 _ONES = np.array([bin(x).count("1") for x in range(256)], dtype=np.uint8)
 
@@ -151,6 +154,18 @@ class WaveletMatrix:
         return self.symbols[codes]
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = LOT):
+    """What is run inside sends at most so many rows at once to Python."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(name)
+    spark.conf.set(name, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def write_shards(
     docs: DataFrame,
     path: str,
@@ -168,38 +183,37 @@ def write_shards(
     ranges of one id. An empty table writes no shard.
     """
 
-    def shards(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = worker_cache(tokenizer_path, lambda: load(tokenizer_path))
-        pieces = worker_cache(
-            tokenizer_path + "#ids",
-            lambda: Pieces(tokenizer, lambda e: np.array(e.ids, "<u4").tobytes()),
-        )
+        pieces = worker_cache(tokenizer_path + "#ids", lambda: Pieces(tokenizer, as_ids=True, cased=False))
+        kind = pieces.kind
         part = TaskContext.get().partitionId()
-        end, seq = np.array([end_id], "<u4").tobytes(), itertools.count()
+        end, seq = np.array([end_id], kind).tobytes(), itertools.count()
         names, encoded, held = [], [], 0
 
         def flush():
-            ids = np.frombuffer(b"".join(encoded), "<u4")
-            starts = np.concatenate([[0], np.cumsum([len(e) // 4 for e in encoded])])
+            ids = np.frombuffer(b"".join(encoded), kind)
+            starts = np.concatenate([[0], np.cumsum([len(e) for e in encoded])]) // kind.itemsize
             file = write_matrix(ids, starts, names)
-            return pd.DataFrame({"part": [part], "seq": [next(seq)], "n_tokens": [len(ids)], "file": [file]})
+            values = [pa.array([part], pa.int32()), pa.array([next(seq)], pa.int32()), pa.array([len(ids)], pa.int64())]
+            return pa.RecordBatch.from_arrays([*values, pa.array([file], pa.binary())], ["part", "seq", "n_tokens", "file"])
 
         for batch in batches:
-            texts = [x or "" for x in batch["text"]]
-            # A thousand texts at a time: their pieces are held twice.
-            for some in range(0, len(texts), 1000):
-                cut = [word_pieces(x) for x in texts[some : some + 1000]]
-                pieces.learn(set().union(*[c for c in cut if c]), b"".join)
+            for at in range(0, batch.num_rows, LOT):
+                some = batch.slice(at, LOT)
+                texts = [x or "" for x in some.column(1).to_pylist()]
+                cut = [word_pieces(x) for x in texts]
+                pieces.learn(set().union(*[c for c in cut if c]))
                 known = pieces.known.__getitem__
-                for x, c, name in zip(texts[some:], cut, batch["doc_id"].iloc[some : some + 1000]):
+                for x, c, name in zip(texts, cut, some.column(0).to_pylist()):
                     ids = (
-                        np.array(tokenizer.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
+                        np.array(tokenizer.encode(x, add_special_tokens=False).ids, kind).tobytes()
                         if c is None
                         else b"".join(map(known, c))
                     )
                     encoded.append(ids + end)
-                    names.append(None if pd.isna(name) else int(name))
-                    held += len(ids) // 4 + 1
+                    names.append(name)
+                    held += len(ids) // kind.itemsize + 1
                     if held >= shard_tokens:
                         yield flush()
                         names, encoded, held = [], [], 0
@@ -214,34 +228,31 @@ def write_shards(
     )
     order = [F.asc_nulls_last("doc_id"), "tie", "row"]
     parts = task_slots(docs.sparkSession)
-    (
-        rows.repartitionByRange(parts, *order)
-        .sortWithinPartitions(*order)
-        .select("doc_id", "text")
-        .mapInPandas(shards, "part int, seq int, n_tokens long, file binary")
-        .write.mode("overwrite")
-        .parquet(path)
-    )
+    ranged = rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).select("doc_id", "text")
+    with small_batches(docs.sparkSession):
+        ranged.mapInArrow(shards, "part int, seq int, n_tokens long, file binary").write.mode("overwrite").parquet(path)
 
 
 def read_shards(docs_path: str, spark) -> DataFrame:
     """Per document of the shards: ``doc_id``, ``start``, ``n_tokens``, ``ids_crc32``, from the files alone."""
 
-    def decode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, seq, file in zip(batch["part"], batch["seq"], batch["file"]):
+            for at in range(batch.num_rows):
+                part, seq, file = (c[at].as_py() for c in batch.columns)
                 matrix = WaveletMatrix(file)
                 ids, starts = matrix.tokens().astype("<u4", copy=False), matrix.starts
-                yield pd.DataFrame(
-                    {
-                        "part": part,
-                        "seq": seq,
-                        "doc_id": pd.array(matrix.doc_ids, dtype="Int64"),
-                        "local": starts[:-1],
-                        "n_tokens": np.diff(starts),
-                        "ids_crc32": [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1], starts[1:])],
-                    }
-                )
+                sums = [zlib.crc32(ids[a:b]) for a, b in zip(starts[:-1], starts[1:])]
+                many = len(sums)
+                columns = [
+                    pa.array([part] * many, pa.int32()),
+                    pa.array([seq] * many, pa.int32()),
+                    pa.array(matrix.doc_ids, pa.int64()),
+                    pa.array(starts[:-1].astype(np.int64)),
+                    pa.array(np.diff(starts).astype(np.int64)),
+                    pa.array(sums, pa.int64()),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, ["part", "seq", "doc_id", "local", "n_tokens", "ids_crc32"])
 
     files = spark.read.parquet(docs_path)
     # Two steps of running totals: over the shards of a part, and over the parts, one row each.
@@ -251,7 +262,7 @@ def read_shards(docs_path: str, spark) -> DataFrame:
     parts = files.groupBy("part").agg(F.sum("n_tokens").alias("n"))
     bases = parts.select("part", F.coalesce(F.sum("n").over(above), zero).alias("above"))
     shards = files.select("part", "seq", F.coalesce(F.sum("n_tokens").over(inside), zero).alias("inside"))
-    rows = files.select("part", "seq", "file").mapInPandas(
+    rows = files.select("part", "seq", "file").mapInArrow(
         decode, "part int, seq int, doc_id long, local long, n_tokens long, ids_crc32 long"
     )
     starts = shards.join(bases, "part").select("part", "seq", (F.col("above") + F.col("inside")).alias("base"))
