@@ -7,10 +7,10 @@ a block, shingles are hashed to groups, and a node is the point of its groups' c
 counts bounds two nodes' overlap from above, and the sum of the smaller of two boxes' upper corners bounds
 that of all their nodes. Points that pass are verified on the whole sets.
 
-A group of copies is never turned into all its pairs: first each node of a block is compared with
-the block's least node only; blocks whose nodes hang together then are done. What is left, pairs of nodes not
-yet connected, goes through the R-trees. Blocks beyond ``TILE`` nodes are dealt out in tiles, without
-leaving out a pair.
+A group of copies is never turned into all its pairs. First each node of a block is compared with the
+block's least node only. Then nodes that came near others meet the others of three of their blocks, the largest and two drawn ones, and every group gives the
+links of a spanning forest. Blocks whose nodes hang together then are done. What is left, pairs of nodes not yet connected in any block of three nodes or more, goes through the R-trees of the blocks. Blocks
+beyond ``TILE`` nodes are dealt out in tiles, without leaving out a pair.
 """
 
 from __future__ import annotations
@@ -27,6 +27,11 @@ from graphrecon.session import materialize
 
 SIZE, SIMILARITY = 5, (80, 100)  # words of a shingle; least similarity as a fraction
 TILE = 4096
+#: Members of all sets in a tile, at most, unless a tile is one node.
+TILE_MEMBERS = 1 << 21
+#: Blocks up to here are turned into the few pairs they have; larger ones get R-trees.
+FEW = 16
+DRAWN = 2
 LEAF = 32
 #: Bits of the filter that keeps unconcerned rows out of a shuffle: a megabyte at most.
 FILTER_BITS = 1 << 23
@@ -132,9 +137,20 @@ class RTree:
 
 
 def block_pairs(
-    nodes: np.ndarray, parts: np.ndarray, tiles: np.ndarray, wanted: tuple[int, int], sizes: np.ndarray, data: list[bytes]
+    nodes: np.ndarray,
+    parts: np.ndarray,
+    tiles: np.ndarray,
+    wanted: tuple[int, int],
+    sizes: np.ndarray,
+    data: list[bytes],
+    homes: list[list[int] | None],
 ) -> set[tuple[int, int]]:
-    """Pairs of a block's tile that may link: of different parts, from the two wanted tiles."""
+    """Pairs of a block's tile that may link: of different parts, from the two wanted tiles.
+
+    Pairs of one home have been verified there, and are left out.
+    """
+    width = max([1, *(len(h) for h in homes if h)])
+    home = np.array([[*(h or ()), *[-1] * (width - len(h or ()))] for h in homes], np.int64).reshape(len(nodes), width)
     counts = [_counts(d, int(n)) for d, n in zip(data, sizes)]
     level = np.array([len(c) for c in counts])
     found: set[tuple[int, int]] = set()
@@ -159,11 +175,61 @@ def block_pairs(
                 keep = (nodes[a] != nodes[b]) & (parts[a] != parts[b])
                 pair = np.sort(np.stack([tiles[a], tiles[b]]), axis=0)
                 keep &= (pair[0] == wanted[0]) & (pair[1] == wanted[1])
-                for x, y in zip(nodes[a[keep]].tolist(), nodes[b[keep]].tolist()):
+                a, b = a[keep], b[keep]
+                same = (home[a][:, :, None] == home[b][:, None, :]) & (home[a] != -1)[:, :, None]
+                met = same.any(axis=(1, 2))
+                a, b = a[~met], b[~met]
+                for x, y in zip(nodes[a].tolist(), nodes[b].tolist()):
                     found.add((min(x, y), max(x, y)))
     return found
 
 
+def forest_links(
+    nodes: list[int], parts: list[int], sizes: list[int], data: list[bytes], members: list[bytes], similarity=SIMILARITY
+) -> list[tuple[int, int]]:
+    """Links that connect the group's nodes as far as all its links do, beyond what ``parts`` connect already."""
+    least, most = similarity
+    size = np.array(sizes, np.int64)
+    counts = [_counts(d, n) for d, n in zip(data, sizes)]
+    level = np.array([len(c) for c in counts])
+    folded = {
+        g: _folded_ragged(counts, level, g) for g in sorted(set(level.tolist()))
+    }
+    _, label = np.unique(np.array(parts), return_inverse=True)
+    sets = [np.frombuffer(m, np.uint64) for m in members]
+    found = []
+    for i in range(len(nodes)):
+        fits = (label != label[i]) & (size * least <= size[i] * most) & (size[i] * least <= size * most)
+        near = []
+        for g, (rows, points) in folded.items():
+            # Nodes of this level meet node i at the coarser of both levels.
+            at = min(g, level[i])
+            some = rows[fits[rows] & (level[rows] == g)]
+            if len(some):
+                held, matrix = folded[at]
+                mine = matrix[np.searchsorted(held, i)]
+                bound = np.minimum(matrix[np.searchsorted(held, some)], mine).sum(axis=1, dtype=np.int64)
+                near.append(some[bound >= least_overlap(size[some] + size[i], similarity) - 1e-9])
+        near = np.concatenate(near) if near else np.zeros(0, np.int64)
+        for part in np.unique(label[near]):
+            own = near[label[near] == part]
+            together = np.concatenate([sets[j] for j in own])
+            place = np.minimum(np.searchsorted(sets[i], together), size[i] - 1)
+            starts = np.concatenate([[0], np.cumsum(size[own])[:-1]])
+            both = np.add.reduceat((sets[i][place] == together).astype(np.int64), starts)
+            linked = own[most * both >= least * (size[own] + size[i] - both)]
+            if len(linked):
+                found.append((nodes[i], nodes[linked[0]]))
+                label[label == part] = label[i]
+    return found
+
+
+def _folded_ragged(counts: list[np.ndarray], level: np.ndarray, groups: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of this level and above, and their counts for so many groups."""
+    rows = np.flatnonzero(level >= groups)
+    return rows, np.stack([_folded(counts[i][None], groups)[0] for i in rows])
+
+
 def _row_hash(key: str, text: str) -> Column:
     return F.xxhash64(F.col(key), F.col(text))
 
@@ -284,18 +350,19 @@ def components(links: DataFrame) -> DataFrame:
     Large-star and small-star steps in turn, each written, until nothing moves: some log of the longest chain.
     """
     edges = materialize(links.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    seen = None
     while True:
+        # Same edges, same counts and sums of hashes.
+        state = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % (1 << 40)), F.sum(F.xxhash64("v", "u") % (1 << 40))).first()
+        if state == seen:
+            break
+        seen = state
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        low = down.groupBy("u").agg(F.min("v").alias("m"))
-        hung = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        moved = materialize(hung.union(low.select("u", F.col("m").alias("v"))).distinct())
-        same = edges.join(moved, ["u", "v"], "left_anti").isEmpty() and moved.join(edges, ["u", "v"], "left_anti").isEmpty()
-        edges = moved
-        if same:
-            break
+        large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        low = large.groupBy("u").agg(F.min("v").alias("m"))
+        hung = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
+        edges = materialize(hung.union(low.select("u", F.col("m").alias("v"))).distinct())
     return edges.select(F.col("u").alias("node"), F.col("v").alias("part")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("part")).distinct()
     )
@@ -304,56 +371,105 @@ def components(links: DataFrame) -> DataFrame:
 def _labelled(shared: DataFrame, parts: DataFrame) -> DataFrame:
     """Rows of blocks that still hold nodes of different parts, with these."""
     rows = shared.join(parts, "node", "left").withColumn("part", F.coalesce("part", "node"))
-    mixed = rows.groupBy("prefix").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("size"))
+    mixed = rows.groupBy("prefix").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("size"), F.sum("n").alias("total"))
     return rows.join(mixed.where("low < high"), "prefix")
 
 
+def _by_group(rows: DataFrame, keys: int, links_of) -> DataFrame:
+    """``a`` and ``b`` that ``links_of`` gives for each group of rows that agree in the first ``keys`` columns.
+
+    Rows are sorted by group inside their partitions and taken group by group, so that small groups cost little.
+    """
+    names = rows.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block, waiting = None, [[] for _ in names[keys:]]
+
+        def close() -> Iterator[pa.RecordBatch]:
+            found = links_of(block, *waiting) if waiting[0][1:] else ()
+            for column in waiting:
+                column.clear()
+            ends = [pa.array([x[e] for x in found], pa.int64()) for e in (0, 1)]
+            yield pa.RecordBatch.from_arrays(ends, ["a", "b"])
+
+        for batch in batches:
+            for at in range(0, batch.num_rows, 2000):
+                columns = [c.slice(at, 2000).to_pylist() for c in batch.columns]
+                for name, row in zip(zip(*columns[:keys]), zip(*columns[keys:])):
+                    if name != block:
+                        yield from close()
+                        block = name
+                    for column, value in zip(waiting, row):
+                        column.append(value)
+        yield from close()
+
+    dealt = rows.repartition(*names[:keys]).sortWithinPartitions(*names[:keys])
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def _tiles(size: Column, total: Column) -> Column:
+    return F.ceil(F.greatest(size / TILE, total / TILE_MEMBERS)).cast("int")
+
+
+def _few_pairs(rows: DataFrame) -> DataFrame:
+    """Pairs of different parts in small blocks, that their sizes allow."""
+    least, most = SIMILARITY
+    first = rows.select("prefix", F.col("node").alias("a"), F.col("part").alias("pa"), F.col("n").alias("na"))
+    second = rows.select("prefix", F.col("node").alias("b"), F.col("part").alias("pb"), F.col("n").alias("nb"))
+    sized = (F.col("na") * least <= F.col("nb") * most) & (F.col("nb") * least <= F.col("na") * most)
+    met = first.join(second, "prefix").where(F.col("a") < F.col("b")).where(F.col("pa") != F.col("pb")).where(sized)
+    return met.select("a", "b").distinct()
+
+
 def _tile_pairs(rows: DataFrame) -> DataFrame:
     """Pairs of different parts that the R-trees of their blocks can't rule out."""
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
-    mine = F.pmod(F.xxhash64("node"), tiles).cast("int")
+    mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     dealt = (
-        rows.withColumn("tiles", tiles)
+        rows.withColumn("tiles", _tiles(F.col("size"), F.col("total")))
         .withColumn("tile", mine)
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .withColumn("i", F.least("tile", "with"))
         .withColumn("j", F.greatest("tile", "with"))
-        .select("prefix", "i", "j", "tile", "node", "part", "n", "point")
+        .select("prefix", "i", "j", "tile", "node", "part", "n", "point", "homes")
+    )
+    told: set[tuple[int, int]] = set()  # by this task lately; the rest is made distinct afterwards
+
+    def pairs(block, tile, node, part, n, data, homes):
+        found = block_pairs(
+            np.array(node), np.array(part), np.array(tile), block[1:], np.array(n, np.int64), data, homes
+        )
+        new = found.difference(told)
+        if len(told) > 500_000:
+            told.clear()
+        told.update(new)
+        return sorted(new)
+
+    return _by_group(dealt, 3, pairs).distinct()
+
+
+def _homes(shared: DataFrame, sets: DataFrame) -> DataFrame:
+    """Groups of each node with a set, the tiles of its largest block and of drawn ones: ``prefix``, ``tile``, ``node``, ``n``."""
+    rows = shared.join(sets.select("node"), "node", "left_semi")
+    sizes = rows.groupBy("prefix").agg(F.count(F.lit(1)).alias("size"), F.sum("n").alias("total")).where("size > 1")
+    rows = rows.join(sizes, "prefix")
+    drawn = [F.max(F.struct(F.xxhash64("prefix", F.lit(t)), "prefix", "n", "size", "total")) for t in range(1, DRAWN + 1)]
+    largest = F.max(F.struct(F.col("size").alias("order"), "prefix", "n", "size", "total"))
+    homes = rows.groupBy("node").agg(F.array_distinct(F.array(*[_home(h) for h in (largest, *drawn)])).alias("homes"))
+    tiles = _tiles(F.col("size"), F.col("total"))
+    return homes.select("node", F.inline("homes")).select(
+        "prefix", F.pmod(F.xxhash64("node"), tiles).alias("tile"), "node", "n"
     )
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: list[list] = [[] for _ in range(5)]
-        block = None
-
-        def close() -> pa.RecordBatch:
-            tile, node, part, n, data = waiting
-            found = sorted(
-                block_pairs(np.array(node), np.array(part), np.array(tile), block[1:], np.array(n, np.int64), data)
-                if len(node) > 1
-                else ()
-            )
-            for column in waiting:
-                column.clear()
-            return pa.RecordBatch.from_arrays(
-                [pa.array([a for a, _ in found], pa.int64()), pa.array([b for _, b in found], pa.int64())], ["a", "b"]
-            )
 
-        for batch in batches:
-            columns = [c.to_pylist() for c in batch.columns]
-            for name, row in zip(zip(*columns[:3]), zip(*columns[3:])):
-                if name != block:
-                    if block is not None and len(waiting[0]) > 1:
-                        yield close()
-                    for column in waiting:
-                        column.clear()
-                    block = name
-                for column, value in zip(waiting, row):
-                    column.append(value)
-        if block is not None and len(waiting[0]) > 1:
-            yield close()
-
-    sorted_blocks = dealt.repartition("prefix", "i", "j").sortWithinPartitions("prefix", "i", "j")
-    return sorted_blocks.mapInArrow(run, "a long, b long").distinct()
+def _forests(homes: DataFrame, sets: DataFrame, points: DataFrame, labels: DataFrame) -> DataFrame:
+    """Spanning links of the nodes of each home."""
+    known = labels.join(sets, "node").join(points.select("node", "point"), "node")
+    full = homes.join(known, "node").select("prefix", "tile", "node", "part", "n", "point", "members")
+    return _by_group(full, 2, lambda _, *columns: forest_links(*columns))
+
+
+def _home(best: Column) -> Column:
+    return F.struct(*[best.getField(f).alias(f) for f in ("prefix", "n", "size", "total")])
 
 
 def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = SIZE) -> DataFrame:
@@ -368,25 +484,37 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     nodes = features.where("node is not null").groupBy("node").agg(
         F.first("n").alias("n"), F.first("point").alias("point"), F.min("row").alias("row"), F.first("prefix").alias("prefix")
     )
-    rows = nodes.select("node", F.explode("prefix").alias("prefix"))
+    rows = nodes.select("node", "n", F.explode("prefix").alias("prefix"))
     blocks = rows.groupBy("prefix").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
     shared = materialize(rows.join(blocks.select("prefix", "lead"), "prefix"))
     named = shared.select("node").distinct()
     points = materialize(nodes.drop("prefix").join(named, "node", "left_semi"))
 
-    def links_of(pairs: DataFrame) -> DataFrame:
-        pairs = materialize(pairs)
+    def sets_of(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-        sets = _sets_of(docs, points.join(ends, "node", "left_semi").select("node", "row"), key, text, size)
-        return materialize(_verified(pairs, materialize(sets)))
+        return materialize(_sets_of(docs, points.join(ends, "node", "left_semi").select("node", "row"), key, text, size))
 
     stars = shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
-    links = links_of(_bounded(stars, points))
+    near = materialize(_bounded(stars, points))
+    sets = sets_of(near)
+    links = materialize(_verified(near, sets))
+    shared = shared.drop("lead")
+    # Labels that spare the groups links between nodes of one lead.
+    leads = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("part"))
+    labels = sets.select("node").join(leads, "node", "left").select("node", F.coalesce("part", "node").alias("part"))
+    homes = materialize(_homes(shared, sets))
+    links = materialize(links.union(_forests(homes, sets, points, labels)))
     parts = materialize(components(links))
-    left = materialize(_labelled(shared.drop("lead"), parts).select("prefix", "node", "part", "size"))
-    more = links_of(_tile_pairs(left.join(points.select("node", "n", "point"), "node")))
-    if not more.isEmpty():
-        parts = materialize(components(links.union(more)))
+    # In blocks of two, the one pair has been seen.
+    left = materialize(_labelled(shared, parts).where("size > 2"))
+    few = _few_pairs(left.where(F.col("size") <= FEW).select("prefix", "node", "part", "n"))
+    # Nodes of one home are through with each other.
+    met = homes.groupBy("node").agg(F.collect_set(F.xxhash64("prefix", "tile")).alias("homes"))
+    many = left.where(F.col("size") > FEW).join(points.select("node", "point"), "node").join(met, "node", "left")
+    more = materialize(_bounded(few, points).union(_tile_pairs(many)).distinct())
+    found = materialize(_verified(more, sets_of(more)))
+    if not found.isEmpty():
+        parts = materialize(components(links.union(found)))
     return (
         features.select("row", "key", "n", "node")
         .join(parts, "node", "left")
