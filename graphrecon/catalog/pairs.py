@@ -176,9 +176,7 @@ def u1(spark, sf):
 
 @query("u2_difference", _TRADE + "SELECT u, v FROM edges EXCEPT SELECT u, v FROM kept")
 def u2(spark, sf):
-    return T.trade_edges(spark, sf).select("u", "v").join(
-        T.trade_edges(spark, sf, kept_only=True), ["u", "v"], "left_anti"
-    )
+    return P.difference(T.trade_edges(spark, sf), T.trade_edges(spark, sf, kept_only=True))
 
 
 @query(

@@ -110,7 +110,7 @@ def u5(spark, sf):
     best = wide.agg(*[F.max(c).alias(c) for c in R.METRIC_COLUMNS]).select(
         F.lit("all").alias("category"), F.lit("all brands").alias("model"), *R.METRIC_COLUMNS
     )
-    return wide.unionByName(best)
+    return R.with_own_rows(wide, best)
 
 
 @query(
@@ -285,12 +285,8 @@ def p17(spark, sf):
 )
 def l5(spark, sf):
     """Columns of a training log in their configured order."""
-    return T.daily_series(spark, sf).select(
-        "run",
-        F.col("epoch").alias("Epoch"),
-        F.col("n").alias("Epoch Time"),
-        F.col("value").alias("Val auprc"),
-    )
+    named = {"epoch": "Epoch", "n": "Epoch Time", "value": "Val auprc"}
+    return C.log_columns(T.daily_series(spark, sf), named, ["run"])
 
 
 @query(
@@ -323,8 +319,8 @@ def a9(spark, sf):
     from graphrecon.functions.scoring import logit_loss
 
     loss = logit_loss(F.col("logit"), F.col("label"))
-    per = T.scored_lines(spark, sf).groupBy("l_orderkey").agg(F.sum(loss).alias("total"))
-    return per.agg(rounded(F.avg("total")).alias("mean_loss"), F.count(F.lit(1)).alias("subgraphs"))
+    rows = C.mean_over_groups(T.scored_lines(spark, sf), loss, ["l_orderkey"])
+    return rows.select(rounded(F.col("mean")).alias("mean_loss"), F.col("groups").alias("subgraphs"))
 
 
 # ---- written files ---------------------------------------------------------------------------

@@ -158,9 +158,10 @@ def gaussian_tv(x: Column, y: Column, sigma: float = 1.0) -> Column:
 
 def _dense(hists: pd.Series, width: int) -> np.ndarray:
     out = np.zeros((len(hists), width))
-    for row, hist in enumerate(hists):
-        for item in hist:
-            out[row, item["bin"]] += item["cnt"]
+    items = [item for hist in hists for item in hist]
+    if items:
+        rows = np.repeat(np.arange(len(hists)), [len(h) for h in hists])
+        np.add.at(out, (rows, [i["bin"] for i in items]), [i["cnt"] for i in items])
     return out / (out.sum(axis=1, keepdims=True) + 1e-6)
 
 

@@ -5,7 +5,7 @@ A series holds one value per epoch, so a run is a small partition; runs spread o
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -114,3 +114,14 @@ def stage_timing(events: DataFrame, start: str, done: str, run: str = "run") ->
     last = F.max(F.when(F.col("event") == done, F.col("ts")))
     seconds = F.unix_timestamp(last) - F.unix_timestamp(first)
     return events.groupBy(run).agg(seconds.alias("seconds"))
+
+
+def log_columns(log: DataFrame, names: Mapping[str, str], keys: Sequence[str] = ()) -> DataFrame:
+    """Columns of a training log under their printed names, in the order of ``names``, after ``keys``."""
+    return log.select(*keys, *[F.col(c).alias(shown) for c, shown in names.items()])
+
+
+def mean_over_groups(rows: DataFrame, value: Column, groups: Sequence[str]) -> DataFrame:
+    """``mean`` of the groups' sums of ``value``, and the number of ``groups``."""
+    sums = rows.groupBy(*groups).agg(F.sum(value).alias("__sum"))
+    return sums.agg(F.avg("__sum").alias("mean"), F.count(F.lit(1)).alias("groups"))

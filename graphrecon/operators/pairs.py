@@ -22,6 +22,11 @@ def inside_split(pairs: DataFrame, nodes: DataFrame, a: str = "a", b: str = "b")
     return kept.select(*pairs.columns)
 
 
+def difference(edges: DataFrame, other: DataFrame) -> DataFrame:
+    """Edges ``u, v`` of the first table that the second one lacks."""
+    return edges.select("u", "v").join(other.select("u", "v"), ["u", "v"], "left_anti")
+
+
 def without(candidates: DataFrame, *forbidden: DataFrame) -> DataFrame:
     """Canonical candidates ``u, v`` that occur in none of the forbidden pair tables."""
     for table in forbidden:

@@ -56,6 +56,12 @@ def comparison_table(
     return wide.join(ranked, key).orderBy("avg_rank", "avg_rank_score", key)
 
 
+def with_own_rows(baselines: DataFrame, own: DataFrame) -> DataFrame:
+    """Baseline rows and the rows of the model under test, one table ``category, model`` and metrics."""
+    columns = ["category", "model", *METRIC_COLUMNS]
+    return baselines.select(*columns).unionByName(own.select(*columns))
+
+
 def require_unique_models(wide: DataFrame, key: str = "model") -> None:
     twice = wide.groupBy(key).count().filter("count > 1").limit(1).collect()
     if twice:
