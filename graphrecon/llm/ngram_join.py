@@ -485,8 +485,14 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size
         F.first("n").alias("n"), F.first("point").alias("point"), F.min("row").alias("row"), F.first("prefix").alias("prefix")
     )
     rows = nodes.select("node", "n", F.explode("prefix").alias("prefix"))
-    blocks = rows.groupBy("prefix").agg(F.min("node").alias("lead"), F.max("node").alias("last")).where("lead < last")
-    shared = materialize(rows.join(blocks.select("prefix", "lead"), "prefix"))
+    drawn = F.min_by("node", F.xxhash64("node", "prefix"))
+    blocks = (
+        rows.groupBy("prefix")
+        .agg(F.min("node").alias("lead"), F.max("node").alias("last"), F.count(F.lit(1)).alias("size"), drawn.alias("drawn"))
+        .where("lead < last")
+        .select("prefix", "lead", F.when(F.col("size") > FEW, F.col("drawn")).alias("drawn"))
+    )
+    shared = materialize(rows.join(blocks, "prefix"))
     named = shared.select("node").distinct()
     points = materialize(nodes.drop("prefix").join(named, "node", "left_semi"))
 
@@ -496,9 +502,11 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size
 
     stars = shared.where("node <> lead").select(F.col("lead").alias("a"), F.col("node").alias("b")).distinct()
     near = materialize(_bounded(stars, points))
-    sets = sets_of(near)
+    # In larger blocks nodes may be far from the least node and near to others: a drawn one each shows it.
+    others = shared.where("node <> drawn").select(F.least("drawn", "node").alias("a"), F.greatest("drawn", "node").alias("b"))
+    sets = sets_of(near.union(_bounded(others.distinct(), points)))
     links = materialize(_verified(near, sets))
-    shared = shared.drop("lead")
+    shared = shared.drop("lead", "drawn")
     # Labels that spare the groups links between nodes of one lead.
     leads = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("part"))
     labels = sets.select("node").join(leads, "node", "left").select("node", F.coalesce("part", "node").alias("part"))
