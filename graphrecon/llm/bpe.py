@@ -13,8 +13,8 @@ from collections.abc import Callable, Iterable
 
 import numpy as np
 
-#: Pieces, and parts of pieces, that a worker remembers; beyond, it starts anew. About 100 MB together.
-PIECES, PARTS = 200_000, 300_000
+#: Pieces, and parts of pieces, that a worker remembers; beyond, it starts anew. About 200 MB together.
+PIECES, PARTS = 400_000, 600_000
 
 # A letter or number before ASCII punctuation other than an apostrophe, and both sides of a single
 # line break: every pretokenizer used here ends a pretoken there.
