@@ -1,7 +1,8 @@
 """Main text of web pages by the distribution of text over blocks of lines.
 
 Markup is stripped so that every block element gives one line, and a container that can't hold the
-article (menus, forms, adverts and so on, by element, role or class) gives empty lines. The text
+article (menus, forms, adverts and so on, by element, role or class) gives empty lines, unless there is an article
+or main in it. The text
 lengths of ``WINDOW`` lines in a row, links not counted, are summed at every line. The text surges
 where a sum exceeds ``SURGE`` and dives where a sum is zero; lines between a surge and the next dive are the
 main text. If a page marks its article, lines in it surge by themselves and lines outside are empty.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 import html as entities
 import re
+from bisect import bisect_right
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,7 +22,7 @@ from graphrecon.llm.batches import add_columns
 WINDOW, SURGE = 3, 86
 
 _TAG = re.compile(r"""<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^"'<>]|"[^"]*"|'[^']*')*)>|<[!?/][^<>]*>""")
-_NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
+_ATTRIBUTE = re.compile(r"""([^\s"'<>/=]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 # Element names of HTML by what they mean here.
 _BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption "
@@ -31,12 +33,39 @@ _NEVER = frozenset(
     "head title noscript template iframe object svg canvas audio video map nav aside footer form button select "
     "textarea dialog menu".split()
 )
+# What stands in these is no element of the page.
+_RAW = frozenset("title template iframe textarea select".split())
 _ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 _CLASSES = frozenset(
     "ad ads advert advertisement adverts advertising banner breadcrumb breadcrumbs comment comments cookie cookies consent "
     "disqus footer masthead menu modal nav navbar navigation newsletter notice pagination popup promo "
     "promotion related share sharing sidebar social sponsor sponsored subscribe toolbar widget".split()
 )
+# Names of two words that mean the same; any other name that has one of the words above in it means nothing.
+_COMPOUNDS = frozenset(
+    f"{first}-{second}"
+    for firsts, seconds in (
+        (
+            "ad ads advert adverts advertisement advertising",
+            "area banner block box break container frame holder inline label placeholder slot space unit wrap wrapper",
+        ),
+        ("banner display google native sidebar sponsored text", "ad ads"),
+        ("bottom footer global main mobile page primary secondary site top", "footer masthead menu nav navbar navigation"),
+        ("nav navbar menu navigation", "bar container inner item items links list menu wrap wrapper"),
+        ("footer sidebar", "area bottom container inner links menu nav top widget widgets wrap wrapper"),
+        ("breadcrumb breadcrumbs pagination", "container item links list nav wrap wrapper"),
+        ("comment comments", "area box container form list respond section thread wrap wrapper"),
+        ("cookie cookies consent", "alert banner bar box consent dialog message modal notice overlay popup wall"),
+        ("newsletter subscribe", "banner block box form modal popup signup subscribe widget"),
+        ("related", "articles content entries items links news posts products reading stories topics"),
+        ("share sharing social", "bar box button buttons icons links list media menu share sharing tools widget"),
+        ("promo sponsored sponsor", "banner block box content links post posts"),
+        ("modal popup", "backdrop body container content dialog overlay window wrapper"),
+        ("widget", "area container wrap wrapper"),
+    )
+    for first in firsts.split()
+    for second in seconds.split()
+)
 
 
 def _without_raw(page: str) -> str:
@@ -58,15 +87,43 @@ def _without_raw(page: str) -> str:
 def _unwanted(name: str, attributes: str, inside: bool) -> bool:
     if name in _NEVER or (name == "header" and not inside):
         return True
-    if "=" not in attributes or name in ("html", "body", "article", "main"):
+    return name not in ("html", "body", "article", "main") and _named_unwanted(attributes)
+
+
+def _named_unwanted(attributes: str) -> bool:
+    """By the tokens of its class, id and role; no other attribute counts, and the first of a name holds."""
+    if "=" not in attributes:
         return False
-    for kind, *values in _NAMED.findall(attributes):
-        words = re.split(r"[^a-z0-9]+", next((v for v in values if v), "").lower())
-        if (_ROLES if kind.lower() == "role" else _CLASSES).intersection(words):
-            return True
+    seen = set()
+    for kind, *values in _ATTRIBUTE.findall(attributes):
+        kind = kind.lower()
+        if kind not in ("class", "id", "role") or kind in seen:
+            continue
+        seen.add(kind)
+        for token in next((v for v in values if v), "").lower().split():
+            if token in _ROLES if kind == "role" else token in _CLASSES or re.sub("[-_]+", "-", token) in _COMPOUNDS:
+                return True
     return False
 
 
+def _articles(tags: list[re.Match], names: list[str], close: dict[int, int]) -> list[int]:
+    """Where an article or main opens; an article inside another whose own name is unwanted (a comment) isn't counted."""
+    found, raw, ends = [], -1, []
+    for i, (tag, name) in enumerate(zip(tags, names)):
+        if tag[1] or i < raw:
+            continue
+        if name in _RAW:
+            raw = close.get(i, raw)
+        elif name in ("article", "main"):
+            while ends and ends[-1] < i:
+                ends.pop()
+            if name == "main" or not ends or not _named_unwanted(tag[3] or ""):
+                found.append(i)
+            if name == "article" and i in close:
+                ends.append(close[i])
+    return found
+
+
 def page_lines(page: str) -> list[tuple[str, int, bool]]:
     """Lines of a page: text, its characters outside links, and whether it is in the marked article."""
     page = _without_raw(page)
@@ -78,10 +135,15 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
             opened.setdefault(name, []).append(i)
         elif t[1] and opened.get(name):
             close[opened[name].pop()] = i
+    articles = _articles(tags, names, close)
     lines: list[tuple[str, int, bool]] = []
     text: list[str] = []
     links = depth = plain = 0
 
+    def holds_article(i: int) -> bool:
+        k = bisect_right(articles, i)
+        return k < len(articles) and articles[k] < close[i]
+
     def end_line() -> None:
         nonlocal plain
         joined = " ".join(entities.unescape("".join(text)).split())
@@ -101,7 +163,7 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         tag, name = tags[i], names[i]
         add(page[at : tag.start()])
         at = tag.end()
-        if not tag[1] and i in close and name and _unwanted(name, tag[3] or "", depth > 0):
+        if not tag[1] and i in close and name and _unwanted(name, tag[3] or "", depth > 0) and not holds_article(i):
             end_line()
             lines.extend([("", 0, False)] * WINDOW)
             i = close[i]

@@ -174,6 +174,45 @@ def test_main_text(page, want):
     assert html_text.main_text(page) == want
 
 
+@pytest.mark.parametrize(
+    "around",
+    [
+        '<div class="layout has-sidebar">{}</div>',
+        '<div class="content-with-sidebar">{}</div>',
+        '<div class="no-comments">{}</div>',
+        '<div class="page cookie-accepted">{}</div>',
+        '<div class="sidebar"><div id=social>{}</div></div>',
+        '<form action="/page.aspx">{}</form>',
+        "<title>about &lt;main> <main></title>{}",
+        "<nav>menu</nav><main><div class=widget>{}</div></main>",
+    ],
+)
+def test_no_container_of_an_article_is_dropped(around):
+    for article in ("<article><h1>A</h1><p>b</p></article>", "<main><h1>A</h1><p>b</p></main>"):
+        assert html_text.main_text(around.format(article)) == "A\n\nb"
+
+
+@pytest.mark.parametrize(
+    "part, kept",
+    [
+        ('<section id="related-work"><p>x</p></section>', True),
+        ('<div id="social-history"><p>x</p></div>', True),
+        ('<div data-class="ad" data-role="banner" aria-id=menu><p>x</p></div>', True),
+        ("<div title='class=\"ad\" id=nav'><p>x</p></div>", True),
+        ("<section id=notes><article><p>x</p></article></section>", True),
+        ('<div class="box ad"><p>x</p></div>', False),
+        ('<div class="ad_slot"><p>x</p></div>', False),
+        ('<div class="related-posts wide"><p>x</p></div>', False),
+        ("<div ROLE=complementary><p>x</p></div>", False),
+        ('<section id="comments"><article class="comment"><p>x</p></article></section>', False),
+        ("<template><article>x</article></template>", False),
+    ],
+)
+def test_parts_of_an_article(part, kept):
+    want = "a\n\nx\n\nb" if kept else "a\n\nb"
+    assert html_text.main_text(f"<article><p>a</p>{part}<p>b</p></article>") == want
+
+
 def test_pages_query(spark, sf):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     rows = QUERIES["op7_html_text"](spark, sf).collect()
