@@ -1,11 +1,13 @@
 """Main text of web pages by the distribution of text over blocks of lines.
 
-Markup is stripped so that every block element gives one line, and a container that can't hold the
-article (menus, forms, adverts and so on, by element, role or class) gives empty lines, unless there is an article
-or main in it. The text
-lengths of ``WINDOW`` lines in a row, links not counted, are summed at every line. The text surges
-where a sum exceeds ``SURGE`` and dives where a sum is zero; lines between a surge and the next dive are the
-main text. If a page marks its article, lines in it surge by themselves and lines outside are empty.
+Markup is stripped so that every block element gives one line; a container that can't hold the
+article (menus, forms, adverts and so on, by element, role or class) gives none, unless there is an article
+or main in it. If a page marks its article, the lines in it are the main text.
+
+Else the text lengths of ``WINDOW`` lines in a row, links not counted, are summed at every line. The text
+surges where a sum exceeds ``SURGE``, or half of the largest sum if none does, and dives where a sum is zero.
+All lines from the first surge to the last dive are the main text, and so are, before and after, the paragraphs,
+headings and other lines with text outside links that stand in the same container as lines found so.
 """
 
 from __future__ import annotations
@@ -13,6 +15,8 @@ from __future__ import annotations
 import html as entities
 import re
 from bisect import bisect_right
+from dataclasses import dataclass
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -29,6 +33,9 @@ _BLOCK = frozenset(
     "figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol option p pre section "
     "summary table tbody td tfoot th thead tr ul".split()
 )
+# Lines of a page stand in these; what other blocks hold belongs to the one around them.
+_CONTAINERS = frozenset("article body center details div fieldset form main section td".split())
+_PARAGRAPHS = frozenset("blockquote h1 h2 h3 h4 h5 h6 p pre".split())
 _NEVER = frozenset(
     "head title noscript template iframe object svg canvas audio video map nav aside footer form button select "
     "textarea dialog menu".split()
@@ -124,8 +131,17 @@ def _articles(tags: list[re.Match], names: list[str], close: dict[int, int]) ->
     return found
 
 
-def page_lines(page: str) -> list[tuple[str, int, bool]]:
-    """Lines of a page: text, its characters outside links, and whether it is in the marked article."""
+@dataclass
+class Line:
+    text: str
+    plain: int  # its characters outside links
+    inside: bool  # whether it is in the marked article
+    parent: int  # its container
+    paragraph: bool
+
+
+def page_lines(page: str) -> list[Line]:
+    """The lines of a page that hold text, without those of unwanted containers."""
     page = _without_raw(page)
     tags = list(_TAG.finditer(page))
     names = [(t[2] or "").lower() for t in tags]
@@ -136,9 +152,11 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         elif t[1] and opened.get(name):
             close[opened[name].pop()] = i
     articles = _articles(tags, names, close)
-    lines: list[tuple[str, int, bool]] = []
+    lines: list[Line] = []
     text: list[str] = []
+    around: list[tuple[int, int]] = []  # where the open containers end and begin
     links = depth = plain = 0
+    kind = ""
 
     def holds_article(i: int) -> bool:
         k = bisect_right(articles, i)
@@ -148,7 +166,8 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         nonlocal plain
         joined = " ".join(entities.unescape("".join(text)).split())
         if joined:
-            lines.append((joined, min(plain, len(joined)), depth > 0))
+            parent = around[-1][1] if around else -1
+            lines.append(Line(joined, min(plain, len(joined)), depth > 0, parent, kind in _PARAGRAPHS))
         text.clear()
         plain = 0
 
@@ -165,11 +184,15 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
         at = tag.end()
         if not tag[1] and i in close and name and _unwanted(name, tag[3] or "", depth > 0) and not holds_article(i):
             end_line()
-            lines.extend([("", 0, False)] * WINDOW)
             i = close[i]
             at = tags[i].end()
         elif name in _BLOCK:
             end_line()
+            kind = "" if tag[1] else name
+            while around and around[-1][0] <= i:
+                around.pop()
+            if name in _CONTAINERS and i in close:
+                around.append((close[i], i))
             if name in ("article", "main") and (tag[1] or i in close):
                 depth = max(0, depth - 1) if tag[1] else depth + 1
         elif name == "br":
@@ -183,21 +206,24 @@ def page_lines(page: str) -> list[tuple[str, int, bool]]:
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
-    """The lines between surges and dives, two line breaks between them; empty if there are none."""
+    """The lines of the main text, two line breaks between them; empty if there are none."""
     lines = page_lines(page or "")
-    marked = any(inside for _, _, inside in lines)
-    lengths = [((surge + 1 if inside else 0) if marked else plain) if text else 0 for text, plain, inside in lines]
-    kept, on = [], False
-    total = sum(lengths[:window])
-    for i, (text, _, _) in enumerate(lines):
-        if not on and lengths[i] and total > surge:
-            on = True
-        elif on and total == 0:
-            on = False
-        if on and lengths[i]:
-            kept.append(text)
-        total += (lengths[i + window] if i + window < len(lines) else 0) - lengths[i]
-    return "\n\n".join(kept)
+    kept = [line for line in lines if line.inside]
+    if not kept:
+        upto = [0, *accumulate(line.plain for line in lines)]
+        sums = [upto[min(i + window, len(lines))] - upto[i] for i in range(len(lines))]
+        peak = max(sums, default=0)
+        least = surge if peak > surge else max(1, peak // 2)
+        begins = [i for i, line in enumerate(lines) if line.plain and sums[i] > least]
+        first = begins[0] if begins else len(lines)
+        dive = next((i for i in range(begins[-1], len(lines)) if not sums[i]), len(lines)) if begins else 0
+        parents = {line.parent for line in lines[first:dive] if line.plain}
+        kept = [
+            line
+            for i, line in enumerate(lines)
+            if first <= i < dive or line.parent in parents and (line.plain or line.paragraph)
+        ]
+    return "\n\n".join(line.text for line in kept)
 
 
 def extract_text(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

@@ -213,6 +213,33 @@ def test_parts_of_an_article(part, kept):
     assert html_text.main_text(f"<article><p>a</p>{part}<p>b</p></article>") == want
 
 
+P200 = "long text " * 20
+
+
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # an advert or form in mid-article, in one container, in several and in none
+        (f"<div><p>{P200}</p><div class=ad>Buy</div><p>Short tail.</p></div>", [P200, "Short tail."]),
+        (f"<div><div><p>{P200}</p></div><form>f</form><div><h2>Head</h2><p>Tail.</p></div></div>", [P200, "Head", "Tail."]),
+        (f"<p>{P200}</p><aside>s</aside><p>Short tail.", [P200, "Short tail."]),
+        # paragraphs that are all link, and several of them before a short one
+        (f"<div><p>{P200}</p><p><a href=x>All link</a></p><p>{P200}</p></div>", [P200, "All link", P200]),
+        (f"<div><p>{P200}</p>" + "<ul>" + "<li><a href=x>l</a>" * 4 + f"</ul><p>{P200}</p></div>", [P200, *"llll", P200]),
+        (f"<div><p>{P200}</p>" + "<p><a href=x>l</a></p>" * 4 + "<p>Tail.</p></div>", [P200, *"llll", "Tail."]),
+        (f"<div><h1><a href=x>Title</a></h1><p>{P200}</p><p><a href=x>Source</a></p></div>", ["Title", P200, "Source"]),
+        # short articles
+        ("<div><p>One short note.</p></div>", ["One short note."]),
+        ("<body><h1>Title</h1><p>A note of a few words.</p><p>Yes.</p></body>", ["Title", "A note of a few words.", "Yes."]),
+        # what isn't the article
+        (f"<ul><li><a href=x>Home</a><li><a href=y>News</a></ul><div><p>{P200}</p></div><div>" + "<p><a href=x>l</a></p>" * 4 + "</div>", [P200]),
+        ("<ul><li><a href=x>Home</a><li><a href=y>News</a></ul>", []),
+    ],
+)
+def test_unmarked_pages(page, want):
+    assert html_text.main_text(page) == "\n\n".join(x.strip() for x in want)
+
+
 def test_pages_query(spark, sf):
     pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf}/pages.parquet").collect()}
     rows = QUERIES["op7_html_text"](spark, sf).collect()
