@@ -17,8 +17,10 @@ from pyspark.sql import functions as F
 from graphrecon.llm.batches import add_columns
 
 WIDTHS, FILTERS, LENGTH = (2, 3, 4), 16, 256
-#: The most rows, of all languages together, that training looks at, and the most characters of one.
-TRAIN_ROWS, TRAIN_CHARS = 4_000, 2_000
+#: About the rows that training looks at: so many of all languages together, or so many of each language where that is more.
+TRAIN_ROWS, LEAST_ROWS = 4_000, 32
+#: The most characters of a row.
+TRAIN_CHARS = 2_000
 UNKNOWN = "und"
 #: Windows that go through the network at once.
 WORK = 64
@@ -142,31 +144,36 @@ def train_net(
     return net
 
 
-def training_rows(docs: DataFrame, key: str, label: str, text: str, most: int = TRAIN_ROWS) -> DataFrame:
-    """At most ``most`` rows, about as many of each language, drawn by a hash of key and text.
+def training_rows(
+    docs: DataFrame, key: str, label: str, text: str, most: int = TRAIN_ROWS, least: int = LEAST_ROWS
+) -> DataFrame:
+    """About ``most`` rows, as many of each language, or ``least`` of each; drawn by a hash of key and text.
 
-    Of each text a stretch of ``TRAIN_CHARS`` characters from a drawn place. The languages' counts are
-    small: one row each, and languages beyond the thousand most frequent aren't learned.
+    All rows of a rare language are taken, at least one of any, and equal rows once. Of each text a stretch from a
+    drawn place, ``TRAIN_CHARS`` characters or less where there are more rows. One row per language reaches the driver.
     """
-    rows = docs.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}"))
-    counts = docs.where(F.col(label).isNotNull()).groupBy(label).count().orderBy(F.desc("count"), label).limit(1000)
-    counts = [(r[0], r[1]) for r in counts.collect()]
-    share = most / max(1, len(counts))
-    draw = F.pmod(F.xxhash64(key, text), F.lit(1 << 30))
-    wanted = F.lit(False)
-    for name, count in counts:
-        wanted = wanted | ((F.col(label) == name) & (draw < int(min(1.0, share / count) * (1 << 30))))
-    room = F.greatest(F.length(text) - TRAIN_CHARS, F.lit(0)) + 1
-    start = F.pmod(F.xxhash64(text), room.cast("long")).cast("int") + 1
+    found = F.xxhash64(key, text)
+    rows = docs.where(F.col(label).isNotNull() & F.col(text).rlike(r"\p{L}")).select(
+        F.col(label).alias("label"), F.col(text).alias("text"), found.alias("found"), F.pmod(found, F.lit(1 << 30)).alias("draw")
+    )
+    counts = rows.groupBy("label").agg(F.count(F.lit(1)), F.min("draw")).collect()
+    share = max(least, most / max(1, len(counts)))
+    upto = [(name, max(first + 1, int(min(1.0, share / count) * (1 << 30)))) for name, count, first in counts]
+    bounds = docs.sparkSession.createDataFrame(upto, f"label {docs.schema[label].dataType.simpleString()}, upto long")
+    chars = max(LENGTH, int(TRAIN_CHARS * min(1.0, most / (share * max(1, len(counts))))))
+    room = F.greatest(F.length("text") - chars, F.lit(0)) + 1
+    start = F.pmod(F.xxhash64("text"), room.cast("long")).cast("int") + 1
     return (
-        rows.where(wanted)
-        .select(F.col(label).alias("label"), F.substring(text, start, F.lit(TRAIN_CHARS)).alias("text"))
-        .limit(most + most // 4)
+        rows.join(F.broadcast(bounds), "label")
+        .where(F.col("draw") < F.col("upto"))
+        .select("label", "found", F.substring("text", start, F.lit(chars)).alias("text"))
+        .dropDuplicates(["label", "found"])
+        .select("label", "text")
     )
 
 
 def train_language_net(docs: DataFrame, key: str = "doc_id", label: str = "lang", text: str = "text", **options) -> ByteNet:
-    """Train on a bounded sample of the labelled ``docs``; order doesn't matter."""
+    """Train on a sample of the labelled ``docs``, bounded for each label; every label with a letter in a text is learned."""
     rows = sorted((r["label"], r["text"]) for r in training_rows(docs, key, label, text).collect())
     return train_net([t for _, t in rows], [x for x, _ in rows], **options)
 

@@ -278,6 +278,23 @@ def test_language_odd_rows(odd_documents):
     assert {r["lang_pred"] for r in language.predict_language(odd_documents, empty).collect()} == {"und"}
 
 
+def test_every_label_is_learned(spark, documents):
+    names = [f"l{i:04}" for i in range(1100)]
+    texts = [f"{name} words" for name in names] + ["common words"] * 3000 + [f"common {i}" for i in range(3000)] + ["1", None]
+    docs = documents(*texts, lang=[*names, *["l0000"] * 6000, "digits", "empty"])
+    rows = language.training_rows(docs, "doc_id", "lang", "text").collect()
+    assert {r["label"] for r in rows} == set(names)
+    assert len(rows) < 1100 + 100
+    net = language.train_language_net(docs, epochs=1, per_text=1)
+    assert net.languages == names
+    assert {r["lang_pred"] for r in language.predict_language(docs.where("doc_id < 2000"), net).collect()} <= set(names)
+    few = language.training_rows(docs.where("lang < 'l0004'"), "doc_id", "lang", "text", most=400).groupBy("label").count()
+    counts = dict(few.collect())
+    assert len(counts) == 4 and 40 < counts["l0000"] < 180
+    copies = docs.withColumn("doc_id", F.lit(None).cast("long")).where("text = 'common words'")
+    assert language.training_rows(copies, "doc_id", "lang", "text").count() == 1
+
+
 # --- rules and classifier ---------------------------------------------------------------------------
 
 
