@@ -312,3 +312,38 @@ def test_rounds_leave_the_graph_in_place(spark):
     for scan in scans:
         above = lines[lines.index(scan) - 1]
         assert "Exchange" not in above and "Sort" not in above
+
+
+def test_hub_is_split_before_cells_are_dealt_out(spark, monkeypatch):
+    hub, count = F.lit("hub"), 20_000
+    edges = spark.range(0, count, 1, 8).select(hub.alias("u"), F.concat(F.lit("l"), "id").alias("v"))
+    nodes = edges.select(F.col("v").alias("id")).union(edges.select("u").distinct())
+    low = {
+        "autoBroadcastJoinThreshold": "-1",
+        "adaptive.coalescePartitions.enabled": "false",
+        "adaptive.advisoryPartitionSizeInBytes": "16k",
+        "adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k",
+        "adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    largest, deal = {}, T.materialize_by
+
+    def dealt(df, column):
+        before = spark.conf.get("spark.sql.adaptive.enabled")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        part = df.groupBy(F.spark_partition_id().alias("p")).count().agg(F.max("count"))
+        largest[column] = part.first()[0]
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+        return deal(df, column)
+
+    monkeypatch.setattr(T, "materialize_by", dealt)
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in low}
+    for k, v in low.items():
+        spark.conf.set(f"spark.sql.{k}", v)
+    try:
+        graph = T.adjacency(nodes, edges)
+        cells = graph.cells
+        assert cells.count() == 2 * count and cells.where(F.col("nbr") == hub).count() == count
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+    assert largest["at"] < count  # all of them in one part before
