@@ -88,11 +88,15 @@ def base_failed() -> Column:
 
 
 def _share(part: str, whole: str) -> Column:
-    return F.coalesce(F.floor(F.col(part) * 1000 / F.col(whole)), F.lit(0))
+    """Thousandths; 0 where the whole is nothing (a text without words, lines or ASCII letters)."""
+    return F.coalesce(F.floor(F.try_divide(F.col(part) * 1000, F.col(whole))), F.lit(0))
 
 
 def rules() -> dict[str, Column]:
-    """Measures in thousandths; the more, the worse."""
+    """Measures in thousandths; the more, the worse.
+
+    Capitals are counted among ASCII letters: scripts without case, and texts of digits alone, don't shout.
+    """
     return {
         "symbols": _share("n_symbols", "word_chars"),
         "dup_lines": _share("n_dup_lines", "n_lines"),
