@@ -19,6 +19,7 @@ from graphrecon.llm.batches import add_columns
 BITS = 18
 #: The most labelled rows, of each grade, that the fit looks at.
 TRAIN_ROWS = 4_000
+MOST_GRADES = 100
 
 _WORDS = bytes(
     b + 32 if 0x41 <= b <= 0x5A else b if 0x61 <= b <= 0x7A or b >= 0x80 else 0x20 for b in range(256)
@@ -148,12 +149,14 @@ def train(
 ) -> OrdinalModel:
     """Fit on at most ``most`` rated rows of each grade, drawn by a hash of the key.
 
-    ``ratings``: a key and an integer grade from 0; a key rated more than once takes its lowest
-    grade, a null grade counts as not given. Rows weigh as much as their grade has in all ratings.
+    ``ratings``: a key and an integer grade from 0, ``MOST_GRADES`` different ones or an error is raised;
+    a key rated more than once takes its lowest grade, a null grade counts as not given. Rows weigh as much as their grade has in all ratings.
     Only drawn keys (a bounded number) are sent to the tasks, and only features come back.
     """
     lowest = ratings.groupBy(F.col(key)).agg(F.min(grade).cast("int").alias("__grade")).where("__grade >= 0")
-    counts = {r[0]: r[1] for r in lowest.groupBy("__grade").count().orderBy("__grade").limit(100).collect()}
+    counts = dict(map(tuple, lowest.groupBy("__grade").count().orderBy("__grade").limit(MOST_GRADES + 1).collect()))
+    if len(counts) > MOST_GRADES:
+        raise ValueError(f"ratings have more than {MOST_GRADES} grades: merge grades before training")
     draw, wanted = F.pmod(F.xxhash64(key), F.lit(1 << 30)), F.lit(False)
     for g, n in counts.items():
         wanted = wanted | ((F.col("__grade") == g) & (draw < int(min(1.0, most / n) * (1 << 30))))
