@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from graphrecon.llm.decontaminate import benchmark_matches, contaminated, hit_words, item_digest
 from graphrecon.llm.html_text import extract_text
 from graphrecon.llm.language import predict_language, train_language_net
+from graphrecon.llm.merkle import document_manifest, fold, proof_digest
 from graphrecon.llm.mixing import mix_sources
 from graphrecon.llm.ngram_join import near_duplicates
 from graphrecon.llm.ordinal import accepted, grade_texts, label_grades, train
@@ -144,3 +145,79 @@ def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+@query
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows = document_manifest(docs, F.crc32(F.col("doc_id").cast("string")) % 7 == 0)
+    folded = rows.withColumn("folded_root", fold(F.coalesce("altered", "leaf"), F.col("siblings")))
+    return folded.select(
+        "doc_id",
+        "leaf",
+        "subroot",
+        "root",
+        proof_digest(F.col("siblings")).alias("proof_sha256"),
+        "folded_root",
+        (F.col("folded_root") == F.col("root")).alias("verified"),
+    )
+
+
+def _crc32(text: str) -> str:
+    """DuckDB SQL for the CRC-32 of an ASCII text, bit by bit."""
+    bit = "lambda c, _: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = f"lambda crc, b: list_reduce([0,0,0,0,0,0,0,0]::BIGINT[], {bit}, xor(crc, b))"
+    codes = f"list_transform(string_split({text}, ''), lambda x: ascii(x)::BIGINT)"
+    return f"xor(list_reduce({codes}, {byte}, 4294967295), 4294967295)"
+
+
+def _field(value: str) -> str:
+    return f"coalesce(strlen({value}) || ':' || {value}, '-')"
+
+
+def _leaf_sql(n_chars: str) -> str:
+    values = ("CAST(doc_id AS VARCHAR)", "source", "lang", f"CAST({n_chars} AS VARCHAR)", "text")
+    return f"sha256({' || '.join(map(_field, values))})"
+
+
+def _tree_sql(name: str, leaves: str) -> str:
+    """CTEs for all levels (``k``) of the trees ``g`` over ``leaves`` (g, p, h); ``n``: nodes of the level."""
+    return f"""{name}_up AS (
+  SELECT g, 0 AS k, p, h FROM ({leaves})
+  UNION ALL
+  SELECT g, k + 1, p // 2, sha256(string_agg(h, '' ORDER BY p))
+  FROM (SELECT *, count(*) OVER (PARTITION BY g) AS n FROM {name}_up) WHERE n > 1 GROUP BY g, k, p // 2
+),
+{name} AS (SELECT *, count(*) OVER (PARTITION BY g, k) AS n FROM {name}_up)"""
+
+
+def _walk_sql(name: str, tree: str, start: str) -> str:
+    """CTE that takes rows (r, g, q, acc, proof) of ``start`` to the roots of their trees."""
+    return f"""{name} AS (
+  SELECT r, g, 0 AS k, q, acc, proof FROM ({start})
+  UNION ALL
+  SELECT w.r, w.g, w.k + 1, w.q // 2, sha256(CASE WHEN w.q % 2 = 1 THEN coalesce(s.h, '') || acc ELSE acc || coalesce(s.h, '') END),
+    proof || coalesce(s.h, '')
+  FROM {name} w JOIN {tree} t ON t.g = w.g AND t.k = w.k AND t.p = w.q AND t.n > 1
+  LEFT JOIN {tree} s ON s.g = w.g AND s.k = w.k AND s.p = xor(w.q, 1)
+)"""
+
+
+ORACLES["op12_merkle_manifest"] = f"""
+WITH RECURSIVE leaves AS (
+  SELECT *, coalesce('=' || lang, '') AS g, {_leaf_sql("n_chars")} AS leaf,
+    CASE WHEN {_crc32("CAST(doc_id AS VARCHAR)")} % 7 = 0 THEN {_leaf_sql("(n_chars + (n_chars IS NOT NULL)::INT)")} END AS altered
+  FROM documents
+),
+f AS (
+  SELECT *, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS p, row_number() OVER () AS r FROM leaves
+),
+{_tree_sql("low", "SELECT g, p, leaf AS h FROM f")},
+subroots AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS p FROM low WHERE n = 1),
+{_tree_sql("high", "SELECT '' AS g, p, h FROM subroots")},
+{_walk_sql("first", "low", "SELECT r, g, p AS q, coalesce(altered, leaf) AS acc, '' AS proof FROM f")},
+met AS (SELECT r, acc, proof, subroots.p AS q, subroots.h AS subroot FROM first JOIN low USING (g, k) JOIN subroots USING (g) WHERE low.n = 1),
+{_walk_sql("second", "high", "SELECT r, '' AS g, q, acc, proof FROM met")},
+ends AS (SELECT second.r, acc, proof, high.h AS root FROM second JOIN high ON high.k = second.k AND high.n = 1)
+SELECT doc_id, leaf, subroot, root, sha256(ends.proof) AS proof_sha256, ends.acc AS folded_root, ends.acc = root AS verified
+FROM f JOIN met USING (r) JOIN ends USING (r)"""
