@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphrecon.llm.conversations import repair
 from graphrecon.llm.decontaminate import benchmark_matches, contaminated, hit_words, item_digest
 from graphrecon.llm.html_text import extract_text
 from graphrecon.llm.language import predict_language, train_language_net
@@ -221,3 +222,88 @@ met AS (SELECT r, acc, proof, subroots.p AS q, subroots.h AS subroot FROM first
 ends AS (SELECT second.r, acc, proof, high.h AS root FROM second JOIN high ON high.k = second.k AND high.n = 1)
 SELECT doc_id, leaf, subroot, root, sha256(ends.proof) AS proof_sha256, ends.acc AS folded_root, ends.acc = root AS verified
 FROM f JOIN met USING (r) JOIN ends USING (r)"""
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(table(spark, sf_dir, "conversations"))
+
+
+# Forward over the rows of each conversation with the least (cost, audit, repaired text) of each of the four states; a state that
+# can't be reached has no value. Of equal costs no audit is the start of another, so the least of one state stays the least.
+def _edit(way: str, cost: str, letter: str, role: str | None, text: str = "''") -> str:
+    said = f"{way}.r" if role is None else f"{way}.r || chr(10) || {role} || ':' || {text}"
+    return f"CASE WHEN {way} IS NOT NULL THEN {{'c': {way}.c + {cost}, 'a': {way}.a || '{letter}', 'r': {said}}} END"
+
+
+def _least(*ways: str) -> str:
+    return f"list_min([{', '.join(ways)}])"
+
+
+def _insert_sql(source: str) -> str:
+    """Rows of ``source`` with at most two turns inserted."""
+    once = f"SELECT * REPLACE ({_least('u', *[_edit(w, '5', 'I', chr(39) + 'user' + chr(39)) for w in 'nsa'])} AS u) FROM ({source})"
+    return f"SELECT * REPLACE ({_least('a', _edit('u', '5', 'I', chr(39) + 'assistant' + chr(39)))} AS a) FROM ({once})"
+
+
+def _row_sql(to: str) -> str:
+    ways = [_edit(to, "2", "D", None)]
+    before = {"n": (), "s": ("n",), "u": ("n", "s", "a"), "a": ("u",)}[to]
+    for w in before:
+        ways.append(f"CASE WHEN fault NOT IN ('blank', 'duplicate') AND left(role, 1) = '{to}' THEN {_edit(w, 'extra', 'K', 'role', 'text')} END")
+        if to in "ua":
+            name = "'user'" if to == "u" else "'assistant'"
+            ways.append(f"CASE WHEN fault NOT IN ('blank', 'duplicate') THEN {_edit(w, '1 + extra', 'R', name, 'text')} END")
+    return _least(*ways)
+
+
+_STRIP = "rtrim(text, chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))"
+_STATE = "STRUCT(c BIGINT, a VARCHAR, r VARCHAR)"
+
+ORACLES["op13_conversation_repair"] = f"""
+WITH RECURSIVE named AS (
+  SELECT conv_id, coalesce('=' || conv_id, '') AS conv, CAST(turn AS BIGINT) AS turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    {_crc32("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS fate
+  FROM conversations
+),
+rows AS (
+  SELECT conv, turn, CASE WHEN fate = 4 THEN 'user' ELSE role END AS role,
+    CASE WHEN fate = 1 THEN '' WHEN fate = 2 THEN translate(text, '.!?', '') ELSE text END AS text,
+    unnest(CASE WHEN fate = 3 THEN [0, 1] ELSE [0] END) AS copy
+  FROM named WHERE fate <> 0
+),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, left(text, 64), md5(text)) AS i FROM rows
+),
+judged AS (
+  SELECT *, CASE WHEN {_STRIP} = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN right({_STRIP}, 1) NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) || left(role, 1) AS pair
+  FROM placed
+),
+sums AS (
+  SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n
+  FROM judged GROUP BY conv
+),
+walk AS (
+  SELECT conv, CAST(0 AS BIGINT) AS i, CAST({{'c': 0, 'a': '', 'r': ''}} AS {_STATE}) AS n, CAST(NULL AS {_STATE}) AS s,
+    CAST(NULL AS {_STATE}) AS u, CAST(NULL AS {_STATE}) AS a
+  FROM sums
+  UNION ALL
+  SELECT conv, i + 1, {", ".join(map(_row_sql, "nsua"))}
+  FROM (
+    SELECT w.*, j.role, j.text, j.fault, CASE WHEN j.fault = 'truncated' THEN 5 ELSE 0 END AS extra
+    FROM ({_insert_sql("SELECT * FROM walk")}) w JOIN judged j ON j.conv = w.conv AND j.i = w.i + 1
+  )
+),
+ends AS (
+  SELECT conv, {_least("n", "a")} AS best
+  FROM ({_insert_sql("SELECT walk.* FROM walk JOIN sums ON sums.conv = walk.conv AND sums.n = walk.i")})
+)
+SELECT ids.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank,
+  CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate, CAST(coalesce(truncated, 0) AS BIGINT) AS truncated,
+  CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit,
+  sha256(coalesce(best.r[2:], '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id, conv FROM named) ids LEFT JOIN sums USING (conv) LEFT JOIN ends USING (conv)"""
