@@ -23,6 +23,7 @@ from graphrecon.llm.secrets import (
     joined,
     transition_ratios,
 )
+from graphrecon.llm.suffix_dedup import remove_repeats
 from graphrecon.llm.token_counts import count_tokens
 from graphrecon.llm.wavelet import read_shards, shard_folder, write_shards
 
@@ -148,6 +149,12 @@ def op6_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+@query
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeats(table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
+
+
 @query
 def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
