@@ -278,7 +278,7 @@ def test_repaired_rows(spark):
     plain = rows.selectExpr("concat('=', conv_id) AS conv", "turn", "role", "text")
     edits = conversations.block_edits(conversations.row_codes(plain), 2)
     out = conversations.repaired_rows(plain, edits).orderBy("at").collect()
-    assert [(r["role"], r["text"], r["edit"]) for r in out] == [("user", "One?", "K"), ("assistant", "Two.", "R")]
+    assert [(r["role"], r["text"], r["edit"]) for r in out] == [("user", "One?", "K"), ("assistant", "Three?", "R")]
 
 
 def test_repair_odd_tables(spark):
