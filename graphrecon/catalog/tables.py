@@ -11,6 +11,7 @@ Scored lines: every line with a 0/1 label (a big price) and a logit from quantit
 from __future__ import annotations
 
 import uuid
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,8 +20,8 @@ from graphrecon.functions.keys import order_key
 from graphrecon.functions.scoring import sigmoid
 from graphrecon.operators import graph as G
 from graphrecon.operators.prefix import random_rank
-from graphrecon.operators.vectors import similarity_blocks
-from graphrecon.session import ensure_checkpoint_dir
+from graphrecon.operators.vectors import sampled_similarities, similarity_blocks
+from graphrecon.session import ensure_checkpoint_dir, materialize
 
 TRUE_COSINE = 0.2
 
@@ -123,10 +124,20 @@ def vector_pairs(spark: SparkSession, sf: str, edges_only_from: float | None = N
     bounds = None
     if edges_only_from is not None:
         bounds = {"y": TRUE_COSINE - 1e-6, "s": cosine_at(edges_only_from) - 1e-6}
-    raw = similarity_blocks(vectors(spark, sf), ["y", "s"], bounds)
+    return _scored(similarity_blocks(vectors(spark, sf), ["y", "s"], bounds))
+
+
+def sample_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The columns of ``vector_pairs`` for the pairs inside the samples, with these."""
+    keys = ["node_size", "sample_id"]
+    return _scored(sampled_similarities(vector_samples(spark, sf), vectors(spark, sf), ["y", "s"], keys), keys)
+
+
+def _scored(raw: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     y, s = F.round("y", 6), F.round("s", 6)
     logit = F.lit(10.0) * s - F.lit(2.0)
     return raw.select(
+        *keys,
         "u",
         "v",
         y.alias("y"),
@@ -191,8 +202,8 @@ marked AS (SELECT node_size, sample_id, u, v, label AS t, (prob >= {PRED_PROB}):
 
 
 def vector_graphs(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Nodes, true edges and predicted edges over the vectors."""
-    pairs = vector_pairs(spark, sf, edges_only_from=PRED_PROB)
+    """Nodes, true edges and predicted edges over the vectors; all pairs are scored once and the edges written."""
+    pairs = materialize(vector_pairs(spark, sf, edges_only_from=PRED_PROB).select("u", "v", "label", "prob"))
     nodes = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"))
     true = pairs.filter("label = 1").select("u", "v")
     pred = pairs.filter(F.col("prob") >= PRED_PROB).select("u", "v")

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from graphrecon.functions.rows import beside
 from graphrecon.session import task_slots
 
 CLUSTERING_BINS = 100
@@ -16,6 +17,8 @@ SPECTRAL_BINS = 200
 SPECTRAL_RANGE = (-1e-5, 2.0)  # fixed values: range of the eigenvalue histogram
 EMPTY_SIDE = 1e6  # fixed value: discrepancy when a side has no sample
 HISTOGRAM = "array<struct<bin:int,cnt:double>>"
+#: Nodes of a graph up to which its dense matrix (8 bytes a cell) is solved in a task.
+MOST_NODES = 4096
 
 
 def edge_overlap(marked: DataFrame, groups: Sequence[str]) -> DataFrame:
@@ -92,7 +95,7 @@ def packed(histogram: DataFrame, groups: Sequence[str]) -> DataFrame:
     )
 
 
-def _laplacian_counts(n: int, u: np.ndarray, v: np.ndarray, first_k: int) -> np.ndarray:
+def _eigenvalues(n: int, u: np.ndarray, v: np.ndarray) -> np.ndarray:
     a = np.zeros((n, n))
     a[u, v] = 1.0
     a[v, u] = 1.0
@@ -101,24 +104,19 @@ def _laplacian_counts(n: int, u: np.ndarray, v: np.ndarray, first_k: int) -> np.
     # rows without edges stay zero, on the diagonal too
     lap = (np.diag(degree) - a) * scale[:, None] * scale[None, :]
     try:
-        values = np.linalg.eigvalsh(lap)
+        return np.linalg.eigvalsh(lap)
     except np.linalg.LinAlgError:
-        values = np.zeros(n)
-    if first_k > 0:
-        values = values[1 : first_k + 1]
-    return np.histogram(values, bins=SPECTRAL_BINS, range=SPECTRAL_RANGE)[0]
+        return np.zeros(n)
 
 
-def spectral_histogram(
-    nodes: DataFrame, edges: DataFrame, groups: Sequence[str], first_k: int = -1
-) -> DataFrame:
-    """Packed histogram of normalised-Laplacian eigenvalues, one small graph per row.
-
-    The graphs are node samples of a fixed size, so a row is bounded; each task solves its
-    share of the rows. Counts are divided by their sum, as far as that is above 1.
-    """
+def _solved(nodes: DataFrame, edges: DataFrame, groups: Sequence[str], result, column: str) -> DataFrame:
+    """``result`` of the eigenvalues of each small graph, one graph per row; larger ones than ``MOST_NODES`` raise."""
     groups = list(groups)
-    node_rows = nodes.groupBy(*groups).agg(F.array_sort(F.collect_list("id")).alias("ids"))
+    sizes = nodes.groupBy(*groups).agg(F.count(F.lit(1)).alias("n"))
+    fits = F.col("n") <= MOST_NODES
+    message = F.format_string("a graph of %d nodes is too large for a dense spectrum; see laplacian_traces", F.col("n"))
+    small = sizes.select(*groups, F.when(fits, F.col("n")).otherwise(F.raise_error(message)).alias("n"))
+    node_rows = nodes.join(small, groups).groupBy(*groups, "n").agg(F.array_sort(F.collect_list("id")).alias("ids"))
     edge_rows = edges.groupBy(*groups).agg(F.collect_list(F.struct("u", "v")).alias("es"))
     graphs = node_rows.join(edge_rows, groups, "left").select(
         *groups,
@@ -131,20 +129,62 @@ def spectral_histogram(
 
     def solve(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            hists = []
+            found = []
             for n, us, vs in zip(batch["n"], batch["us"], batch["vs"]):
-                none = us is None
-                u = np.zeros(0, dtype=int) if none else np.asarray(us, dtype=int)
-                v = np.zeros(0, dtype=int) if none else np.asarray(vs, dtype=int)
-                counts = _laplacian_counts(int(n), u, v, first_k)
-                total = max(1.0, float(counts.sum()))
-                hists.append(
-                    [{"bin": int(b), "cnt": counts[b] / total} for b in np.flatnonzero(counts)]
-                )
-            yield batch[groups].assign(hist=hists)
+                u, v = (np.zeros(0, dtype=int) if x is None else np.asarray(x, dtype=int) for x in (us, vs))
+                found.append(result(_eigenvalues(int(n), u, v)))
+            yield batch[groups].assign(**{column.split()[0]: found})
 
     spread = graphs.repartition(task_slots(graphs.sparkSession))
-    return spread.mapInPandas(solve, f"{schema}, hist {HISTOGRAM}")
+    return spread.mapInPandas(solve, f"{schema}, {column}")
+
+
+def spectral_histogram(
+    nodes: DataFrame, edges: DataFrame, groups: Sequence[str], first_k: int = -1
+) -> DataFrame:
+    """Packed histogram of normalised-Laplacian eigenvalues, one small graph per row.
+
+    Counts are divided by their sum, as far as that is above 1. A graph above ``MOST_NODES`` nodes is an error.
+    """
+
+    def counted(values: np.ndarray) -> list[dict]:
+        some = values[1 : first_k + 1] if first_k > 0 else values
+        counts = np.histogram(some, bins=SPECTRAL_BINS, range=SPECTRAL_RANGE)[0]
+        total = max(1.0, float(counts.sum()))
+        return [{"bin": int(b), "cnt": counts[b] / total} for b in np.flatnonzero(counts)]
+
+    return _solved(nodes, edges, groups, counted, f"hist {HISTOGRAM}")
+
+
+def spectra(nodes: DataFrame, edges: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """All normalised-Laplacian eigenvalues of each small graph, ascending, as ``eigenvalues``."""
+    return _solved(nodes, edges, groups, lambda values: values.tolist(), "eigenvalues array<double>")
+
+
+def laplacian_traces(nodes: DataFrame, edges: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
+    """Traces of the normalised Laplacian and of its square: the sums of its eigenvalues and of their squares.
+
+    By products over the edges, for graphs of any size: a diagonal cell is 1 - loop / d, any other -1 / sqrt(d d').
+    """
+    groups = list(groups)
+    cells = edges.select(
+        *groups,
+        F.explode(
+            F.array_distinct(F.array(F.struct(F.col("u").alias("id"), F.col("v").alias("other")), F.struct(F.col("v").alias("id"), F.col("u").alias("other"))))
+        ).alias("c"),
+    ).select(*groups, "c.*").distinct()
+    degree = cells.groupBy(*groups, "id").agg(
+        F.count(F.lit(1)).cast("double").alias("d"), F.max((F.col("id") == F.col("other")).cast("double")).alias("loop")
+    )
+    other = degree.select(*groups, F.col("id").alias("other"), F.col("d").alias("e"))
+    crossed = cells.filter(F.col("id") != F.col("other")).join(degree, [*groups, "id"]).join(other, [*groups, "other"])
+    off = crossed.groupBy(*groups).agg(F.sum(1.0 / (F.col("d") * F.col("e"))).alias("off"))
+    diagonal = 1.0 - F.col("loop") / F.col("d")
+    on = degree.groupBy(*groups).agg(F.sum(diagonal).alias("trace"), F.sum(diagonal * diagonal).alias("squares"))
+    if not groups:
+        return beside(on, off).select("trace", (F.col("squares") + F.coalesce("off", F.lit(0.0))).alias("trace_squared"))
+    every = nodes.select(*groups).distinct().join(on, groups, "left").join(off, groups, "left").fillna(0.0)
+    return every.select(*groups, "trace", (F.col("squares") + F.col("off")).alias("trace_squared"))
 
 
 def gaussian_tv(x: Column, y: Column, sigma: float = 1.0) -> Column:

@@ -5,12 +5,16 @@ Functions take ``groups`` columns (say a sample number) to work on many graphs i
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from graphrecon.functions.keys import canonical
+from graphrecon.session import materialize, task_slots
 
 
 def edges_from_pairs(pairs: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -159,59 +163,108 @@ def prior_logit(probability: Column, epsilon: float = 1e-8) -> Column:
     return F.log(kept / (1.0 - kept))
 
 
-def _oriented(edges: DataFrame, groups: Sequence[str]) -> DataFrame:
-    """Loop-free edges pointing from the end of lower (degree, id) to the other.
+#: Edges of a colour triple, on average; a task holds a triple's ends as numbers.
+TRIPLE_EDGES = 400_000
+
+
+def _corners(u: np.ndarray, v: np.ndarray, code: np.ndarray, wanted: int) -> np.ndarray:
+    """Triangles per node of a graph of numbered nodes without loops and repeats, those of which the corners' codes add up to ``wanted``."""
+    n = len(code)
+    degree = np.bincount(u, minlength=n) + np.bincount(v, minlength=n)
+    turned = (degree[u] > degree[v]) | ((degree[u] == degree[v]) & (u > v))
+    # Edges point to the end of more edges, so out-lists are short; two edges out of a node are closed by a third or not.
+    known = np.sort(np.where(turned, v, u) * n + np.where(turned, u, v))
+    low, high = (known // n).astype(np.int32), (known % n).astype(np.int32)
+    later = np.searchsorted(low, low, "right") - np.arange(len(low)) - 1
+    total, step, counts = np.cumsum(later), 1 << 20, np.zeros(n, np.int64)
+    cuts = np.searchsorted(total, np.arange(step, (int(total[-1]) if len(total) else 0) + step, step), "right")
+    for a, b in zip(np.append(0, cuts[:-1]), cuts):
+        some = np.arange(a, b)
+        one = np.repeat(some, later[some])
+        two = np.arange(len(one)) - np.repeat(np.cumsum(later[some]) - later[some] - some - 1, later[some])
+        mine = np.flatnonzero(code[low[one]] + code[high[one]] + code[high[two]] == wanted)
+        one, x, y = one[mine], high[one[mine]].astype(np.int64), high[two[mine]].astype(np.int64)
+        after = (degree[x] > degree[y]) | ((degree[x] == degree[y]) & (x > y))
+        want = np.where(after, y, x) * n + np.where(after, x, y)
+        hit = known[np.minimum(np.searchsorted(known, want), len(known) - 1)] == want
+        counts += np.bincount(np.concatenate([low[one[hit]], x[hit], y[hit]]), minlength=n)
+    return counts
+
+
+def _numbered(edges: DataFrame, groups: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """Ends as 64-bit numbers (``u, v``), and the ids behind the numbers (``id, number``).
+
+    Numbers are hashes; the few seeds in a lifetime under which two ids of the table clash are passed over.
+    """
+    ids = materialize(endpoints(edges))
+    seed = 0
+    while True:
+        number = lambda c: F.xxhash64(F.lit(seed), F.col(c))
+        named = ids.select("id", number("id").alias("number"))
+        if named.groupBy("number").count().where("count > 1").isEmpty():
+            return edges.select(*groups, number("u").alias("u"), number("v").alias("v")), named
+        seed += 1
+
 
-    A node then has at most sqrt(2m) outgoing edges, whatever its degree.
+def colour_triples(edges: DataFrame, colours: int, groups: Sequence[str] = ()) -> DataFrame:
+    """Edges between numbers, beside the triples of colours that a triangle of theirs can have: ``groups, triple, u, v``.
+
+    A number's colour is its remainder. A triangle lies in the triple of its corners' colours alone, and an
+    edge is copied once for each colour of the third corner.
     """
-    groups = list(groups)
-    simple = edges.select(*groups, "u", "v").filter(F.col("u") != F.col("v"))
-    degree = degrees(simple, groups=groups)
-    du = degree.select(*groups, F.col("id").alias("u"), F.col("degree").alias("du"))
-    dv = degree.select(*groups, F.col("id").alias("v"), F.col("degree").alias("dv"))
-    if groups:
-        both = simple.join(du, [*groups, "u"]).join(dv, [*groups, "v"])
-    else:
-        both = simple.join(du, "u").join(dv, "v")
-    first = F.struct("du", "u") < F.struct("dv", "v")
-    return both.select(
-        *groups,
-        F.when(first, F.col("u")).otherwise(F.col("v")).alias("lo"),
-        F.when(first, F.col("v")).otherwise(F.col("u")).alias("hi"),
-    )
+    cu, cv = (F.pmod(c, F.lit(colours)).cast("int") for c in ("u", "v"))
+    rows = edges.select(*groups, "u", "v", cu.alias("cu"), cv.alias("cv"))
+    rows = rows.withColumn("cw", F.explode(F.sequence(F.lit(0), F.lit(colours - 1))))
+    least, most = F.least("cu", "cv", "cw"), F.greatest("cu", "cv", "cw")
+    middle = F.col("cu") + F.col("cv") + F.col("cw") - least - most
+    return rows.select(*groups, ((least * colours + middle) * colours + most).alias("triple"), "u", "v")
 
 
-def triangle_corners(edges: DataFrame, groups: Sequence[str] = ()) -> DataFrame:
-    """Triangles per node (nodes of none are absent).
+def triangle_corners(edges: DataFrame, groups: Sequence[str] = (), colours: int | None = None) -> DataFrame:
+    """Triangles per node (nodes of none are absent), by colour partitioning.
 
-    An edge lo-hi closes a triangle with every node both point to. The two out-lists are short
-    by the orientation, so they are matched as arrays: no pair of neighbours is ever a row.
+    Each triple of colours is one task's graph. The number of ``colours`` follows that of the edges, so that a
+    triple has some ``TRIPLE_EDGES``; the shuffle moves each edge once per colour, whatever the degrees are. With ``groups``
+    (many small graphs in one table) a graph is one task's unless ``colours`` are given.
     """
+    return _triangles(_simple(edges, groups), groups, colours)
+
+
+def _triangles(simple: DataFrame, groups: Sequence[str], colours: int | None = None) -> DataFrame:
     groups = list(groups)
-    oriented = _oriented(edges, groups)
-    out = oriented.groupBy(*groups, "lo").agg(F.collect_list("hi").alias("out"))
-    paths = out.select(*groups, "lo", F.explode("out").alias("hi"), F.col("out").alias("out_lo"))
-    ends = out.select(*groups, F.col("lo").alias("hi"), F.col("out").alias("out_hi"))
-    met = paths.join(ends, [*groups, "hi"]) if groups else paths.join(ends, "hi")
-    third = F.array_intersect("out_lo", "out_hi")
-    one = F.lit(1).cast("bigint")
-    shares = (
-        met.select(*groups, "lo", "hi", third.alias("third"))
-        .filter(F.size("third") > 0)
-        .select(
-            *groups,
-            F.explode(
-                F.concat(
-                    F.array(
-                        F.struct(F.col("lo").alias("id"), F.size("third").cast("bigint").alias("n")),
-                        F.struct(F.col("hi").alias("id"), F.size("third").cast("bigint").alias("n")),
-                    ),
-                    F.transform("third", lambda w: F.struct(w.alias("id"), one.alias("n"))),
-                )
-            ).alias("s"),
-        )
-    )
-    return shares.groupBy(*groups, F.col("s.id").alias("id")).agg(F.sum("s.n").alias("triangles"))
+    if colours is None:
+        # 6 / p^2 of all edges meet in a triple of p colours.
+        colours = 1 if groups else max(1, math.ceil(math.sqrt(6 * simple.count() / TRIPLE_EDGES)))
+    numbered, named = _numbered(simple, groups)
+    dealt = colour_triples(numbered, colours, groups)
+    fields = {f.name: f.dataType.simpleString() for f in dealt.schema.fields}
+    schema = ", ".join([*[f"{g} {fields[g]}" for g in groups], "number long, n long"])
+
+    def count(key: tuple, rows: pa.Table) -> pa.Table:
+        ends = np.concatenate([rows["u"].to_numpy(), rows["v"].to_numpy()])
+        numbers, codes = np.unique(ends, return_inverse=True)
+        u, v = codes[: rows.num_rows], codes[rows.num_rows :]
+        pairs = np.unique(np.minimum(u, v) * len(numbers) + np.maximum(u, v))
+        # The triple's colours as digits: a triangle is its own if its corners have each as often as the triple.
+        triple, colour = key[-1].as_py(), numbers % colours
+        three = (triple // colours**2, triple // colours % colours, triple % colours)
+        code = np.select([colour == c for c in three], [1, 4, 16])
+        wanted = sum((1, 4, 16)[three.index(c)] for c in three)
+        counts = _corners(pairs // len(numbers), pairs % len(numbers), code, wanted)
+        hit = np.flatnonzero(counts)
+        same = [pa.array([k.as_py()] * len(hit), rows.schema.field(g).type) for k, g in zip(key, groups)]
+        return pa.Table.from_arrays([*same, pa.array(numbers[hit]), pa.array(counts[hit])], names=[*groups, "number", "n"])
+
+    # a fixed width: the work of a triple is more than its rows, so small ones must not be put together
+    spread = dealt.repartition(task_slots(simple.sparkSession), *groups, "triple")
+    shares = spread.groupBy(*groups, "triple").applyInArrow(count, schema)
+    totals = shares.groupBy(*groups, "number").agg(F.sum("n").alias("triangles"))
+    return totals.join(named, "number").select(*groups, "id", "triangles")
+
+
+def _simple(edges: DataFrame, groups: Sequence[str]) -> DataFrame:
+    """Edges without loops, written once for the passes to come."""
+    return materialize(edges.select(*groups, "u", "v").filter(F.col("u") != F.col("v")))
 
 
 def local_clustering(
@@ -219,10 +272,10 @@ def local_clustering(
 ) -> DataFrame:
     """Per node: degree without loops, triangles, and the local clustering coefficient."""
     keys = [*groups, "id"]
-    simple = edges.filter(F.col("u") != F.col("v"))
+    simple = _simple(edges, groups)
     degree = degrees(simple, nodes, groups)
     t, d = F.coalesce(F.col("triangles"), F.lit(0)), F.col("degree")
-    return degree.join(triangle_corners(simple, groups), keys, "left").select(
+    return degree.join(_triangles(simple, groups), keys, "left").select(
         *keys,
         "degree",
         t.alias("triangles"),

@@ -9,7 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphrecon.functions.vectors import vector_error
+from graphrecon.functions.vectors import dot, norm, unit, vector_error
 from graphrecon.operators.pairs import pair_blocks
 
 
@@ -74,6 +74,24 @@ def score_pairs(
     return met.select(*pairs.columns, scored, state.alias("state"))
 
 
+def sampled_similarities(
+    samples: DataFrame, vectors: DataFrame, features: Sequence[str], keys: Sequence[str] = ("node_size", "sample_id")
+) -> DataFrame:
+    """Cosine of every pair ``u < v`` inside each sample: ``keys, u, v`` and one column per feature.
+
+    Vectors join the members of samples only, and meet inside a sample, which is bounded by its node size;
+    pairs outside all samples are never formed. A vector of length zero has cosine 0 with all.
+    """
+    keys, features = list(keys), list(features)
+    units = vectors.select("id", *[F.when(norm(F.col(f)) > 0, unit(F.col(f))).alias(f) for f in features])
+    members = samples.select(*keys, "id").distinct().join(units, "id")
+    first = members.select(*keys, F.col("id").alias("u"), *[F.col(f).alias(f"{f}__u") for f in features])
+    second = members.select(*keys, F.col("id").alias("v"), *[F.col(f).alias(f"{f}__v") for f in features])
+    met = first.join(second, keys).filter(F.col("u") < F.col("v"))
+    cosines = [F.coalesce(dot(F.col(f"{f}__u"), F.col(f"{f}__v")), F.lit(0.0)).alias(f) for f in features]
+    return met.select(*keys, "u", "v", *cosines)
+
+
 def similarity_blocks(
     vectors: DataFrame,
     features: Sequence[str],
