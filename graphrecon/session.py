@@ -58,6 +58,15 @@ def materialize_by(df: DataFrame, column: str) -> DataFrame:
         spark.conf.set(name, before)
 
 
+def drop_shuffles(spark: SparkSession) -> None:
+    """Let the files of shuffles behind written tables go now.
+
+    Spark removes them when the driver's JVM collects the plans that are no longer in use, which on a large heap
+    may take until the disks are full.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def task_slots(spark: SparkSession) -> int:
     """Number of tasks to spread work over: the session's shuffle width.
 
