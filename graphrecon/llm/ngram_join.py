@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from graphrecon.session import materialize
+from graphrecon.session import drop_shuffles, materialize
 
 SIZE, SIMILARITY = 5, (80, 100)  # words of a shingle; least similarity as a fraction
 TILE = 4096
@@ -32,6 +32,8 @@ TILE_MEMBERS = 1 << 21
 #: Blocks up to here are turned into the few pairs they have; larger ones get R-trees.
 FEW = 16
 DRAWN = 2
+#: Edges of a part of the components' edge table, at least.
+PART_EDGES = 100_000
 LEAF = 32
 #: Bits of the filter that keeps unconcerned rows out of a shuffle: a megabyte at most.
 FILTER_BITS = 1 << 23
@@ -144,11 +146,14 @@ def block_pairs(
     sizes: np.ndarray,
     data: list[bytes],
     homes: list[list[int] | None],
+    before: list[list[int]],
 ) -> set[tuple[int, int]]:
     """Pairs of a block's tile that may link: of different parts, from the two wanted tiles.
 
-    Pairs of one home have been verified there, and are left out.
+    Pairs of one home have been verified there, and are left out. A pair that shares a prefix ``before`` the block's
+    is left to the first block that it shares, so that it is looked at once.
     """
+    lists = [frozenset(b) for b in before]
     width = max([1, *(len(h) for h in homes if h)])
     home = np.array([[*(h or ()), *[-1] * (width - len(h or ()))] for h in homes], np.int64).reshape(len(nodes), width)
     counts = [_counts(d, int(n)) for d, n in zip(data, sizes)]
@@ -178,9 +183,10 @@ def block_pairs(
                 a, b = a[keep], b[keep]
                 same = (home[a][:, :, None] == home[b][:, None, :]) & (home[a] != -1)[:, :, None]
                 met = same.any(axis=(1, 2))
-                a, b = a[~met], b[~met]
-                for x, y in zip(nodes[a].tolist(), nodes[b].tolist()):
-                    found.add((min(x, y), max(x, y)))
+                for i, j in zip(a[~met].tolist(), b[~met].tolist()):
+                    if lists[i].isdisjoint(lists[j]):
+                        x, y = int(nodes[i]), int(nodes[j])
+                        found.add((min(x, y), max(x, y)))
     return found
 
 
@@ -357,6 +363,9 @@ def components(links: DataFrame) -> DataFrame:
         if state == seen:
             break
         seen = state
+        # A shuffle writes a file for each part that it reads: few edges, few parts.
+        edges = edges.coalesce(1 + state[0] // PART_EDGES)
+        drop_shuffles(edges.sparkSession)
         both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -422,7 +431,7 @@ def _few_pairs(rows: DataFrame) -> DataFrame:
 
 
 def _tile_pairs(rows: DataFrame) -> DataFrame:
-    """Pairs of different parts that the R-trees of their blocks can't rule out."""
+    """Pairs of different parts that the R-trees of their blocks can't rule out, each in one block and tile."""
     mine = F.pmod(F.xxhash64("node"), F.col("tiles")).cast("int")
     dealt = (
         rows.withColumn("tiles", _tiles(F.col("size"), F.col("total")))
@@ -430,21 +439,16 @@ def _tile_pairs(rows: DataFrame) -> DataFrame:
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         .withColumn("i", F.least("tile", "with"))
         .withColumn("j", F.greatest("tile", "with"))
-        .select("prefix", "i", "j", "tile", "node", "part", "n", "point", "homes")
+        .select("prefix", "i", "j", "tile", "node", "part", "n", "point", "homes", F.filter("prefixes", lambda x: x < F.col("prefix")).alias("before"))
     )
-    told: set[tuple[int, int]] = set()  # by this task lately; the rest is made distinct afterwards
 
-    def pairs(block, tile, node, part, n, data, homes):
+    def pairs(block, tile, node, part, n, data, homes, before):
         found = block_pairs(
-            np.array(node), np.array(part), np.array(tile), block[1:], np.array(n, np.int64), data, homes
+            np.array(node), np.array(part), np.array(tile), block[1:], np.array(n, np.int64), data, homes, before
         )
-        new = found.difference(told)
-        if len(told) > 500_000:
-            told.clear()
-        told.update(new)
-        return sorted(new)
+        return sorted(found)
 
-    return _by_group(dealt, 3, pairs).distinct()
+    return _by_group(dealt, 3, pairs)
 
 
 def _homes(shared: DataFrame, sets: DataFrame) -> DataFrame:
@@ -494,7 +498,7 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     )
     shared = materialize(rows.join(blocks, "prefix"))
     named = shared.select("node").distinct()
-    points = materialize(nodes.drop("prefix").join(named, "node", "left_semi"))
+    points = materialize(nodes.withColumnRenamed("prefix", "prefixes").join(named, "node", "left_semi"))
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -504,6 +508,7 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     near = materialize(_bounded(stars, points))
     # In larger blocks nodes may be far from the least node and near to others: a drawn one each shows it.
     others = shared.where("node <> drawn").select(F.least("drawn", "node").alias("a"), F.greatest("drawn", "node").alias("b"))
+    drop_shuffles(docs.sparkSession)
     sets = sets_of(near.union(_bounded(others.distinct(), points)))
     links = materialize(_verified(near, sets))
     shared = shared.drop("lead", "drawn")
@@ -511,6 +516,7 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     leads = links.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("part"))
     labels = sets.select("node").join(leads, "node", "left").select("node", F.coalesce("part", "node").alias("part"))
     homes = materialize(_homes(shared, sets))
+    drop_shuffles(docs.sparkSession)
     links = materialize(links.union(_forests(homes, sets, points, labels)))
     parts = materialize(components(links))
     # In blocks of two, the one pair has been seen.
@@ -518,8 +524,10 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     few = _few_pairs(left.where(F.col("size") <= FEW).select("prefix", "node", "part", "n"))
     # Nodes of one home are through with each other.
     met = homes.groupBy("node").agg(F.collect_set(F.xxhash64("prefix", "tile")).alias("homes"))
-    many = left.where(F.col("size") > FEW).join(points.select("node", "point"), "node").join(met, "node", "left")
+    many = left.where(F.col("size") > FEW).join(points.select("node", "point", "prefixes"), "node").join(met, "node", "left")
+    drop_shuffles(docs.sparkSession)
     more = materialize(_bounded(few, points).union(_tile_pairs(many)).distinct())
+    drop_shuffles(docs.sparkSession)
     found = materialize(_verified(more, sets_of(more)))
     if not found.isEmpty():
         parts = materialize(components(links.union(found)))

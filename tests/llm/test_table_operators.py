@@ -143,7 +143,7 @@ def test_tree_pairs_are_a_superset_of_links():
     sizes = np.array([len(s) for s in sets])
     data = [ngram_join.point(s) for s in sets]
     names = np.arange(len(sets))
-    found = ngram_join.block_pairs(names, names, np.zeros(len(sets), int), (0, 0), sizes, data, [None] * len(sets))
+    found = ngram_join.block_pairs(names, names, np.zeros(len(sets), int), (0, 0), sizes, data, [None] * len(sets), [[]] * len(sets))
     for i in range(len(sets)):
         for j in range(i):
             both = len(np.intersect1d(sets[i], sets[j]))
