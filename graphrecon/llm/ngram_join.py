@@ -497,8 +497,10 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size
         .select("prefix", "lead", F.when(F.col("size") > FEW, F.col("drawn")).alias("drawn"))
     )
     shared = materialize(rows.join(blocks, "prefix"))
+    drop_shuffles(docs.sparkSession)
     named = shared.select("node").distinct()
-    points = materialize(nodes.withColumnRenamed("prefix", "prefixes").join(named, "node", "left_semi"))
+    points = materialize(nodes.drop("prefix").join(named, "node", "left_semi"))
+    drop_shuffles(docs.sparkSession)
 
     def sets_of(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
@@ -524,7 +526,10 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     few = _few_pairs(left.where(F.col("size") <= FEW).select("prefix", "node", "part", "n"))
     # Nodes of one home are through with each other.
     met = homes.groupBy("node").agg(F.collect_set(F.xxhash64("prefix", "tile")).alias("homes"))
-    many = left.where(F.col("size") > FEW).join(points.select("node", "point", "prefixes"), "node").join(met, "node", "left")
+    many = left.where(F.col("size") > FEW).join(points.select("node", "point"), "node").join(met, "node", "left")
+    concerned = features.join(many.select("node").distinct(), "node", "left_semi")
+    prefixes = materialize(concerned.groupBy("node").agg(F.first("prefix").alias("prefixes")))
+    many = many.join(prefixes, "node")
     drop_shuffles(docs.sparkSession)
     more = materialize(_bounded(few, points).union(_tile_pairs(many)).distinct())
     drop_shuffles(docs.sparkSession)
