@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,6 +65,7 @@ def drop_shuffles(spark: SparkSession) -> None:
     Spark removes them when the driver's JVM collects the plans that are no longer in use, which on a large heap
     may take until the disks are full.
     """
+    gc.collect()  # tables that are no longer named here are still held there until then
     spark.sparkContext._jvm.System.gc()
 
 
