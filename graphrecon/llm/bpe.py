@@ -8,13 +8,12 @@ are the ids of the whole text. Texts where such a cut isn't proven go to the lib
 from __future__ import annotations
 
 import re
-import struct
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 
-#: Pieces, and parts of pieces, that a worker remembers; beyond, it starts anew. About 200 MB together.
-PIECES, PARTS = 400_000, 600_000
+#: Pieces, and parts of pieces, that a worker remembers. About 200 MB together.
+PIECES, PARTS = 600_000, 200_000
 
 # A letter or number before ASCII punctuation other than an apostrophe, and both sides of a single
 # line break: every pretokenizer used here ends a pretoken there.
@@ -56,23 +55,40 @@ class Pieces:
         written = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.letters = {c: written(chr(c))[0][0] for c in (32, *range(0xC0, 0x100))}
         self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
+        self.packed = [np.array([i], self.kind).tobytes() for i in range(tokenizer.get_vocab_size())] if as_ids else []
         self.known: dict = {}
+        self.older: dict = {}
         self.parts: dict = {}
 
     def learn(self, pieces: set[str]) -> None:
-        """Make sure that every one of ``pieces`` is known."""
+        """Make sure that every one of ``pieces`` is known.
+
+        When half of ``PIECES`` are known, they become the older half, and what was the older half before is
+        forgotten but for the pieces that are met again.
+        """
         new = pieces.difference(self.known)
         if not new:
             return
-        if len(self.known) + len(new) > PIECES:
-            self.known, new = {}, pieces
-        cut = {p: _cut(p) for p in new}
+        if len(self.known) + len(new) > PIECES // 2:
+            self.older, self.known, new = self.known, {}, pieces
+        again = new.intersection(self.older)
+        self.known.update(zip(again, map(self.older.__getitem__, again)))
+        new -= again
+        words = [p for p in new if p.isalpha() and p.isascii() and (self.cased or p.islower())]
+        self.known.update(self._encode_words(words))
+        self._learn_parts(new.difference(words))
+
+    def _learn_parts(self, pieces: set[str]) -> None:
+        cut = {p: _cut(p) for p in pieces}
         needed = {x for parts in cut.values() for x in parts}
+        if len(self.parts) + len(needed) > PARTS:
+            self.parts = {}
         wanted = needed.difference(self.parts)
-        if len(self.parts) + len(wanted) > PARTS:
-            self.parts, wanted = {}, needed
+        known = wanted.intersection(self.known)
+        self.parts.update(zip(known, map(self.known.__getitem__, known)))
+        wanted -= known
         words = {x for x in wanted if _WORD.fullmatch(x) and (self.cased or x.islower())}
-        self._encode_words(words)
+        self.parts.update(self._encode_words(words))
         self._encode_each(list(wanted - words))
         part, join = self.parts.__getitem__, b"".join if self.as_ids else sum
         self.known.update((p, part(c[0]) if len(c) == 1 else join(map(part, c))) for p, c in cut.items())
@@ -82,17 +98,19 @@ class Pieces:
         value = (lambda e: np.array(e.ids, self.kind).tobytes()) if self.as_ids else len
         self.parts.update(zip(parts, map(value, encoded)))
 
-    def _encode_words(self, words: Iterable[str]) -> None:
+    def _encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, int | bytes]]:
         """Words of letters alone, which are one pretoken each: straight to the library's merges."""
         merge, letters, kind = self.tokenizer.model.tokenize, self.letters, self.kind
-        forms = ((w, w if w.isalpha() and w.isascii() else w.translate(letters)) for w in words)
-        if self.as_ids:
-            pack = {n: struct.Struct(f"<{n}{kind.char}").pack for n in range(1, 64)}
-            for word, form in forms:
-                ids = [t.id for t in merge(form)]
-                self.parts[word] = pack[len(ids)](*ids) if len(ids) < 64 else np.array(ids, kind).tobytes()
-        else:
-            self.parts.update((word, len(merge(form))) for word, form in forms)
+        forms = ((w, w if w.isascii() and w.isalpha() else w.translate(letters)) for w in words)
+        if not self.as_ids:
+            return ((word, len(merge(form))) for word, form in forms)
+        packed = self.packed
+
+        def ids_of(form: str) -> bytes:
+            found = [packed[t.id] for t in merge(form)]
+            return found[0] if len(found) == 1 else b"".join(found)
+
+        return ((word, ids_of(form)) for word, form in forms)
 
 
 def space_pieces(text: str) -> list[str] | None:
@@ -118,11 +136,11 @@ def word_pieces(text: str) -> list[str] | None:
     return text.replace("\n", " ").split(" ")
 
 
+_KEPT: dict = {}
+
+
 def worker_cache(name: str, make: Callable):
     """What ``make`` gives, kept by this Python worker for later tasks."""
-    import tokenizers
-
-    kept = tokenizers.__dict__.setdefault("_kept_by_tasks", {})
-    if name not in kept:
-        kept[name] = make()
-    return kept[name]
+    if name not in _KEPT:
+        _KEPT[name] = make()
+    return _KEPT[name]

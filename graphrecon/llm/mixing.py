@@ -142,6 +142,8 @@ def tilts(counts: DataFrame, targets: DataFrame, most: float = MOST) -> DataFram
         )
         if state.where("not full and not done").isEmpty():
             break
+    else:
+        raise RuntimeError(f"a source's rates did not meet its target in {STEPS} Newton steps")
     return state.select("source", F.when(~F.col("full"), F.round("tilt", 9)).alias("tilt"), "mean")
 
 
@@ -219,6 +221,24 @@ def mix_sources(
     )
 
 
+def mixed_documents(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text") -> DataFrame:
+    """``docs``, each as often as ``mix_sources`` takes it; all columns pass through, whatever their names.
+
+    Documents of one key, text and source are alike and share their copies. Of such rows the first ones, by any
+    order, take what doesn't go evenly.
+    """
+    row = F.xxhash64(key, text, source)
+    rows = docs.select(row.alias("row"), F.struct("*").alias("doc"))
+    mixed = mix_sources(docs.select(row.alias("row"), F.col(source).alias("source"), F.col(text).alias("text")), "row", "source", "text")
+    copies = mixed.groupBy("row").agg(F.sum("copies").alias("copies"), F.count(F.lit(1)).alias("rows"))
+    ranked = rows.join(copies, "row")
+    share = F.floor(F.col("copies") / F.col("rows")).cast("int")
+    single = ranked.where("copies % rows = 0").select("doc", share.alias("times"))
+    uneven = ranked.where("copies % rows <> 0").groupBy("row").agg(F.first("doc").alias("doc"), F.first("copies").cast("int").alias("times"))
+    times = single.union(uneven.select("doc", "times")).where("times > 0")
+    return times.select("doc", F.explode(F.sequence(F.lit(1), "times"))).select("doc.*")
+
+
 def _corrected(ruled: DataFrame, most: float) -> DataFrame:
     """One copy of one document more or less in each source, where that brings it nearer to its target."""
     taken = F.sum(F.col("size") * (F.col("n") * F.col("whole") + F.col("extra")))

@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from graphrecon.session import drop_shuffles, materialize
@@ -527,9 +527,8 @@ def linked_groups(docs: DataFrame, key: str = "doc_id", text: str = "text", size
     # Nodes of one home are through with each other.
     met = homes.groupBy("node").agg(F.collect_set(F.xxhash64("prefix", "tile")).alias("homes"))
     many = left.where(F.col("size") > FEW).join(points.select("node", "point"), "node").join(met, "node", "left")
-    concerned = features.join(many.select("node").distinct(), "node", "left_semi")
-    prefixes = materialize(concerned.groupBy("node").agg(F.first("prefix").alias("prefixes")))
-    many = many.join(prefixes, "node")
+    # The blocks of each node, as far as trees see them: a pair is left to the first one it shares.
+    many = many.withColumn("prefixes", F.collect_list("prefix").over(Window.partitionBy("node")))
     drop_shuffles(docs.sparkSession)
     more = materialize(_bounded(few, points).union(_tile_pairs(many)).distinct())
     drop_shuffles(docs.sparkSession)
@@ -568,12 +567,11 @@ def keep_one(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int
     first = groups.groupBy("part").agg(F.min(rank).alias("first")).select("part", F.col("first.row").alias("kept"))
     by_row = groups.groupBy("row", "part").agg(F.count(F.lit(1)).alias("times"))
     marks = by_row.join(first, "part").select("row", (F.col("row") == F.col("kept")).alias("stays"), "times")
-    marks = marks.where("not stays or times > 1").select(F.col("row").alias("__row"), F.col("stays").alias("__stays"))
-    marks = materialize(marks)
-    bits = _bit_filter(marks, "__row")
-    held = _may_hold(docs.withColumn("__row", _row_hash(key, text)), bits, "__row")
-    judged = held.where("__maybe").join(marks, "__row", "left")
-    clear = held.where("not __maybe").select(*docs.columns)
-    unmarked = judged.where("__stays is null").select(*docs.columns)
-    repeated = judged.where("__stays").dropDuplicates(["__row"]).select(*docs.columns)
-    return clear.union(unmarked).union(repeated)
+    marks = materialize(marks.where("not stays or times > 1").select("row", "stays"))
+    rows = docs.select(_row_hash(key, text).alias("row"), F.struct("*").alias("doc"))
+    held = _may_hold(rows, _bit_filter(marks, "row"), "row")
+    judged = held.where("__maybe").join(marks, "row", "left")
+    clear = held.where("not __maybe").select("doc")
+    unmarked = judged.where("stays is null").select("doc")
+    repeated = judged.where("stays").dropDuplicates(["row"]).select("doc")
+    return clear.union(unmarked).union(repeated).select("doc.*")

@@ -268,6 +268,18 @@ def test_pipeline_stages(spark, sf):
     assert sum(r["n_tokens"] for r in last) == max(r["start"] + r["n_tokens"] for r in last)
 
 
+def test_columns_of_any_name_pass_through(spark, odd_documents):
+    import corpus_pipeline as p
+
+    names = ["__row", "a.b", "row", "doc", "key", "node", "copies", "times", "stays", "part", "grade", "p_best", "n_words", "spans", "__text", "size"]
+    odd = odd_documents.drop("spans").select("*", *[F.concat(F.lit(n), F.col("lang")).alias(n) for n in names])
+    for name, stage in p.STAGES[:-1]:
+        out = stage(spark, odd, "/root/testdata/sf0.001")
+        assert out.columns == odd.columns, name
+        for r in out.collect():
+            assert all(r[n] == (None if r["lang"] is None else n + r["lang"]) for n in names), name
+
+
 def test_pipeline_odd_rows(spark, odd_documents):
     import corpus_pipeline as p
 
