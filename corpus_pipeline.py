@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from graphrecon.llm.decontaminate import decontaminate
-from graphrecon.llm.mixing import mix_sources
+from graphrecon.llm.mixing import mixed_documents
 from graphrecon.llm.ngram_join import keep_one
 from graphrecon.llm.ordinal import accepted, grade_texts, label_grades, train
 from graphrecon.llm.wavelet import read_shards, shard_folder, write_shards
@@ -28,8 +28,9 @@ END_ID = 2
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose best grade is likelier than not, by a model of the rated ones among them."""
     ratings = label_grades(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    graded = grade_texts(docs, train(docs, ratings), keep=tuple(docs.columns), names=("__grade", "__best"))
-    return graded.where(accepted(F.col("__best"))).select(docs.columns)
+    rows = docs.select("text", F.struct("*").alias("doc"))  # columns of any name pass through
+    graded = grade_texts(rows, train(docs, ratings), keep=("doc",))
+    return graded.where(accepted(F.col("p_best"))).select("doc.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -39,26 +40,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a twentieth of their words or more in benchmark passages; their texts stay as they are."""
-    return decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    rows = docs.select("text", F.struct("*").alias("doc"))
+    return decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc.*")
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix of sources takes it."""
-    # Documents of one id and text are alike: they share their copies.
-    row = F.xxhash64("doc_id", "text", "source")
-    mixed = mix_sources(docs.withColumn("__row", row), key="__row")
-    copies = mixed.groupBy("__row").agg(F.sum("copies").alias("__copies"), F.count(F.lit(1)).alias("__rows"))
-    ranked = docs.withColumn("__row", row).join(copies, "__row")
-    # Of equal rows the first ones, by any order, take what doesn't go evenly.
-    share = F.floor(F.col("__copies") / F.col("__rows")).cast("int")
-    single = ranked.where("__copies % __rows = 0")
-    uneven = ranked.where("__copies % __rows <> 0")
-    whole = uneven.groupBy("__row").agg(
-        *[F.first(c).alias(c) for c in docs.columns], F.first("__copies").cast("int").alias("__times")
-    )
-    columns = [F.col(c) for c in docs.columns]
-    times = single.select(*columns, share.alias("__times")).union(whole.select(*columns, "__times"))
-    return times.where("__times > 0").select(*columns, F.explode(F.sequence(F.lit(1), "__times")).alias("__copy")).drop("__copy")
+    return mixed_documents(docs)
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
