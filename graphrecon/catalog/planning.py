@@ -119,26 +119,73 @@ def _sample_facts(spark, sf, strategy):
         F.max("n").alias("most"),
         F.sum(F.col("n") - F.col("d")).alias("repeated"),
     )
-    return beside(facts, loose, strange)
+    order = _order_faults(samples, edges, graph).select(*_ORDER_FAULTS[strategy])
+    return beside(facts, loose, strange, order)
+
+
+# What the order of a sample's nodes must show; the other strategies' samples break the middle two.
+_ORDER_FAULTS = {
+    "BFS": ["without_earlier_neighbour", "served_out_of_turn"],
+    "DFS": ["without_earlier_neighbour", "left_too_early"],
+    "RANDOM_WALK": ["without_earlier_neighbour"],
+}
+
+
+def _order_faults(samples, edges, graph):
+    """One row: new nodes without an earlier neighbour; nodes whose first neighbour in the sample stands before that of
+    the node before them (a queue serves in turn); nodes that don't hang on the newest node with anything left (a stack does)."""
+    inside = G.induced_edges(samples, edges, ["sample_id"]).filter("u <> v")
+    near = inside.select("sample_id", F.explode(F.array(F.struct("u", "v"), F.struct(F.col("v").alias("u"), F.col("u").alias("v")))).alias("e"))
+    other = samples.select("sample_id", F.col("id").alias("v"), F.col("pos").alias("at"))
+    lists = near.select("sample_id", F.col("e.u").alias("id"), F.col("e.v").alias("v")).join(other, ["sample_id", "v"])
+    lists = lists.groupBy("sample_id", "id").agg(F.collect_list("at").alias("near"))
+    loops = edges.filter("u = v").select(F.col("u").alias("id"), F.lit(1).alias("loop"))
+    degree = graph.spans.join(loops, "id", "left").select("id", (F.col("degree") - F.coalesce("loop", F.lit(0))).alias("degree"))
+    nodes = samples.join(lists, ["sample_id", "id"], "left").join(degree, "id").groupBy("sample_id").agg(
+        F.array_sort(F.collect_list(F.struct("pos", F.coalesce("near", F.array().cast("array<int>")).alias("near"), "degree"))).alias("nodes")
+    )
 
+    def earlier(n):
+        return F.filter(n["near"], lambda p: p < n["pos"])
 
-_FACTS = (
-    _TRADE + f"SELECT ceil(count(*)/{_PER_NODES}.0)::BIGINT AS samples, {_SIZE}::BIGINT AS least, "
-    f"{_SIZE}::BIGINT AS most, 0::BIGINT AS repeated, 0::BIGINT AS unlinked, 0::BIGINT AS unknown_ids FROM nodes"
-)
+    def count(found):
+        return F.sum(F.size(F.filter("nodes", found)).cast("bigint"))
+
+    new = F.filter("nodes", lambda n: n["pos"] > 0)
+    first = F.transform(new, lambda n: F.array_min(earlier(n)))
+    turned = F.filter(F.zip_with(first, F.slice(first, F.lit(2), F.size(first)), lambda a, b: b < a), lambda x: F.coalesce(x, F.lit(False)))
+
+    def left_open(n):
+        newest = F.array_max(earlier(n))
+        between = F.filter("nodes", lambda k: (k["pos"] > newest) & (k["pos"] < n["pos"]))
+        return F.exists(between, lambda k: k["degree"] > F.size(F.filter(k["near"], lambda p: p < n["pos"])))
+
+    return nodes.agg(
+        count(lambda n: (n["pos"] > 0) & (F.size(earlier(n)) == 0)).alias("without_earlier_neighbour"),
+        F.sum(F.size(turned).cast("bigint")).alias("served_out_of_turn"),
+        count(lambda n: (n["pos"] > 0) & F.coalesce(left_open(n), F.lit(False))).alias("left_too_early"),
+    )
 
 
-@query("n3_breadth_first", _FACTS)
+def _facts_sql(strategy):
+    zeros = ", ".join(f"0::BIGINT AS {name}" for name in _ORDER_FAULTS[strategy])
+    return (
+        _TRADE + f"SELECT ceil(count(*)/{_PER_NODES}.0)::BIGINT AS samples, {_SIZE}::BIGINT AS least, {_SIZE}::BIGINT AS most, "
+        f"0::BIGINT AS repeated, 0::BIGINT AS unlinked, 0::BIGINT AS unknown_ids, {zeros} FROM nodes"
+    )
+
+
+@query("n3_breadth_first", _facts_sql("BFS"))
 def n3(spark, sf):
     return _sample_facts(spark, sf, "BFS")
 
 
-@query("n4_depth_first", _FACTS)
+@query("n4_depth_first", _facts_sql("DFS"))
 def n4(spark, sf):
     return _sample_facts(spark, sf, "DFS")
 
 
-@query("n5_random_walk", _FACTS)
+@query("n5_random_walk", _facts_sql("RANDOM_WALK"))
 def n5(spark, sf):
     return _sample_facts(spark, sf, "RANDOM_WALK")
 
@@ -268,9 +315,23 @@ def n11(spark, sf):
     "0::BIGINT AS out_of_range FROM edges",
 )
 def n12(spark, sf):
+    return _expansion(spark, sf, "BFS")
+
+
+@query(
+    "n12_mixed_expansion",
+    _TRADE + "SELECT count(*) AS edges, 0::BIGINT AS lost_core_nodes, 0::BIGINT AS repeated, "
+    "0::BIGINT AS out_of_range FROM edges",
+)
+def n12_mixed(spark, sf):
+    """A third of the chunks each grown breadth first, depth first and by walks."""
+    return _expansion(spark, sf, "MIXED")
+
+
+def _expansion(spark, sf, strategy):
     nodes, edges, graph = _graph(spark, sf)
     chunks = materialize(V.partition_edges(edges, 40, 60, 2))
-    grown = materialize(V.expand_chunks(chunks, graph, 55, 60, "BFS", 6))
+    grown = materialize(V.expand_chunks(chunks, graph, 55, 60, strategy, 6))
     core = G.endpoints(chunks, ["chunk"])
     lost = core.join(grown, ["chunk", "id"], "left_anti").agg(F.count(F.lit(1)).alias("lost_core_nodes"))
     per = grown.groupBy("chunk").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("id").alias("d"))
@@ -305,30 +366,45 @@ def j10(spark, sf):
     return beside(facts, over)
 
 
-def _plan(spark, sf):
+def _plan(spark, sf, strategy="BFS"):
     pairs, nodes = labelled_arcs(spark, sf), train_nodes(spark, sf)
     ids, edges = G.supervision_graph(pairs, nodes)
     negatives = G.explicit_negatives(pairs, nodes)
     edges = materialize(edges)
     plan = plan_epoch(
-        ids, edges, 0, 30, 60, "BFS", 3, chunk_size=50, negatives=negatives, negative_ratio=1
+        ids, edges, 0, 30, 60, strategy, 3, chunk_size=50, negatives=negatives, negative_ratio=1
     )
     return edges, negatives, plan
 
 
-@query(
-    "n13_edge_cover_epoch",
-    f"""WITH {T.TRADE_SQL}, {_SPLIT}, p AS (SELECT DISTINCT u, v FROM inside WHERE label > 0)
-SELECT count(*) AS total_edges, count(*) AS covered_edges, 1.0::DOUBLE AS coverage, 1.0::DOUBLE AS mean_reuse FROM p""",
-)
-def n13(spark, sf):
-    _, _, plan = _plan(spark, sf)
-    return plan.summary.select(
+_COVER_SQL = f"""WITH {T.TRADE_SQL}, {_SPLIT}, p AS (SELECT DISTINCT u, v FROM inside WHERE label > 0)
+SELECT count(*) AS total_edges, count(*) AS covered_edges, 1.0::DOUBLE AS coverage, 1.0::DOUBLE AS mean_reuse,
+  0::BIGINT AS ends_outside, 0::BIGINT AS out_of_range FROM p"""
+
+
+def _cover_facts(spark, sf, strategy):
+    """Edges covered, ends of assigned edges that their grown subgraph lacks, subgraphs of a wrong size."""
+    _, _, plan = _plan(spark, sf, strategy)
+    lost = G.endpoints(plan.positives, ["chunk"]).join(plan.nodes.select("chunk", "id"), ["chunk", "id"], "left_anti")
+    sizes = plan.nodes.groupBy("chunk").agg(F.count_distinct("id").alias("n"))
+    bad = sizes.agg(F.sum((~F.col("n").between(30, 60)).cast("bigint")).alias("out_of_range"))
+    summary = plan.summary.select(
         "total_edges",
         "covered_edges",
         rounded(F.col("coverage")).alias("coverage"),
         rounded(F.col("mean_reuse")).alias("mean_reuse"),
     )
+    return beside(summary, lost.agg(F.count(F.lit(1)).alias("ends_outside")), bad)
+
+
+@query("n13_edge_cover_epoch", _COVER_SQL)
+def n13(spark, sf):
+    return _cover_facts(spark, sf, "BFS")
+
+
+@query("n13_mixed_cover_epoch", _COVER_SQL)
+def n13_mixed(spark, sf):
+    return _cover_facts(spark, sf, "MIXED")
 
 
 @query(
@@ -340,7 +416,7 @@ SELECT p.n AS positive_pairs, p.n AS target_negative_pairs, least(p.n, q.n) AS n
   p.n + least(p.n, q.n) AS supervised_pairs, round(least(p.n, q.n)/p.n::DOUBLE,6) AS negative_ratio FROM p, q""",
 )
 def a8(spark, sf):
-    _, _, plan = _plan(spark, sf)
+    _, _, plan = _plan(spark, sf, "MIXED")
     row = V.epoch_counters(plan.nodes, plan.positives, plan.negatives, 1)
     return row.select(
         "positive_pairs",

@@ -13,7 +13,7 @@ from graphrecon.operators import ranking as R
 from graphrecon.plans import topology as P
 from graphrecon.sources import runlogs as L
 from graphrecon.sources import sinks as K
-from graphrecon.catalog.topology import _DETAIL_SQL, _details
+from graphrecon.catalog.topology import _DETAIL_SQL, _MMD_SQL
 
 # Brands as models, return flags as strategies. Sums of whole cents keep the means exact.
 _METRICS = {
@@ -355,56 +355,55 @@ def k2(spark, sf):
     return read_pairs(spark, folder).groupBy("a", "b", "label").agg(F.count(F.lit(1)).alias("lines"))
 
 
+_MMDS = ("deg_dist_mmd", "cc_mmd")  # the spectral one, which SQL has no eigenvalues for, is in a test
+
+
 def _result(spark, sf):
-    """Per-size and summary rows without discrepancies, which are written as NULL."""
-    details = _details(spark, sf)
-    per_size, summary = P.roll_up(details, None)
-    for name in P.MMD_NAMES.values():
-        per_size = per_size.withColumn(name, F.lit(None).cast("double"))
-        summary = summary.withColumn(name, F.lit(None).cast("double"))
-    return details, per_size, summary
+    """Details, per-size and summary rows with the discrepancies; the spectral one stays NULL."""
+    nodes, true, pred = T.vector_graphs(spark, sf)
+    result = P.evaluate_graph(nodes, true, pred, T.vector_samples(spark, sf), spectral=False, pred_nodes=nodes)
+    return result.details, result.per_size, result.summary
 
 
-_TOPO = f"""WITH {_DETAIL_SQL}, g AS (SELECT CASE WHEN node_size IS NULL THEN 'summary' ELSE 'node_size' END AS scope,
-  coalesce(node_size::VARCHAR, 'all') AS node_size, count(*) AS graph_count, avg(gs) AS gs, avg(rd) AS rd
-  FROM details GROUP BY GROUPING SETS ((node_size), ()))"""
+_TOPO = f"""WITH {_MMD_SQL}, {_DETAIL_SQL.split(T.INDUCED_SQL + ",")[1]},
+wide AS (SELECT node_size, max(mmd) FILTER (metric = 'degree') AS dm, max(mmd) FILTER (metric = 'clustering') AS cm
+  FROM mmds GROUP BY node_size),
+g AS (SELECT 'node_size' AS scope, node_size::VARCHAR AS node_size, count(*) AS graph_count, avg(gs) AS gs, avg(rd) AS rd,
+    max(dm) AS dm, max(cm) AS cm FROM details JOIN wide USING (node_size) GROUP BY node_size
+  UNION ALL SELECT 'summary', 'all', count(*), avg(gs), avg(rd), (SELECT avg(dm) FROM wide), (SELECT avg(cm) FROM wide) FROM details)"""
+_FOUR = "round(gs,6) AS graph_sim, round(rd,6) AS relative_density, round(dm,6) AS deg_dist_mmd, round(cm,6) AS cc_mmd"
+_NAMES = ("graph_sim", "relative_density", *_MMDS)
 
 
-@query("k3_topology_csv", _TOPO + " SELECT scope, node_size, graph_count, round(gs,6) AS graph_sim, round(rd,6) AS relative_density FROM g")
+@query("k3_topology_csv", _TOPO + f" SELECT scope, node_size, graph_count, {_FOUR} FROM g")
 def k3(spark, sf):
     folder = T.scratch(spark)
     _, per_size, summary = _result(spark, sf)
     K.write_topology_csv(per_size, summary, folder)
     rows = spark.read.csv(folder, header=True)
-    return rows.select(
-        "scope",
-        "node_size",
-        F.col("graph_count").cast("bigint"),
-        rounded(F.col("graph_sim")).alias("graph_sim"),
-        rounded(F.col("relative_density")).alias("relative_density"),
-    )
+    return rows.select("scope", "node_size", F.col("graph_count").cast("bigint"), *[rounded(F.col(n)).alias(n) for n in _NAMES])
 
 
 @query(
     "k4_topology_json",
-    _TOPO + " SELECT node_size, graph_count, round(gs,6) AS graph_sim FROM g WHERE scope = 'node_size'",
+    _TOPO + f" SELECT node_size, graph_count, {_FOUR} FROM g WHERE scope = 'node_size'",
 )
 def k4(spark, sf):
     folder = T.scratch(spark)
     K.write_topology_json(*_result(spark, sf), folder)
-    shape = "per_node_size map<string,struct<graph_count:bigint,graph_sim:double>>"
+    fields = ",".join(f"{n}:double" for n in _NAMES)
     return (
-        spark.read.schema(shape)
+        spark.read.schema(f"per_node_size map<string,struct<graph_count:bigint,{fields}>>")
         .json(folder)
         .select(F.explode("per_node_size").alias("node_size", "v"))
-        .select("node_size", F.col("v.graph_count"), rounded(F.col("v.graph_sim")).alias("graph_sim"))
+        .select("node_size", F.col("v.graph_count"), *[rounded(F.col(f"v.{n}")).alias(n) for n in _NAMES])
     )
 
 
 @query(
     "k4_s13_metric_files",
     _TOPO
-    + """ SELECT s AS strategy, graph_count, round(gs,6) AS graph_sim, round(rd,6) AS relative_density
+    + f""" SELECT s AS strategy, graph_count, {_FOUR}
 FROM g, (VALUES ('BFS'), ('DFS'), ('RANDOM_WALK')) t(s) WHERE scope = 'summary'""",
 )
 def k4_s13(spark, sf):
@@ -414,27 +413,20 @@ def k4_s13(spark, sf):
         run = {"model": "m", "run_id": strategy, "species": "human", "split_strategy": strategy, "decision_threshold": 0.5}
         K.write_topology_json(*result, f"{folder}/{strategy}/topology_metrics.json", run)
     rows = L.read_latest_metrics(spark, folder)
-    return rows.select(
-        "strategy",
-        F.col("payload.graph_count"),
-        rounded(F.col("payload.graph_sim")).alias("graph_sim"),
-        rounded(F.col("payload.relative_density")).alias("relative_density"),
-    )
+    return rows.select("strategy", F.col("payload.graph_count"), *[rounded(F.col(f"payload.{n}")).alias(n) for n in _NAMES])
 
 
 @query(
     "k5_details_table",
-    f"WITH {_DETAIL_SQL} SELECT node_size, sample_id, round(gs,6) AS graph_sim, round(rd,6) AS relative_density FROM details",
+    _TOPO + """ SELECT node_size, sample_id, round(gs,6) AS graph_sim, round(rd,6) AS relative_density,
+  round(wide.dm,6) AS deg_dist_mmd, round(wide.cm,6) AS cc_mmd FROM details JOIN wide USING (node_size)""",
 )
 def k5(spark, sf):
+    """Every sample's values and, beside them, the discrepancies of its size."""
     folder = T.scratch(spark)
-    K.write_details(_details(spark, sf), folder)
-    return spark.read.parquet(folder).select(
-        "node_size",
-        "sample_id",
-        rounded(F.col("graph_sim")).alias("graph_sim"),
-        rounded(F.col("relative_density")).alias("relative_density"),
-    )
+    details, per_size, _ = _result(spark, sf)
+    K.write_details(details, folder, per_size)
+    return spark.read.parquet(folder).select("node_size", "sample_id", *[rounded(F.col(n)).alias(n) for n in _NAMES])
 
 
 @query(

@@ -568,15 +568,46 @@ def n20(spark, sf):
 @query(
     "n21_hardest_capped",
     f"""WITH {_POOL_SQL}, s AS (SELECT pool, count(*) AS n FROM losses GROUP BY pool)
-SELECT count(*) AS pools, sum(least(n, 64))::BIGINT AS kept, 0::BIGINT AS repeated FROM s""",
+SELECT count(*) AS pools, sum(least(n, 64))::BIGINT AS kept, 0::BIGINT AS repeated, 0::BIGINT AS over_cap,
+  0::BIGINT AS could_be_taken FROM s""",
 )
 def n21(spark, sf):
-    chosen = M.hardest_capped(_pool_losses(spark, sf), keep=64, cap=4)
+    """Counts, ids above the cap among the taken rows, and passed-over rows that the cap would have let in."""
+    losses = materialize(_pool_losses(spark, sf))
+    chosen = materialize(M.hardest_capped(losses, keep=64, cap=4))
     per = chosen.groupBy("pool").agg(
         F.count(F.lit(1)).alias("n"), F.count_distinct("row_id").alias("d")
     )
-    return per.agg(
+    facts = per.agg(
         F.count(F.lit(1)).alias("pools"),
         F.sum("n").alias("kept"),
         F.sum(F.col("n") - F.col("d")).alias("repeated"),
     )
+    rows = losses.join(chosen, ["pool", "row_id"], "left")
+    taken = rows.filter("not filled")
+    uses = taken.select("pool", "row_id", "loss", F.explode(F.array("a", "b")).alias("id"))
+    load = uses.groupBy("pool", "id").agg(F.count(F.lit(1)).alias("used"))
+    over = load.agg(F.sum((F.col("used") > 4).cast("bigint")).alias("over_cap"))
+    last = taken.groupBy("pool").agg(F.max(F.struct(-F.col("loss"), "row_id")).alias("last"), F.count(F.lit(1)).alias("m"))
+    passed = rows.join(taken.select("pool", "row_id"), ["pool", "row_id"], "left_anti").join(last, "pool")
+    passed = passed.filter((F.col("m") < 64) | (F.struct(-F.col("loss"), F.col("row_id")) < F.col("last")))
+    ends = passed.select("pool", "row_id", F.explode(F.array("a", "b")).alias("id"), (F.col("a") == F.col("b")).alias("same"))
+    full = ends.join(load, ["pool", "id"], "left").groupBy("pool", "row_id").agg(
+        F.max((F.coalesce("used", F.lit(0)) + F.when(F.col("same"), 2).otherwise(1) > 4).cast("int")).alias("full")
+    )
+    free = full.agg(F.coalesce(F.sum(1 - F.col("full")), F.lit(0)).alias("could_be_taken"))
+    return beside(facts, over, free)
+
+
+@query(
+    "n21_warmup_and_idless",
+    f"""WITH {_POOL_SQL}, r AS (SELECT *, row_number() OVER (PARTITION BY pool ORDER BY loss DESC, row_id) AS hard,
+  row_number() OVER (PARTITION BY pool ORDER BY row_id) AS first FROM losses)
+SELECT 0 AS epoch, pool, row_id, first::INT AS place FROM r UNION ALL
+SELECT 1, pool, row_id, hard::INT FROM r WHERE hard <= 64""",
+)
+def n21_warmup(spark, sf):
+    """An epoch of warm-up, which takes all rows, and the next one for rows without ids."""
+    losses = materialize(_pool_losses(spark, sf).drop("a", "b"))
+    epochs = [M.hard_examples(losses, 64, 4, epoch, warmup_epochs=1).select(F.lit(epoch).alias("epoch"), "pool", "row_id", "place") for epoch in (0, 1)]
+    return epochs[0].unionByName(epochs[1])

@@ -276,13 +276,21 @@ def s9(spark, sf):
   CASE run WHEN 'click' THEN n::DOUBLE WHEN 'view' THEN n::DOUBLE END AS "Count" FROM series""",
 )
 def s11(spark, sf):
-    """Runs with different columns: clicks lack the loss, only clicks and views have a count."""
+    """Step files of each run in a folder of its own, with different columns, read back together.
+
+    Clicks lack the loss, only clicks and views have a count.
+    """
     series = T.daily_series(spark, sf)
     value, count = F.col("value").alias("Val loss"), F.col("n").cast("double").alias("Count")
-    clicks = series.filter("run = 'click'").select("run", "epoch", count)
-    views = series.filter("run = 'view'").select("run", "epoch", value, count)
-    others = series.filter("run not in ('click', 'view')").select("run", "epoch", value)
-    return L.union_steps([clicks, views, others]).select("run", "epoch", "Val loss", "Count")
+    names = [r["event_type"] for r in T.table(spark, sf, "events").select("event_type").distinct().orderBy("event_type").collect()]
+    folder, paths = T.scratch(spark), []
+    for name in names:
+        columns = {"click": [count], "view": [value, count]}.get(name, [value])
+        paths.append(f"{folder}/m/train/{name}")
+        series.filter(F.col("run") == name).select("epoch", *columns).write.csv(paths[-1], header=True)
+    rows = L.read_steps(spark, paths)
+    numbers = [F.col(c).cast("double").alias(c) for c in ("Val loss", "Count")]
+    return rows.select(F.col("run_id").alias("run"), F.col("epoch").cast("int"), *numbers)
 
 
 def stage_lines(spark, sf):

@@ -1,15 +1,19 @@
 """Metric series per run: best so far, early stop, smoothing, best epoch, trials.
 
-A series holds one value per epoch, so a run is a small partition; runs spread over tasks.
+A series holds one value per epoch; runs spread over tasks, and the smoothed mean takes runs of any length.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+import math
+from collections.abc import Iterator, Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from graphrecon.operators.prefix import in_order
+
 
 def early_stopping(
     series: DataFrame,
@@ -53,25 +57,64 @@ def ema_normalized(
 ) -> DataFrame:
     """Each value over its running mean (the first value seeds it), cut at ``clip``.
 
-    Adds ``ema`` and ``normalized``. The recursion folds over the run's sorted epochs.
+    Adds ``ema`` and ``normalized``. A step takes the mean x to max(a x + b, c), and such steps, one after the other, are one
+    such step again. So each part of the ordered table is made one step, the steps' results (one row a part) give
+    every part the mean it starts with, and a run may be of any length: nothing is gathered by run.
     """
-    listed = series.groupBy(*keys).agg(
-        F.array_sort(F.collect_list(F.struct(F.col(epoch), F.col(value)))).alias("s")
-    )
-
-    kinds = {f.name: f.dataType.simpleString() for f in series.schema.fields}
-    shape = f"array<struct<{epoch}:{kinds[epoch]},{value}:double,ema:double,normalized:double>>"
-
-    def step(acc: Column, item: Column) -> Column:
-        raw = item[value].cast("double")
-        past = F.try_element_at(acc, F.lit(-1))["ema"]
-        mixed = F.when(past.isNull(), raw).otherwise(decay * past + (1.0 - decay) * raw)
-        ema = F.greatest(mixed, F.lit(floor))
-        entry = F.struct(item[epoch], raw, ema, F.least(raw / ema, F.lit(clip)))
-        return F.concat(acc, F.array(entry).cast(shape))
-
-    folded = F.aggregate("s", F.array().cast(shape), step)
-    return listed.select(*keys, F.explode(folded).alias("e")).select(*keys, "e.*")
+    keys = list(keys)
+    rows = in_order(series.select(*keys, epoch, F.col(value).cast("double").alias(value)), [*keys, epoch])
+
+    def segments(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[tuple, bool, int, pd.DataFrame]]:
+        """Stretches of one run: its name, whether it begins here, the part, the rows."""
+        last = None
+        for batch in batches:
+            names = list(zip(*[batch[k].tolist() for k in keys]))
+            cuts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+            for i, j in zip(cuts, cuts[1:]):
+                if j > i:
+                    yield names[i], names[i] != last, int(batch["__part"].iloc[i]), batch.iloc[i:j]
+                    last = names[i]
+
+    def as_steps(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """One row a part: its first and last run, and the last one's stretch as a step and as a mean from its own seed."""
+        first, found = "", None
+        for name, new, part, some in segments(batches):
+            first = first or str(name)
+            if new:
+                found = [part, str(name), 1.0, 0.0, -math.inf, math.nan]
+            for x in some[value].tolist():
+                shift = (1.0 - decay) * x
+                found[2:] = [
+                    decay * found[2],
+                    decay * found[3] + shift,
+                    max(decay * found[4] + shift, floor),
+                    max(x if math.isnan(found[5]) else decay * found[5] + shift, floor),
+                ]
+        if found:
+            yield pd.DataFrame([[first, *found]], columns=["first", "part", "last", "a", "b", "c", "own"])
+
+    summed = rows.mapInPandas(as_steps, "first string, part long, last string, a double, b double, c double, own double")
+    before, run, carried = {}, "", math.nan
+    for r in sorted(summed.collect(), key=lambda r: r["part"]):  # one row for each part of the table
+        before[r["part"]] = carried = carried if r["first"] == run else math.nan
+        goes_on = r["first"] == r["last"] and not math.isnan(carried)
+        run, carried = r["last"], max(r["a"] * carried + r["b"], r["c"]) if goes_on else r["own"]
+
+    def smooth(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        mean = None
+        for _, new, part, some in segments(batches):
+            if new:
+                mean = before[part] if mean is None else math.nan
+            means = []
+            for x in some[value].tolist():
+                mean = max(x if math.isnan(mean) else decay * mean + (1.0 - decay) * x, floor)
+                means.append(mean)
+            kept = some[[*keys, epoch, value]]
+            yield kept.assign(ema=means, normalized=[min(x / m, clip) for x, m in zip(some[value].tolist(), means)])
+
+    kinds = {f.name: f.dataType.simpleString() for f in rows.schema.fields}
+    schema = ", ".join([*[f"`{c}` {kinds[c]}" for c in (*keys, epoch, value)], "ema double", "normalized double"])
+    return rows.mapInPandas(smooth, schema)
 
 
 def best_epoch(

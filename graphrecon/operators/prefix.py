@@ -24,7 +24,7 @@ def _offsets(per_part: DataFrame, part: str, totals: Sequence[str]) -> DataFrame
     )
 
 
-def _in_order(df: DataFrame, order_by: Sequence[Column | str]) -> DataFrame:
+def in_order(df: DataFrame, order_by: Sequence[Column | str]) -> DataFrame:
     """Range-partitioned, sorted and written once, so that both later passes see the same parts."""
     spread = df.repartitionByRange(*order_by).sortWithinPartitions(*order_by)
     return materialize(spread.withColumn("__row", F.monotonically_increasing_id())).withColumn(
@@ -37,7 +37,7 @@ def global_index(df: DataFrame, order_by: Sequence[Column | str], name: str = "i
 
     The columns have to identify a row (end them with an id): then no range can be hot.
     """
-    rows = _in_order(df, order_by).withColumn(
+    rows = in_order(df, order_by).withColumn(
         "__at", F.col("__row").bitwiseAND(F.lit((1 << _ROW_BITS) - 1))
     )
     sizes = rows.groupBy("__part").agg((F.max("__at") + 1).alias("__n"))
@@ -53,7 +53,7 @@ def running_totals(
     df: DataFrame, order_by: Sequence[Column | str], values: Sequence[str]
 ) -> DataFrame:
     """Add ``<value>_upto``: the total of ``value`` over all rows up to and including this one."""
-    rows = _in_order(df, order_by)
+    rows = in_order(df, order_by)
     sums = rows.groupBy("__part").agg(*[F.sum(v).alias(v) for v in values])
     offsets = _offsets(sums, "__part", values)
     upto = (

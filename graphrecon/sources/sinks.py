@@ -122,16 +122,19 @@ def write_topology_json(
     topology_json(details, per_size, summary, run).coalesce(1).write.mode("overwrite").text(path)
 
 
-def write_details(details: DataFrame, path: str) -> None:
+def write_details(details: DataFrame, path: str, per_size: DataFrame | None = None) -> None:
+    """Every sample's values, beside the discrepancies of its size where ``per_size`` has them."""
+    if per_size is not None:
+        details = details.join(per_size.drop("graph_count", "graph_sim", "relative_density"), "node_size", "left")
     details.write.mode("overwrite").parquet(path)
 
 
 def write_report(table: DataFrame, folder: str, model: str) -> tuple[str, str]:
-    """Comparison table as CSV and Markdown, one row per model, best first."""
+    """Comparison table as CSV and Markdown, one row per model, best first, in ordered part files."""
     spark = table.sparkSession
     csv_path, md_path = f"{folder}/comparison_{model}_csv", f"{folder}/comparison_{model}_md"
     order = ["avg_rank", "avg_rank_score", "model"]
-    flat = table.select(*REPORT_COLUMNS).orderBy(*order).coalesce(1)
+    flat = table.select(*REPORT_COLUMNS).orderBy(*order)
     flat.write.mode("overwrite").csv(csv_path, header=True)
     rule = "| " + " | ".join(["---"] * (len(METRIC_COLUMNS) + 3)) + " |"
     head = spark.createDataFrame([(0, MARKDOWN_HEAD), (1, rule)], "at int, line string").select(
@@ -143,7 +146,7 @@ def write_report(table: DataFrame, folder: str, model: str) -> tuple[str, str]:
         "model",
         "line",
     )
-    lines = head.unionByName(body).orderBy("at", "score", "model").select("line").coalesce(1)
+    lines = head.unionByName(body).orderBy("at", "score", "model").select("line")
     lines.write.mode("overwrite").text(md_path)
     return csv_path, md_path
 
@@ -171,7 +174,8 @@ def trial_rows(trials: DataFrame) -> DataFrame:
 
 
 def write_trials(trials: DataFrame, path: str) -> None:
-    rows = trial_rows(trials).orderBy("trial_number").coalesce(1)
+    """The table in ordered part files."""
+    rows = trial_rows(trials).orderBy("trial_number")
     rows.write.mode("overwrite").csv(path, header=True, escape='"', emptyValue="")
 
 

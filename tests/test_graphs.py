@@ -104,6 +104,46 @@ def test_hub_holding_a_third_of_all_edges(spark, edges, ids):
     assert got == want
 
 
+@pytest.mark.parametrize("colours", [1, 2, 5])
+def test_triangles_of_any_number_of_colours(spark, edges, colours):
+    rng = np.random.default_rng(4)
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, 40, (300, 2)).tolist()}
+    pairs = [(f"n{a}", f"n{b}") for a, b in pairs]
+    got = {r["id"]: r["triangles"] for r in G.triangle_corners(edges(*pairs), colours=colours).collect()}
+    loopless = [p for p in pairs if p[0] != p[1]]
+    want = {k: t for k, (t, _) in brute_clustering(sorted({x for p in pairs for x in p}), loopless).items() if t}
+    assert got == want
+    dealt = G.colour_triples(edges(*loopless).selectExpr("xxhash64(u) AS u", "xxhash64(v) AS v"), colours)
+    assert dealt.count() == colours * len(loopless)
+
+
+def test_traces_equal_the_eigenvalues(spark, edges, ids):
+    pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "d"), ("e", "e")]
+    nodes, es = ids(list("abcdef")), edges(*pairs)
+    row = C.laplacian_traces(nodes, es).first()
+    both = [x.withColumn("g", F.lit(1)) for x in (nodes, es)]
+    values = C.spectra(*both, ["g"]).first()["eigenvalues"]
+    assert row["trace"] == pytest.approx(sum(values)) and row["trace_squared"] == pytest.approx(sum(x * x for x in values))
+    grouped = C.laplacian_traces(*both, ["g"]).first()
+    assert (grouped["trace"], grouped["trace_squared"]) == pytest.approx((row["trace"], row["trace_squared"]))
+
+
+def test_dense_spectra_are_bounded(spark, edges, ids, monkeypatch):
+    monkeypatch.setattr(C, "MOST_NODES", 2)
+    one = [x.withColumn("g", F.lit(1)) for x in (ids("abc"), edges("ab"))]
+    with pytest.raises(Exception, match="3 nodes"):
+        C.spectral_histogram(*one, ["g"]).collect()
+
+
+def test_pairs_inside_samples_only(spark):
+    from graphrecon.operators.vectors import sampled_similarities
+
+    vectors = spark.createDataFrame([(1, [1.0, 0.0]), (2, [1.0, 1.0]), (3, [0.0, 0.0]), (4, [0.0, 2.0])], "id int, x array<double>")
+    samples = spark.createDataFrame([(2, 0, 0, 1), (2, 0, 1, 2), (2, 1, 0, 4), (2, 1, 1, 3)], "node_size int, sample_id int, pos int, id int")
+    got = {(r["sample_id"], r["u"], r["v"]): r["x"] for r in sampled_similarities(samples, vectors, ["x"]).collect()}
+    assert got == {(0, 1, 2): pytest.approx(0.5**0.5), (1, 3, 4): 0.0}
+
+
 def test_spectral_histogram(spark, edges, ids):
     graph = {"path": [("a", "b"), ("b", "c")], "full": [("a", "b"), ("b", "c"), ("a", "c")], "none": []}
     nodes = spark.createDataFrame([(k, x) for k in graph for x in "abc"], "sample_id string, id string")

@@ -145,10 +145,24 @@ def packed(df):
     return out
 
 
+def test_rests_of_slices_are_packed_together(spark):
+    rows = [(f"a{i % 211}", f"b{i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "u string, v string")
+    chunks = packed(V.partition_edges(df, 40, 60, 5, 50))  # 64 slices
+    assert sorted(e for es in chunks.values() for e in es) == sorted(rows)
+    ends = {c: {x for e in es for x in e} for c, es in chunks.items()}
+    assert all(len(es) <= 40 and len(ends[c]) <= 60 for c, es in chunks.items())
+    # Chunks end at either budget; few are open at both, not one for each slice.
+    assert sum(len(es) < 40 and len(ends[c]) < 59 for c, es in chunks.items()) <= 64 / 16
+    assert chunks == packed(V.partition_edges(df.repartition(7), 40, 60, 5, 50))
+    # On a small table chunks are as full as one scan makes them.
+    assert len(packed(V.partition_edges(df.limit(400), 40, 1000, 5))) == 10
+
+
 def test_edge_chunks_respect_both_budgets(spark, edges):
     loose = [(f"a{i}", f"b{i}") for i in range(100)]
-    for slices in (1, 16):
-        chunks = packed(V.partition_edges(edges(*loose), 885, 60, 1, slices))
+    for slice_edges in (8192, 6):
+        chunks = packed(V.partition_edges(edges(*loose), 885, 60, 1, slice_edges))
         assert sum(map(len, chunks.values())) == 100
         assert all(len({x for e in c for x in e}) <= 60 for c in chunks.values())
         assert sorted(chunks) == list(range(len(chunks)))
@@ -347,3 +361,52 @@ def test_hub_is_split_before_cells_are_dealt_out(spark, monkeypatch):
         for k, v in before.items():
             spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
     assert largest["at"] < count  # all of them in one part before
+
+
+def test_closing_test_never_lists_a_hub(spark):
+    # A hub of 200,000 neighbours and a triangle beside it; "n" is the hub's, so its walk is open.
+    hub = spark.range(200_000).select(F.concat(F.lit("h"), F.col("id")).alias("v"), F.lit("hub").alias("u"))
+    small = spark.createDataFrame([("x", "y"), ("y", "z"), ("x", "z")], "u string, v string")
+    edges = hub.select("u", "v").union(small)
+    graph = T.adjacency(G.endpoints(edges), edges)
+    rows = [(0, 5, ["hub", "h1"]), (1, 5, ["x", "y", "z"]), (2, 5, ["x", "y"]), (3, 5, ["h7", "hub"])]
+    state = spark.createDataFrame(rows, "sample_id int, target int, visited array<string>")
+    closed = T._closed(state, graph, ["sample_id"])
+    assert [r["sample_id"] for r in closed.collect()] == [1]
+
+
+def test_walk_and_search_laws(spark, edges, ids):
+    """From the middle of a cross of unequal arms each neighbour comes first equally often; long samples take few jobs."""
+    star = [("m", x) for x in "abcd"] + [("d", "e"), ("e", "m")]
+    graph = T.adjacency(ids(list("mabcde")), edges(*star))
+    for walk in (T.random_walk, T.depth_first):
+        got = by_sample(S.long_form(walk(start(spark, 1500, 2, ["m"]), graph, ["sample_id"], 11), ["sample_id"]))
+        firsts = Counter(order[1] for order in got.values())
+        assert set(firsts) == set("abcde") and all(230 < n < 370 for n in firsts.values())
+    # The walk's second new node after d: e by d or by m, a..c by m alone.
+    tall = by_sample(S.long_form(T.random_walk(start(spark, 1500, 2, ["m", "d"]), graph, ["sample_id"], 3), ["sample_id"]))
+    assert all(order == ["m", "d"] for order in tall.values())
+    path = [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(260)]
+    line = T.adjacency(ids([f"p{i:03d}" for i in range(261)]), edges(*path))
+    tracker = spark.sparkContext.statusTracker()
+    for walk in (T.depth_first,):
+        spark.sparkContext.setJobGroup("laws", "")
+        got = by_sample(S.long_form(walk(start(spark, 3, 120, ["p000"]), line, ["sample_id"], 5), ["sample_id"]))
+        jobs = len(tracker.getJobIdsForGroup("laws"))
+        spark.sparkContext.setJobGroup("", "")
+        assert all(order == sorted(order) and len(order) == 120 for order in got.values())
+        assert jobs < 400
+
+
+def test_hard_examples_of_an_epoch(spark):
+    rows = spark.createDataFrame([(0, 0, 3.0, 1, 2), (0, 1, 9.0, 1, 3), (0, 2, 5.0, 1, 4), (1, 3, 1.0, 5, 6)], "pool int, row_id int, loss double, a int, b int")
+
+    def chosen(df, **options):
+        found = M.hard_examples(df, 2, 1, **options).orderBy("pool", "place").collect()
+        return [(r["pool"], r["row_id"], r["place"]) for r in found]
+
+    assert chosen(rows, epoch=0, warmup_epochs=1) == [(0, 0, 1), (0, 1, 2), (0, 2, 3), (1, 3, 1)]
+    assert chosen(rows.drop("a", "b"), epoch=1, warmup_epochs=1) == [(0, 1, 1), (0, 2, 2), (1, 3, 1)]
+    assert chosen(rows, epoch=1, warmup_epochs=1) == [(0, 1, 1), (0, 2, 2), (1, 3, 1)]
+    with pytest.raises(ValueError):
+        M.hard_examples(rows, 2, 1, warmup_epochs=-1)

@@ -61,6 +61,24 @@ def test_ema(spark):
     assert [r["normalized"] for r in rows] == [1.0, 4 / 3, 1.5, 0.0]
 
 
+def test_ema_of_long_runs_equals_the_fold(spark):
+    import random
+
+    rng, rows = random.Random(3), []
+    for run, size in (("a", 1), ("b", 7000), ("c", 2), ("d", 900), ("e", 1)):
+        rows += [(run, i, rng.expovariate(0.2) if i % 5 else 0.0) for i in range(size)]
+    shuffled = rng.sample(rows, len(rows))
+    df = spark.createDataFrame(shuffled, "run string, epoch int, value double").repartition(9)
+    got = {(r["run"], r["epoch"]): (r["ema"], r["normalized"]) for r in C.ema_normalized(df, 0.9, 2.0, 0.01).collect()}
+    assert len(got) == len(rows)
+    mean = run = None
+    for name, i, x in sorted(rows):
+        mean = max(x if name != run else 0.9 * mean + (1.0 - 0.9) * x, 0.01)
+        run = name
+        assert got[name, i] == pytest.approx((mean, min(x / mean, 2.0)), rel=1e-9)
+    assert C.ema_normalized(df.filter("false")).count() == 0
+
+
 def test_best_epoch_and_trials(spark):
     best = C.best_epoch(series(spark, [1, 5, 5])).first()
     assert (best["best_epoch"], best["best_value"]) == (1, 5.0)
