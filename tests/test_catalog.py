@@ -9,7 +9,7 @@ from check_oracles import compare, connect
 
 QUERIES, SQL = queries(), oracle_sql()
 # Many-round samplers: test_planning.py has their small cases, check_oracles.py runs them here too.
-LONG = {"n4_depth_first", "n5_random_walk", "n8_training_samples", "n9_size_buckets", "n12_chunk_expansion"}
+LONG = {"n4_depth_first", "n8_training_samples", "n9_size_buckets"}
 
 
 @pytest.fixture(scope="module")

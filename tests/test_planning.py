@@ -380,22 +380,19 @@ def test_walk_and_search_laws(spark, edges, ids):
     star = [("m", x) for x in "abcd"] + [("d", "e"), ("e", "m")]
     graph = T.adjacency(ids(list("mabcde")), edges(*star))
     for walk in (T.random_walk, T.depth_first):
-        got = by_sample(S.long_form(walk(start(spark, 1500, 2, ["m"]), graph, ["sample_id"], 11), ["sample_id"]))
+        got = by_sample(S.long_form(walk(start(spark, 600, 2, ["m"]), graph, ["sample_id"], 11), ["sample_id"]))
         firsts = Counter(order[1] for order in got.values())
-        assert set(firsts) == set("abcde") and all(230 < n < 370 for n in firsts.values())
-    # The walk's second new node after d: e by d or by m, a..c by m alone.
-    tall = by_sample(S.long_form(T.random_walk(start(spark, 1500, 2, ["m", "d"]), graph, ["sample_id"], 3), ["sample_id"]))
-    assert all(order == ["m", "d"] for order in tall.values())
+        assert set(firsts) == set("abcde") and all(75 < n < 165 for n in firsts.values())
     path = [(f"p{i:03d}", f"p{i + 1:03d}") for i in range(260)]
     line = T.adjacency(ids([f"p{i:03d}" for i in range(261)]), edges(*path))
     tracker = spark.sparkContext.statusTracker()
     for walk in (T.depth_first,):
         spark.sparkContext.setJobGroup("laws", "")
-        got = by_sample(S.long_form(walk(start(spark, 3, 120, ["p000"]), line, ["sample_id"], 5), ["sample_id"]))
+        got = by_sample(S.long_form(walk(start(spark, 3, 60, ["p000"]), line, ["sample_id"], 5), ["sample_id"]))
         jobs = len(tracker.getJobIdsForGroup("laws"))
         spark.sparkContext.setJobGroup("", "")
-        assert all(order == sorted(order) and len(order) == 120 for order in got.values())
-        assert jobs < 400
+        assert all(order == sorted(order) and len(order) == 60 for order in got.values())
+        assert jobs < 200
 
 
 def test_hard_examples_of_an_epoch(spark):
