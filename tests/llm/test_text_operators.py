@@ -342,6 +342,48 @@ def test_rules_odd_rows(spark, odd_documents):
     assert quality_rules.judge(odd_documents.where("false"), labels).count() == 0
 
 
+def test_texts_without_letters_words_or_lines(documents):
+    texts = [None, "", "1 2 3 4 5 6 7 8 9 10 11 12", "слово " * 5 + "и другие слова тоже здесь есть", " \n ", "漢字 " * 12]
+    rows = {r["doc_id"]: r for r in quality_rules.judge(documents(*texts), documents().selectExpr("doc_id", "1 AS quality")).collect()}
+    assert len(rows) == 6 and [rows[i]["n_words"] for i in range(6)] == [0, 0, 12, 11, 0, 12]
+    assert rows[2]["kept"] and not rows[0]["kept"] and not rows[4]["kept"]
+
+
+def test_kept_equals_brute_force_cutoffs(spark, sf):
+    """The query's verdict from cutoffs chosen by hand: exact bounds over all good rows of each stratum."""
+    from math import comb
+
+    sf = sf.replace("sf0.001", "sf0.01")
+    docs = spark.read.parquet(f"{sf}/documents.parquet").collect()
+    given = {}
+    for r in spark.read.parquet(f"{sf}/labels.parquet").collect():
+        given.setdefault(r["doc_id"], []).append(r["quality"])
+    good = {d for d, q in given.items() if min((x for x in q if x is not None), default=0) == 1}
+
+    def shares(text):
+        words, chars, symbols, dup, repeats, lines, upper, letters, bangs = quality_rules.measures(text)
+        share = lambda a, b: a * 1000 // b if b else 0
+        failed = words < 10 or 100 * repeats > 20 * words
+        return failed, (share(symbols, chars), share(dup, lines), share(repeats, words), share(upper, letters), share(bangs, words))
+
+    judged = {r["doc_id"]: (r["lang"], *shares(r["text"])) for r in docs}
+    strata = {lang: [s for d, (g, failed, s) in judged.items() if g == lang and not failed and d in good] for lang in {v[0] for v in judged.values()}}
+    held = {lang: rows for lang, rows in strata.items() if rows}
+    tests = max(1, len(held)) * 5 * len(quality_rules.CUTOFFS)
+    alpha, delta = quality_rules.ALPHA / 5, quality_rules.DELTA / tests
+    cutoffs = {}
+    for lang, rows in held.items():
+        n = len(rows)
+        for rule in range(5):
+            for c in quality_rules.CUTOFFS:
+                k = sum(s[rule] > c for s in rows)
+                if k < n * alpha and sum(comb(n, i) * alpha**i * (1 - alpha) ** (n - i) for i in range(k + 1)) <= delta:
+                    cutoffs[lang, rule] = c
+                    break
+    want = {d: not failed and all(x <= cutoffs.get((lang, i), 10**9) for i, x in enumerate(s)) for d, (lang, failed, s) in judged.items()}
+    assert {r["doc_id"]: r["kept"] for r in QUERIES["op9_quality_rules"](spark, sf).collect()} == want
+
+
 def test_classifier_on_held_out_rows(spark, sf):
     sf = sf.replace("sf0.001", "sf0.1")
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
