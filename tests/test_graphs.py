@@ -117,6 +117,24 @@ def test_triangles_of_any_number_of_colours(spark, edges, colours):
     assert dealt.count() == colours * len(loopless)
 
 
+@pytest.mark.parametrize("most_later", [1, 3, 64])
+def test_triangles_by_ordered_neighbours(spark, edges, most_later):
+    rng = np.random.default_rng(5)
+    pairs = {tuple(sorted(p)) for p in rng.integers(0, 60, (400, 2)).tolist() if p[0] != p[1]}
+    pairs |= {(0, x) for x in range(1, 60)} | {(100, 101)}
+    pairs = [(f"n{a}", f"n{b}") for a, b in pairs]
+    got = {r["id"]: r["triangles"] for r in G._ordered_triangles(edges(*pairs), most_later).collect()}
+    want = {k: t for k, (t, _) in brute_clustering(sorted({x for p in pairs for x in p}), pairs).items() if t}
+    assert got == want
+
+
+def test_edges_of_a_sparse_graph_are_not_copied_per_colour(spark, edges, monkeypatch):
+    monkeypatch.setattr(G, "TRIPLE_EDGES", 1)
+    monkeypatch.setattr(G, "colour_triples", lambda *_: pytest.fail("edges copied"))
+    got = {r["id"]: r["triangles"] for r in G.triangle_corners(edges("AB", "BC", "AC", "CD")).collect()}
+    assert got == {"A": 1, "B": 1, "C": 1}
+
+
 def test_traces_equal_the_eigenvalues(spark, edges, ids):
     pairs = [("a", "b"), ("b", "c"), ("a", "c"), ("c", "d"), ("d", "d"), ("e", "e")]
     nodes, es = ids(list("abcdef")), edges(*pairs)
