@@ -240,7 +240,7 @@ SELECT count(*) AS graph_count, round(avg(gs),6) AS graph_sim, round(avg(rd),6)
   (SELECT round(avg(mmd),6) FROM mmds WHERE metric='clustering') AS cc_mmd FROM details""",
 )
 def g18(spark, sf):
-    """Flagship: score all pairs, rebuild the graph, and judge it on samples of the whole table."""
+    """Flagship: score the pairs inside samples of the whole table, rebuild the graph there, and judge it."""
     nodes, true, pred = T.vector_graphs(spark, sf)
     result = P.evaluate_graph(
         nodes, true, pred, T.vector_samples(spark, sf), spectral=False, pred_nodes=nodes

@@ -312,6 +312,18 @@ def test_subgraph_pairs_labels(spark, edges):
     assert rows(edges("AB")) == [("A", "B", 1, 1, 1), ("A", "C", 0, 0, 1), ("B", "C", 0, 0, 1)]
 
 
+def test_vector_graphs_score_pairs_inside_samples_only(spark, sf, monkeypatch):
+    from graphrecon.catalog import tables as T
+
+    keys = ["node_size", "sample_id"]
+    scored = T.vector_pairs(spark, sf).filter("label = 1").select("u", "v")
+    want = {tuple(r) for r in G.induced_edges(T.vector_samples(spark, sf), scored, keys).select("u", "v").collect()}
+    monkeypatch.setattr(T, "similarity_blocks", lambda *_: pytest.fail("all pairs scored"))
+    _, true, _ = T.vector_graphs(spark, sf)
+    rows = [tuple(r) for r in true.collect()]
+    assert want and set(rows) == want and len(rows) == len(want)
+
+
 def test_enumeration_by_blocks(spark, ids):
     names = [f"x{i}" for i in range(23)]
     for self_pairs, want in ((False, 253), (True, 276)):
