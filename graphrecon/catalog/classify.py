@@ -98,7 +98,7 @@ def e7(spark, sf):
     f"SELECT {_AUROC} AS auroc, {_AUPRC} AS auprc FROM curve",
 )
 def e67_vectors(spark, sf):
-    row = C.curve_metrics(C.score_curve(T.vector_pairs(spark, sf)))
+    row = C.curve_metrics(C.score_curve(T.vector_scores(spark, sf), "pairs"))
     return row.select(rounded(F.col("auroc")).alias("auroc"), rounded(F.col("auprc")).alias("auprc"))
 
 
@@ -125,7 +125,7 @@ def e9(spark, sf):
 
 @query("e9_vector_pairs", f"WITH {T.VECTOR_SQL}, {_curve_sql('vpairs')} {_BEST}")
 def e9_vectors(spark, sf):
-    best = C.best_f1(C.score_curve(T.vector_pairs(spark, sf)))
+    best = C.best_f1(C.score_curve(T.vector_scores(spark, sf), "pairs"))
     return best.select("threshold", rounded(F.col("f1")).alias("f1"))
 
 

@@ -61,15 +61,16 @@ def threshold_metrics() -> dict[str, Column]:
     }
 
 
-def score_curve(scored: DataFrame) -> DataFrame:
-    """One row per distinct probability, with counts at and above it.
+def score_curve(scored: DataFrame, weight: str | None = None) -> DataFrame:
+    """One row per distinct probability, with counts at and above it; a row counts ``weight`` times, if given.
 
     Equal probabilities are merged first (Spark merges inside each task before the shuffle), so
     a probability shared by a third of all pairs is one row here.
     """
+    times = F.lit(1) if weight is None else F.col(weight)
     merged = scored.groupBy("prob").agg(
-        F.sum((F.col("label") == 1).cast("bigint")).alias("pos"),
-        F.sum((F.col("label") == 0).cast("bigint")).alias("neg"),
+        F.sum((F.col("label") == 1).cast("bigint") * times).alias("pos"),
+        F.sum((F.col("label") == 0).cast("bigint") * times).alias("neg"),
     )
     return running_totals(merged, [F.desc("prob")], ["pos", "neg"])
 

@@ -324,6 +324,14 @@ def test_vector_graphs_score_pairs_inside_samples_only(spark, sf, monkeypatch):
     assert want and set(rows) == want and len(rows) == len(want)
 
 
+def test_scores_of_all_pairs_are_counted_in_their_tasks(spark, sf, monkeypatch):
+    from graphrecon.catalog import tables as T
+
+    want = sorted(tuple(r) for r in T.vector_pairs(spark, sf).groupBy("label", "prob").count().collect())
+    monkeypatch.setattr(T, "similarity_blocks", lambda *_: pytest.fail("pairs leave the tasks one by one"))
+    assert sorted(tuple(r) for r in T.vector_scores(spark, sf).collect()) == want
+
+
 def test_enumeration_by_blocks(spark, ids):
     names = [f"x{i}" for i in range(23)]
     for self_pairs, want in ((False, 253), (True, 276)):
