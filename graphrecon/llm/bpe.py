@@ -8,7 +8,7 @@ are the ids of the whole text. Texts where such a cut isn't proven go to the lib
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 
@@ -42,10 +42,21 @@ def _cut(piece: str) -> list[str]:
     return _CUT.split(piece)
 
 
+class _Known(dict):
+    """What is known of pieces; ``find`` is asked for the others, one by one, when they are read."""
+
+    def __init__(self, find: Callable):
+        self.find = find
+
+    def __missing__(self, piece: str):
+        return self.find(piece)
+
+
 class Pieces:
     """Remembers for each piece its number of ids, or the ids themselves (``as_ids``) as bytes.
 
-    ``cased``: whether the encoder keeps capitals.
+    ``cased``: whether the encoder keeps capitals. A piece read from ``known`` is encoded if need be; ``learn`` encodes
+    many at once.
     """
 
     def __init__(self, tokenizer, as_ids: bool, cased: bool):
@@ -54,9 +65,10 @@ class Pieces:
         self.tokenizer, self.as_ids, self.cased = tokenizer, as_ids, cased
         written = ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str
         self.letters = {c: written(chr(c))[0][0] for c in (32, *range(0xC0, 0x100))}
+        self.merge = tokenizer.model.tokenize
         self.kind = np.dtype("<u2" if tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.packed = [np.array([i], self.kind).tobytes() for i in range(tokenizer.get_vocab_size())] if as_ids else []
-        self.known: dict = {}
+        self.known: dict = _Known(self._find)
         self.older: dict = {}
         self.parts: dict = {}
 
@@ -70,7 +82,8 @@ class Pieces:
         if not new:
             return
         if len(self.known) + len(new) > PIECES // 2:
-            self.older, self.known, new = self.known, {}, pieces
+            self._age()
+            new = pieces
         again = new.intersection(self.older)
         self.known.update(zip(again, map(self.older.__getitem__, again)))
         new -= again
@@ -78,6 +91,42 @@ class Pieces:
         self.known.update(self._encode_words(words))
         self._learn_parts(new.difference(words))
 
+    def _age(self) -> None:
+        self.older, self.known = self.known, _Known(self._find)
+
+    def _find(self, piece: str) -> int | bytes:
+        """What ``learn`` finds for one piece."""
+        found = self.known.get(piece)  # a reader may still hold the older half
+        if found is None:
+            found = self.older.get(piece)
+            if found is None:
+                base = piece.rstrip(_PUNCTUATION)
+                if base.isalpha() and base.isascii() and (self.cased or base.islower()):
+                    found = self._encode_word(base) if len(base) == len(piece) or base not in self.known else self.known[base]
+                    if len(base) < len(piece):
+                        found += self._part(piece[len(base) :])
+                else:
+                    parts = list(map(self._part, _cut(piece)))
+                    found = parts[0] if len(parts) == 1 else b"".join(parts) if self.as_ids else sum(parts)
+            if len(self.known) >= PIECES // 2:
+                self._age()
+            self.known[piece] = found
+        return found
+
+    def _part(self, part: str) -> int | bytes:
+        found = self.known.get(part)
+        if found is None:
+            found = self.parts.get(part)
+        if found is None:
+            if len(self.parts) >= PARTS:
+                self.parts = {}
+            if _WORD.fullmatch(part) and (self.cased or part.islower()):
+                found = self.parts[part] = self._encode_word(part)
+            else:
+                self._encode_each([part])
+                found = self.parts[part]
+        return found
+
     def _learn_parts(self, pieces: set[str]) -> None:
         cut = {p: _cut(p) for p in pieces}
         needed = {x for parts in cut.values() for x in parts}
@@ -98,19 +147,17 @@ class Pieces:
         value = (lambda e: np.array(e.ids, self.kind).tobytes()) if self.as_ids else len
         self.parts.update(zip(parts, map(value, encoded)))
 
-    def _encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, int | bytes]]:
-        """Words of letters alone, which are one pretoken each: straight to the library's merges."""
-        merge, letters, kind = self.tokenizer.model.tokenize, self.letters, self.kind
-        forms = ((w, w if w.isascii() and w.isalpha() else w.translate(letters)) for w in words)
+    def _encode_words(self, words: Collection[str]) -> Iterator[tuple[str, int | bytes]]:
+        return zip(words, map(self._encode_word, words))
+
+    def _encode_word(self, word: str) -> int | bytes:
+        """A word of letters alone, which is one pretoken: straight to the library's merges."""
+        form = word if word.isascii() and word.isalpha() else word.translate(self.letters)
+        tokens = self.merge(form)
         if not self.as_ids:
-            return ((word, len(merge(form))) for word, form in forms)
+            return len(tokens)
         packed = self.packed
-
-        def ids_of(form: str) -> bytes:
-            found = [packed[t.id] for t in merge(form)]
-            return found[0] if len(found) == 1 else b"".join(found)
-
-        return ((word, ids_of(form)) for word, form in forms)
+        return packed[tokens[0].id] if len(tokens) == 1 else b"".join([packed[t.id] for t in tokens])
 
 
 def space_pieces(text: str) -> list[str] | None:

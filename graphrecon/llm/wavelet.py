@@ -53,7 +53,7 @@ def write_matrix(ids: np.ndarray, starts: np.ndarray, doc_ids: list) -> bytes:
         ones = _ONES[packed].reshape(-1, 64).sum(axis=1, dtype=np.uint32)
         body += [packed.tobytes(), np.concatenate([[0], np.cumsum(ones)]).astype("<u4").tobytes()]
         zeros.append(n - int(bit.sum()))
-        codes = np.concatenate([codes[~bit], codes[bit]])
+        codes = np.concatenate([codes.compress(~bit), codes.compress(bit)])
     head = np.array([n, len(doc_ids), len(symbols), planes], dtype="<u8")
     known = np.array([d is not None for d in doc_ids], dtype=np.uint8)
     named = np.array([d if d is not None else 0 for d in doc_ids], dtype="<i8")
@@ -148,8 +148,8 @@ class WaveletMatrix:
         for k in reversed(range(len(self.planes))):
             bit = np.unpackbits(self.planes[k][0], count=self.n).view(bool)
             before = np.empty_like(codes)
-            before[~bit] = codes[: self.zeros[k]]
-            before[bit] = codes[self.zeros[k] :] | kind(1 << (len(self.planes) - 1 - k))
+            np.place(before, ~bit, codes[: self.zeros[k]])
+            np.place(before, bit, codes[self.zeros[k] :] | kind(1 << (len(self.planes) - 1 - k)))
             codes = before
         return self.symbols[codes]
 
@@ -201,11 +201,10 @@ def write_shards(
         for batch in batches:
             for at in range(0, batch.num_rows, LOT):
                 some = batch.slice(at, LOT)
-                texts = [x or "" for x in some.column(1).to_pylist()]
-                cut = [word_pieces(x) for x in texts]
-                pieces.learn(set().union(*[c for c in cut if c]))
                 known = pieces.known.__getitem__
-                for x, c, name in zip(texts, cut, some.column(0).to_pylist()):
+                for x, name in zip(some.column(1).to_pylist(), some.column(0).to_pylist()):
+                    x = x or ""
+                    c = word_pieces(x)
                     ids = (
                         np.array(tokenizer.encode(x, add_special_tokens=False).ids, kind).tobytes()
                         if c is None

@@ -102,6 +102,21 @@ def test_pieces_add_up_to_the_whole(name, cut, cased):
             assert got == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("name, cut, cased, as_ids", [("byte_bpe_50k.json", bpe.space_pieces, True, False), ("word_bpe_49k.json", bpe.word_pieces, False, True)])
+def test_pieces_are_encoded_when_read(monkeypatch, name, cut, cased, as_ids):
+    monkeypatch.setattr(bpe, "PIECES", 200)
+    monkeypatch.setattr(bpe, "PARTS", 50)
+    tokenizer = bpe.load(public_tokenizers.path(name))
+    pieces = bpe.Pieces(tokenizer, as_ids=as_ids, cased=cased)
+    for text in texts(400, seed=9):
+        parts = cut(text)
+        if parts is not None:
+            got = list(map(pieces.known.__getitem__, parts))
+            ids = tokenizer.encode(text, add_special_tokens=False).ids
+            assert np.frombuffer(b"".join(got), pieces.kind).tolist() == ids if as_ids else sum(got) == len(ids)
+    assert len(pieces.known) <= 100 and len(pieces.older) <= 100 and len(pieces.parts) <= 50
+
+
 def test_token_counts(odd_documents):
     path = public_tokenizers.path("byte_bpe_50k.json")
     tokenizer = bpe.load(path)
