@@ -14,6 +14,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from graphrecon.llm.batches import light_batches
 from graphrecon.llm.decontaminate import decontaminate
 from graphrecon.llm.mixing import mixed_documents
 from graphrecon.llm.ngram_join import keep_one
@@ -25,12 +26,21 @@ ORACLE_SQL = None
 END_ID = 2
 
 
+def packed(docs: DataFrame) -> DataFrame:
+    """``text``, and all other columns, of any name, as ``doc``: so tasks get each text once."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select("text", F.struct(*others).alias("doc"))
+
+
+def unpacked(rows: DataFrame, docs: DataFrame) -> DataFrame:
+    return rows.select(*[F.col("text") if c == "text" else F.col(f"doc.`{c}`") for c in docs.columns])
+
+
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose best grade is likelier than not, by a model of the rated ones among them."""
     ratings = label_grades(spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    rows = docs.select("text", F.struct("*").alias("doc"))  # columns of any name pass through
-    graded = grade_texts(rows, train(docs, ratings), keep=("doc",))
-    return graded.where(accepted(F.col("p_best"))).select("doc.*")
+    graded = grade_texts(packed(docs), train(docs, ratings), keep=("text", "doc"))
+    return unpacked(graded.where(accepted(F.col("p_best"))), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,8 +50,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def without_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a twentieth of their words or more in benchmark passages; their texts stay as they are."""
-    rows = docs.select("text", F.struct("*").alias("doc"))
-    return decontaminate(rows, spark.read.parquet(f"{sf_dir}/benchmark.parquet")).select("doc.*")
+    return unpacked(decontaminate(packed(docs), spark.read.parquet(f"{sf_dir}/benchmark.parquet")), docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -70,6 +79,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{ensure_checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for at, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{at}")
+        with light_batches(spark):
+            stage(spark, docs, sf_dir).write.parquet(f"{folder}/{at}")
         docs = spark.read.parquet(f"{folder}/{at}")
     return docs

@@ -12,8 +12,8 @@ from collections.abc import Callable, Collection, Iterator
 
 import numpy as np
 
-#: Pieces, and parts of pieces, that a worker remembers. About 200 MB together.
-PIECES, PARTS = 600_000, 200_000
+#: Pieces, and parts of pieces, that a worker remembers. About 130 MB together.
+PIECES, PARTS = 400_000, 100_000
 
 # A letter or number before ASCII punctuation other than an apostrophe, and both sides of a single
 # line break: every pretokenizer used here ends a pretoken there.

@@ -198,6 +198,8 @@ def grade_texts(
         tails = OrdinalModel(weights, thresholds).tails(scores)
         return tails.sum(axis=1), tails[:, -1]
 
+    if text in keep:
+        return add_columns(docs.select(*[F.col(c) for c in keep]), [text], dict.fromkeys(names, "double"), run)
     rows = docs.select(*[F.col(c) for c in keep], F.col(text).alias("__text"))
     return add_columns(rows, ["__text"], dict.fromkeys(names, "double"), run, ["__text"])
 

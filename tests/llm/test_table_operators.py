@@ -268,6 +268,26 @@ def test_pipeline_stages(spark, sf):
     assert sum(r["n_tokens"] for r in last) == max(r["start"] + r["n_tokens"] for r in last)
 
 
+def test_pipeline_sends_texts_once_and_in_light_batches(spark, documents):
+    import corpus_pipeline as p
+    from graphrecon.llm.batches import light_batches
+
+    docs = documents(*[f"{i} " + "word " * 4000 for i in range(200)])  # 20 kB each
+    rows = p.packed(docs)
+    assert rows.schema["doc"].dataType.names == [c for c in docs.columns if c != "text"]
+    assert sorted(p.unpacked(rows, docs).collect()) == sorted(docs.collect())
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.nbytes])], ["size"])
+
+    with light_batches(spark, 200_000):
+        found = [r["size"] for r in rows.coalesce(1).mapInArrow(sizes, "size long").collect()]
+    assert max(found) < 300_000 and sum(found) < 200 * 25_000
+
+
 def test_columns_of_any_name_pass_through(spark, odd_documents):
     import corpus_pipeline as p
 
