@@ -3,6 +3,8 @@ import math
 from collections import Counter, defaultdict
 
 import pytest
+
+from graphrecon.session import materialize
 from pyspark.sql import functions as F
 
 from graphrecon.operators import batches as B
@@ -407,3 +409,13 @@ def test_hard_examples_of_an_epoch(spark):
     assert chosen(rows, epoch=1, warmup_epochs=1) == [(0, 1, 1), (0, 2, 2), (1, 3, 1)]
     with pytest.raises(ValueError):
         M.hard_examples(rows, 2, 1, warmup_epochs=-1)
+
+
+@pytest.mark.parametrize("name, writes", [("n1_exclusive_negatives", 1), ("n2_three_splits", 0)])
+def test_drawn_negatives_are_not_written_again(spark, sf, monkeypatch, name, writes):
+    from graphrecon.catalog import QUERIES, planning
+
+    written = []
+    monkeypatch.setattr(planning, "materialize", lambda df: written.append(df) or materialize(df))
+    QUERIES[name](spark, sf)
+    assert len(written) == writes
