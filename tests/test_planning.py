@@ -1,5 +1,6 @@
 import itertools
 import math
+import os
 from collections import Counter, defaultdict
 
 import pytest
@@ -419,3 +420,26 @@ def test_drawn_negatives_are_not_written_again(spark, sf, monkeypatch, name, wri
     monkeypatch.setattr(planning, "materialize", lambda df: written.append(df) or materialize(df))
     QUERIES[name](spark, sf)
     assert len(written) == writes
+
+
+def test_searches_leave_only_their_last_state_on_disk(spark, edges, ids):
+    graph = T.adjacency(ids(sorted(neighbours(GRID))), edges(*GRID))
+    folder = spark.sparkContext.getCheckpointDir().removeprefix("file:")
+    before = set(os.listdir(folder))
+    got = T.breadth_first(start(spark, 3, 16, ["00"]), graph, ["sample_id"], 1)
+    assert all(len(r["visited"]) == 16 for r in got.collect())
+    assert len(set(os.listdir(folder)) - before) == 1  # one a round before
+
+
+def test_levels_are_served_only_until_a_node_completes_the_sample(spark, edges, ids):
+    # "b" has six neighbours, so a sample of five nodes is full before "c" and "d" are looked at
+    star = [("b", f"x{i}") for i in range(6)] + [("a", "y"), ("c", "z"), ("d", "z")]
+    graph = T.adjacency(ids(["a", "b", "c", "d", "y", "z", *[f"x{i}" for i in range(6)]]), edges(*star), walks=False)
+    assert graph.cells.columns == ["at", "nbr"]
+    level = spark.createDataFrame([(0, 5, p, x) for p, x in enumerate("abcd")], "sample_id int, target int, p int, id string")
+    assert [r["id"] for r in T._served(level, graph, ["sample_id"]).orderBy("p").collect()] == ["a", "b"]
+    wide = level.withColumn("target", F.lit(7))
+    assert [r["id"] for r in T._served(wide, graph, ["sample_id"]).orderBy("p").collect()] == list("abcd")
+    got = T.breadth_first(start(spark, 9, 5, list("abcd")), graph, ["sample_id"], 1)
+    assert all(r["visited"] == [*"abcd", "y"] for r in got.collect())
+    assert T._pushes(level.filter("id = 'b'"), graph, ["sample_id"], 1, 1).count() == 5
