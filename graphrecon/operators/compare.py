@@ -205,60 +205,68 @@ def _dense(hists: pd.Series, width: int) -> np.ndarray:
     return out / (out.sum(axis=1, keepdims=True) + 1e-6)
 
 
-def kernel_sums(
-    packed_hists: DataFrame, keys: Sequence[str], sigma: float = 1.0, block_rows: int = 64
-) -> DataFrame:
-    """Sum and number of kernel values per (keys, side_a, side_b), over all ordered pairs.
-
-    The histograms of a key are dealt into blocks of about ``block_rows``; a task gets one pair
-    of blocks and returns one partial sum per pair of sides. No pair of samples becomes a row,
-    and a key with very many samples is spread over many tasks.
-    """
-    keys = list(keys)
+def _kernel_total(left: np.ndarray, right: np.ndarray, sigma: float) -> float:
+    """Sum of the kernel over all pairs. Half the distance of two rows is their mean sum less what they share."""
+    columns, total = np.ascontiguousarray(right.T), 0.0
+    halves = right.sum(axis=1) / 2.0
+    for row in left:
+        some = np.flatnonzero(row)
+        tv = row.sum() / 2.0 + halves - np.minimum(columns[some], row[some, None]).sum(axis=0)
+        total += float(np.exp(-(tv * tv) / (2.0 * sigma * sigma)).sum())
+    return total
+
+
+def _block_pairs(packed_hists: DataFrame, keys: Sequence[str], block_rows: int) -> DataFrame:
+    """Blocks of histograms, a row each, once for every pair of blocks ``__i <= __j`` of its key that it is in."""
     counts = packed_hists.groupBy(*keys).agg(
         F.ceil(F.count(F.lit(1)) / block_rows).cast("int").alias("__blocks")
     )
     dealt = packed_hists.join(counts, keys).withColumn(
         "__block", F.pmod(F.xxhash64("side", "sample_id"), F.col("__blocks")).cast("int")
     )
-    cells = dealt.withColumn(
-        "__other", F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1))
-    ).select(
+    blocks = dealt.groupBy(*keys, "__blocks", "__block").agg(
+        F.collect_list(F.struct("side", "hist")).alias("hists")
+    )
+    cells = blocks.select(
         *keys,
-        "side",
-        "hist",
+        "hists",
         "__block",
-        F.least("__block", "__other").alias("__i"),
-        F.greatest("__block", "__other").alias("__j"),
+        F.explode(F.sequence(F.lit(0), F.col("__blocks") - 1)).alias("__other"),
     )
+    return cells.withColumn("__i", F.least("__block", "__other")).withColumn("__j", F.greatest("__block", "__other")).drop("__other")
+
+
+def kernel_sums(
+    packed_hists: DataFrame, keys: Sequence[str], sigma: float = 1.0, block_rows: int = 4096
+) -> DataFrame:
+    """Sum and number of kernel values per (keys, side_a, side_b), over all ordered pairs.
+
+    The histograms of a key are packed into blocks of about ``block_rows``; a task gets one pair
+    of blocks and returns one partial sum per pair of sides. No pair of samples becomes a row, a block
+    moves once for each other block, and a key with very many samples is spread over many tasks.
+    """
+    keys = list(keys)
     fields = {f.name: f.dataType.simpleString() for f in packed_hists.schema.fields}
     schema = ", ".join(f"{k} {fields[k]}" for k in keys)
 
     def block_sums(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         i, j = key[-2], key[-1]
-        width = 1 + max((item["bin"] for hist in rows["hist"] for item in hist), default=0)
-        dense = _dense(rows["hist"], width)
-        sides = rows["side"].to_numpy()
-        in_i = (rows["__block"] == i).to_numpy()
-        in_j = (rows["__block"] == j).to_numpy()
+        width = 1 + max((item["bin"] for hists in rows["hists"] for x in hists for item in x["hist"]), default=0)
+        blocks = {}
+        for _, block in rows.iterrows():
+            dense = _dense(pd.Series([x["hist"] for x in block["hists"]]), width)
+            sides = np.array([x["side"] for x in block["hists"]])
+            blocks[block["__block"]] = {a: dense[sides == a] for a in sorted(set(sides))}
         found = []
-        names = sorted(set(sides))
-        for a in names:
-            left = dense[in_i & (sides == a)]
-            for b in names:
-                right = dense[in_j & (sides == b)]
-                if not len(left) or not len(right):
-                    continue
-                total = 0.0
-                for row in left:
-                    tv = np.abs(right - row).sum(axis=1) / 2.0
-                    total += float(np.exp(-(tv * tv) / (2.0 * sigma * sigma)).sum())
-                n = len(left) * len(right)
+        for a, left in blocks.get(i, {}).items():
+            for b, right in blocks.get(j, {}).items():
+                total, n = _kernel_total(left, right, sigma), len(left) * len(right)
                 found.append((*key[:-2], a, b, total, n))
                 if i != j:  # the mirrored block pair is not dealt
                     found.append((*key[:-2], b, a, total, n))
         return pd.DataFrame(found, columns=[*keys, "side_a", "side_b", "total", "pairs"])
 
+    cells = _block_pairs(packed_hists, keys, block_rows)
     spread = cells.repartition(task_slots(cells.sparkSession), *keys, "__i", "__j")
     parts = spread.groupBy(*keys, "__i", "__j").applyInPandas(
         block_sums, f"{schema}, side_a string, side_b string, total double, pairs bigint"

@@ -214,6 +214,18 @@ def test_mmd_against_brute_force_in_any_blocks(spark, block_rows):
     assert only == pytest.approx(brute_mmd(sides["true"], []), rel=1e-9)
 
 
+def test_histograms_move_in_blocks(spark):
+    rows = spark.range(400).select(
+        F.lit(4).alias("node_size"),
+        F.lit("true").alias("side"),
+        F.col("id").alias("sample_id"),
+        F.array(F.struct((F.col("id") % 5).cast("int").alias("bin"), F.lit(2.0).alias("cnt"))).alias("hist"),
+    )
+    moved = C._block_pairs(rows, ["node_size"], 64).select("hists").collect()
+    assert len(moved) == 7 * 7  # 400 * 7 histograms one by one before
+    assert sum(len(r["hists"]) for r in moved) == 400 * 7
+
+
 def test_whole_evaluation_against_brute_force(spark, edges, ids):
     names, true = random_graph(24, 0.3, 7)
     _, pred = random_graph(24, 0.3, 8)
