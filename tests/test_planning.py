@@ -443,3 +443,14 @@ def test_levels_are_served_only_until_a_node_completes_the_sample(spark, edges,
     got = T.breadth_first(start(spark, 9, 5, list("abcd")), graph, ["sample_id"], 1)
     assert all(r["visited"] == [*"abcd", "y"] for r in got.collect())
     assert T._pushes(level.filter("id = 'b'"), graph, ["sample_id"], 1, 1).count() == 5
+
+
+def test_chunks_are_not_written_twice_nor_keys_of_full_ones(spark, sf, monkeypatch):
+    from graphrecon.catalog import QUERIES, planning
+
+    monkeypatch.setattr(planning, "materialize", lambda *_: pytest.fail("chunks are written again"))
+    written, write = [], V.write_down
+    monkeypatch.setattr(V, "write_down", lambda df: written.append(write(df)) or written[-1])
+    row = QUERIES["n10_edge_chunks"](spark, sf).first()
+    assert row["edges"] == row["distinct_edges"] > 0
+    assert all(t.filter("not rest and key is not null").isEmpty() and t.filter("rest and key is null").isEmpty() for t in written)
