@@ -445,6 +445,23 @@ def test_levels_are_served_only_until_a_node_completes_the_sample(spark, edges,
     assert T._pushes(level.filter("id = 'b'"), graph, ["sample_id"], 1, 1).count() == 5
 
 
+def test_fill_of_single_nodes_moves_no_edge(spark, sf, monkeypatch):
+    from graphrecon.catalog import QUERIES, planning
+
+    monkeypatch.setattr(planning, "adjacency", lambda *_: pytest.fail("edges are moved"))
+    assert QUERIES["n6_fallback_fill"](spark, sf).first()["repeated"] == 0
+
+
+def test_repeated_and_turned_edges_are_one_cell_each(spark, edges, ids):
+    once = T.adjacency(ids("abcd"), edges("ab", "bc", "cc"))
+    raw = spark.createDataFrame([("a", "b"), ("b", "a"), ("c", "b"), ("c", "c"), ("c", "c"), ("a", "b")], "u string, v string")
+    many = T.adjacency(ids("abcd"), raw)
+    for graph in (once, many):
+        assert graph.cells.columns == ["at", "nbr"]  # a neighbour's own place is looked up by the samples that need it
+        assert [tuple(r) for r in graph.cells.orderBy("at").collect()] == [(0, "b"), (1, "a"), (2, "c"), (3, "b"), (4, "c")]
+        assert [tuple(r) for r in graph.spans.orderBy("id").collect()] == [("a", 0, 1), ("b", 1, 2), ("c", 3, 2), ("d", 0, 0)]
+
+
 def test_chunks_are_not_written_twice_nor_keys_of_full_ones(spark, sf, monkeypatch):
     from graphrecon.catalog import QUERIES, planning
 
