@@ -471,3 +471,17 @@ def test_chunks_are_not_written_twice_nor_keys_of_full_ones(spark, sf, monkeypat
     row = QUERIES["n10_edge_chunks"](spark, sf).first()
     assert row["edges"] == row["distinct_edges"] > 0
     assert all(t.filter("not rest and key is not null").isEmpty() and t.filter("rest and key is null").isEmpty() for t in written)
+
+
+def test_draws_are_different_pairs_and_all_of_them(spark, ids, edges):
+    for pool in (2, 3, 9, 16, 17):
+        found = [tuple(r) for r in N._numbered_pairs(spark, N._all_draws(pool), pool, 5).orderBy("rank").select("ia", "ib", "rank").collect()]
+        assert {f[:2] for f in found} == set(itertools.combinations(range(pool), 2))
+        assert [f[2] for f in found] == list(range(pool * (pool - 1) // 2))
+    later = [r["ib"] for s in range(40) for r in N._numbered_pairs(spark, 64, 16, s).filter("rank < 4").collect()]
+    assert 9.3 < sum(later) / len(later) < 11.4  # 10 1/3 where all pairs are as likely
+    drawn = N.draw_pairs(ids([f"n{i}" for i in range(9)]), 30, 1, edges(*[(f"n{i}", f"n{i + 1}") for i in range(6)]))  # all that are free
+    assert drawn.select("u", "v").distinct().count() == 30
+    ranks = sorted(r["rank"] for r in drawn.collect())
+    cuts = N.rank_cuts(drawn, [0, 7, 30])
+    assert [sum(r < c for r in ranks) for c in cuts] == [0, 7, 30]
