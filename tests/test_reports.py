@@ -279,3 +279,18 @@ def test_chosen_pairs_of_long_ids(spark):
     key = order_key(3, "cut", F.least("a", "b"), F.greatest("a", "b"))
     want = [r[0] for r in rows.select(key < int(0.5 * 2**60)).collect()]
     assert chosen.ravel().tolist() == want
+
+
+def test_edges_of_large_tables_meet_in_larger_blocks(spark, monkeypatch):
+    """A vector is copied once per block, so the copies of a job that keeps few pairs must not grow with 512 rows a block."""
+    asked, blocks = [], V.pair_blocks
+    monkeypatch.setattr(V, "pair_blocks", lambda rows, id_col, size: asked.append(size) or blocks(rows, id_col, 700))
+    rng = np.random.default_rng(3)
+    rows = rng.normal(size=(600, 3))  # more than a stripe
+    df = spark.createDataFrame([(i, [float(x) for x in r]) for i, r in enumerate(rows)], "id long, f array<double>")
+    got = {(r["u"], r["v"]): r["f"] for r in V.similarity_blocks(df, ["f"], {"f": 0.999}).collect()}
+    unit = rows / np.linalg.norm(rows, axis=1, keepdims=True)
+    cosine = unit @ unit.T
+    assert set(got) == {(int(a), int(b)) for a, b in zip(*np.nonzero(np.triu(cosine >= 0.999, 1)))}
+    assert all(abs(x - cosine[u, v]) < 1e-12 for (u, v), x in got.items())
+    assert asked == [4096]
