@@ -485,3 +485,11 @@ def test_draws_are_different_pairs_and_all_of_them(spark, ids, edges):
     ranks = sorted(r["rank"] for r in drawn.collect())
     cuts = N.rank_cuts(drawn, [0, 7, 30])
     assert [sum(r < c for r in ranks) for c in cuts] == [0, 7, 30]
+
+
+def test_core_nodes_take_one_shuffle(spark):
+    rows = [(0, "b", "c", 1), (0, "a", "b", 0), (1, "z", "z", 0), (0, "a", "d", 2)]
+    chunks = spark.createDataFrame(rows, "chunk long, u string, v string, place int")
+    core = V.core_nodes(chunks)
+    assert {r["chunk"]: r["visited"] for r in core.collect()} == {0: ["a", "b", "c", "d"], 1: ["z"]}
+    assert core._jdf.queryExecution().optimizedPlan().toString().count("Aggregate [") == 1
